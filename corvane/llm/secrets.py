@@ -80,7 +80,7 @@ def lex(text: str, least: float = 0.5) -> list[tuple[int, int, str, float]]:
             pieces += [(more.start(1) + 1, more.end(1) - 1)] if part[0] in "\"'" else constants.get(part, [])
         if not pieces:
             continue
-        pieces = pieces[:64]  # a name built from more parts than that is no literal
+        pieces = list(dict.fromkeys(pieces))
         constants[name] = pieces
         if weight := name_weight(name):
             score = weight * literal_weight("".join(text[a:b] for a, b in pieces))
