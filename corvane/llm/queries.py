@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import secrets
+from corvane.llm import quality, secrets, sharding
 
-QUERIES = {"op1_secret_scan": secrets.query}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_secret_scan": secrets.query, "op2_sharding": sharding.query, "op10_quality_rules": quality.query}
+ORACLE_SQL: dict[str, str] = {"op10_quality_rules": quality.ORACLE}
