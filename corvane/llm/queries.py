@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import packing, quality, secrets, sharding
+from corvane.llm import neardup, packing, quality, secrets, sharding
 
-QUERIES = {"op1_secret_scan": secrets.query, "op2_sharding": sharding.query, "op7_packing": packing.query, "op10_quality_rules": quality.query}
+QUERIES = {"op1_secret_scan": secrets.query, "op2_sharding": sharding.query, "op3_minhash_neardup": neardup.query, "op7_packing": packing.query, "op10_quality_rules": quality.query}
 ORACLE_SQL: dict[str, str] = {"op10_quality_rules": quality.ORACLE}
