@@ -90,10 +90,7 @@ def _chunk_words(data: np.ndarray, cuts: np.ndarray, spans: bool) -> tuple[np.nd
     before = np.concatenate([[False], w[:-1]]) & ~edge[:-1]
     after = np.concatenate([w[1:], [False]]) & ~edge[1:]
     start, end = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-    p, inv = _powers(len(data) + 1)
-    c = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=c[1:])
-    h = mix((c[end] - c[start]) * inv[start] + (end - start).astype(U64) * _GOLDEN)
+    h = span_hashes(data, start, end)
     return (h, start, end) if spans else (h, start)
 
 
@@ -126,6 +123,15 @@ def word_hashes(col: pa.Array, lower: bool = True, spans: bool = False):
     return (*out, start, np.concatenate(es) if es else start, data, off) if spans else out
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes that do not overlap, as of words."""
+    p, inv = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        c = np.zeros(len(data) + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=c[1:])
+        return mix((c[end] - c[start]) * inv[start] + (end - start).astype(U64) * _GOLDEN)
+
+
 _SHINGLE = [U64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0x91E10DA5C79E7B1D, 0xD1B54A32D192ED03)]
 
 
