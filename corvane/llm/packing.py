@@ -20,24 +20,58 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import stash, table
+from corvane.llm.common import U64, buffers, slices, span_hashes, stash, table
 
 #: Bins that lack at most SLACK tokens of being full are emitted; so many partitions meet per level; most bins per task.
 SLACK, FAN_IN, GROUP_ROWS = 8, 16, 400_000
 #: Fixed value: the pattern by which this vocabulary's file splits normalised text into words.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_SEEN_MOST = 400_000
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that a worker remembers, at about 40 bytes each.
+_SEEN_MOST = 2_000_000
+#: Classes of bytes: blank, letter, digit, other. Letters beyond ASCII: the two bytes of U+00C0 to U+00FF.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+_CLASS[48:58] = 2
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(9, 14), *range(32, 127), 0xC3, *range(0x80, 0xC0)]] = True
+
+
+class _Known:
+    """Ids of words by the words' 64-bit hashes: sorted arrays and one pool of ids."""
+
+    def __init__(self):
+        self.key, self.at, self.n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(1 << 16, "<u4")
+        self.used = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes, or -1."""
+        if not len(self.key):
+            return np.full(len(h), -1)
+        i = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        return np.where(self.key[i] == h, i, -1)
+
+    def add(self, h: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        where = np.searchsorted(self.key, h)
+        self.key, self.at, self.n = np.insert(self.key, where, h), np.insert(self.at, where, at), np.insert(self.n, where, n)
 
 
 class WordTokenizer:
     """The tokenizer of a file, with the ids of whole words kept: word pieces never cross words.
 
-    Kept for files that split by ``_WORDS`` after NFC, blanks and lower case; others encode each text directly. The plain
-    encoder also takes the texts with special tokens' strings, or with characters whose lower case depends on neighbours.
+    For files that split by ``_WORDS`` after NFC, blanks and lower case, texts of ASCII and Latin-1 letters are cut into
+    words over whole batches of bytes, and each distinct word is encoded once. All other texts, such as those with a
+    special token's string or with other letters, are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -47,30 +81,94 @@ class WordTokenizer:
 
         self.t = Tokenizer.from_file(path)
         head = json.load(open(path, encoding="utf-8"))
-        self.fast = [x.get("type") for x in (head.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and _WORDS.pattern in json.dumps(head.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
+        steps = [x.get("type") for x in (head.get("normalizer") or {}).get("normalizers", [])]
         self.special = [x["content"] for x in head.get("added_tokens", [])]
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        if not self.fast or any(x in text for x in self.special) or not text.isascii() and ("Σ" in text or "İ" in text):
-            return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4")
-        if not text.isascii():
-            import unicodedata
-
-            text = unicodedata.normalize("NFC", text)
-        words = _WORDS.findall(text.lower())
-        seen = self.seen
-        new = [w for w in set(words) if w not in seen]
-        if new:
-            if len(seen) + len(new) > _SEEN_MOST:
-                seen.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.t.encode_batch(new, add_special_tokens=False), strict=True):
-                seen[w] = tuple(e.ids)
-        out: list[int] = []
-        for w in words:
-            out += seen[w]
-        return np.array(out, "<u4")
+        end = head["model"].get("end_of_word_suffix")
+        self.fast = steps == ["NFC", "Replace", "Lowercase"] and bool(end) and _WORDS in json.dumps(head.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
+        self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
+        if self.fast:
+            self.ends[[i for w, i in head["model"]["vocab"].items() if w.endswith(end)]] = True
+        self.known = _Known()
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them."""
+        lots = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.t.encode_batch_fast(lots, add_special_tokens=False)])
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(words):
+            each = [e.ids for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], "<u4")
+        return np.diff(stop, prepend=0), ids
+
+    def _cut(self, low: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word in the bytes, where each text's words begin, and the bytes."""
+        data, off = buffers(low)
+        c = _CLASS[data]
+        new = np.ones(len(data), bool)
+        new[1:] = (c[1:] != c[:-1]) | (c[1:] == 2)
+        first = off[:-1][off[:-1] < len(data)]
+        new[first] = True
+        # 's 't 're 've 'm 'll 'd are words of their own where an apostrophe begins a run of others.
+        quote = np.flatnonzero((data == 39) & new)
+        if len(quote):
+            pad = np.concatenate([data, np.zeros(3, np.uint8)])
+            cut = np.concatenate([new, np.ones(3, bool)])
+            cut[quote + 1] &= np.isin(quote + 1, first)  # a letter after it is no boundary unless a text begins there
+            x, y = pad[quote + 1], pad[quote + 2]
+            apart = np.zeros(len(pad) + 1, bool)
+            apart[first] = True
+            apart[len(data)] = True
+            two = np.isin(x, [*b"stmd"]) & ~apart[quote + 1]
+            three = (((x == 114) | (x == 118)) & (y == 101) | (x == 108) & (y == 108)) & ~apart[quote + 1] & ~apart[np.minimum(quote + 2, len(data))]
+            new[quote[two | three] + 1] = False
+            for q, n in ((quote[two], 2), (quote[three & ~two], 3)):
+                new[(q + n)[q + n < len(data)]] = True
+        edge = np.append(np.flatnonzero(new), len(data))
+        word = c[edge[:-1]] != 0
+        start, end = edge[:-1][word], edge[1:][word]
+        return start, end, np.searchsorted(start, off), data
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, and where each text's begin (one more than texts)."""
+        n = len(texts)
+        slow = np.ones(n, bool)
+        if self.fast:
+            data, off = buffers(texts)
+            odd = ~_PLAIN[data]
+            odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+            slow = np.diff(np.concatenate([[0], np.cumsum(odd)])[off]) > 0
+            for x in self.special:
+                slow |= pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~slow)
+        count, ids, parts = np.zeros(n, np.int64), np.zeros(0, "<u4"), {}
+        if len(plain):
+            start, end, ptr, data = self._cut(pc.utf8_lower(texts.take(pa.array(plain))))
+            h = span_hashes(data, start, end)
+            uniq, one, back = np.unique(h, return_index=True, return_inverse=True)
+            if len(self.known.key) + len(uniq) > _SEEN_MOST:
+                self.known = _Known()
+            at = self.known.find(uniq)
+            miss = np.flatnonzero(at < 0)
+            if len(miss):
+                raw = data.tobytes()
+                self.known.add(uniq[miss], *self._encode([raw[start[i] : end[i]].decode() for i in one[miss]]))
+                at = self.known.find(uniq)
+            lens = self.known.n[at][back]
+            total = np.concatenate([[0], np.cumsum(lens)])
+            ids = self.known.pool[np.repeat(self.known.at[at][back] - total[:-1], lens) + np.arange(total[-1])]
+            count[plain] = np.diff(total[ptr])
+        for i in np.flatnonzero(slow):
+            parts[i] = np.array(self.t.encode(texts[int(i)].as_py() or "", add_special_tokens=False).ids, "<u4")
+            count[i] = len(parts[i])
+        where = np.concatenate([[0], np.cumsum(count)])
+        if parts:
+            out = np.zeros(where[-1], "<u4")
+            of = np.repeat(~slow, count)
+            out[of] = ids
+            for i, x in parts.items():
+                out[where[i] : where[i + 1]] = x
+            ids = out
+        return ids, where
 
 
 @lru_cache(maxsize=2)
@@ -117,14 +215,17 @@ def _local(docs: DataFrame, path: str, room: int, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         t, part = worker_tokenizer(path), TaskContext.get().partitionId()
-        ids, cols, id_arrow = [], [], None
+        ids, cols, id_arrow, stop = [], [], None, np.array([end_id], "<u4").tobytes()
         for b in batches:
             id_arrow = b.schema.field(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tok = np.append(t.ids(text.as_py() or ""), np.array([end_id], "<u4")).astype("<u4")
-                for p, a in enumerate(range(0, len(tok), room)):
-                    ids.append(key)
-                    cols.append((p, a, len(piece := tok[a : a + room]), zlib.crc32(piece.tobytes())))
+            text = b.column(1)
+            for lo, hi in slices(text, 2 << 20):
+                tok, where = t.batch(text.slice(lo, hi - lo))
+                for key, x, y in zip(b.column(0).slice(lo, hi - lo).to_pylist(), where[:-1].tolist(), where[1:].tolist(), strict=True):
+                    for p, a in enumerate(range(0, y - x + 1, room)):
+                        piece, last = tok[x + a : min(y, x + a + room)].tobytes(), a + room > y - x
+                        ids.append(key)
+                        cols.append((p, a, len(piece) // 4 + last, zlib.crc32(stop, zlib.crc32(piece)) if last else zlib.crc32(piece)))
         if not ids:
             return
         c = np.array(cols, np.int64)
