@@ -274,6 +274,9 @@ def replace_text(docs: DataFrame, key: bytes = EXAMPLE_KEY, text_col: str = "tex
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and the numbers and places of the values replaced."""
     found = pseudonymise(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found.select(F.col("id").alias("doc_id"), "text", *counts, spans.alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), "text", *map(count, KINDS), spans.alias("spans"))
