@@ -11,6 +11,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def register(name: str, oracle: str | None = None):
     """Decorator: add a (spark, sf_dir) query, and its SQL twin where there is one."""
 
@@ -24,7 +28,8 @@ def register(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    """Nothing yet beyond what callers register."""
+    """The modules that register queries."""
+    from corvane.plans import evaluation_queries, log_queries, relational_queries, retrieval_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -43,7 +43,7 @@ def summarize(events: DataFrame, key: str = "run_id", seq: str = "seq", node: st
     """One row per run: events, first and last time in the order of the log, total duration, counts by node and outcome."""
     base = events.groupBy(key).agg(
         F.count("*").alias("n_events"), F.min_by(ts, seq).alias("started_ts"), F.max_by(ts, seq).alias("finished_ts"),
-        F.round(F.sum(F.coalesce(F.col(duration), F.lit(0.0))), 1).alias("duration_ms_total"), F.max(F.coalesce((F.col(node) == rag_node), F.lit(False))).alias("rag"),
+        F.round(F.sum(F.coalesce(F.col(duration), F.lit(0))), 1).alias("duration_ms_total"), F.max(F.coalesce((F.col(node) == rag_node), F.lit(False))).alias("rag"),
     )
     out = base.join(_counted(events, key, node, "node_counts"), key, "left")
     return out.join(_counted(events, key, outcome, "outcomes"), key, "left") if outcome else out
