@@ -50,7 +50,7 @@ def complete_records(spark, sf):
     return _records(spark, sf).groupBy("mode").agg(F.count("*").alias("n"), F.count_if(E.is_complete()).alias("complete"))
 
 
-@register("paired_2x2", f"with {_TWO}, p as (select a.passed pa, b.passed pb, a.llm_calls - b.llm_calls dl, a.attempts - b.attempts da from two a join two b using (task_id) where a.mode = 'quality' and b.mode = 'toxic') select count(*) pairs, count_if(pa and pb)::bigint as "both", count_if(pa and not pb)::bigint only_a, count_if(not pa and pb)::bigint only_b, count_if(not pa and not pb)::bigint neither, round(avg(dl), 6) diff_llm_calls, round(avg(da), 6) diff_attempts from p")
+@register("paired_2x2", f"with {_TWO}, p as (select a.passed pa, b.passed pb, a.llm_calls - b.llm_calls dl, a.attempts - b.attempts da from two a join two b using (task_id) where a.mode = 'quality' and b.mode = 'toxic') select count(*) pairs, count_if(pa and pb)::bigint as \"both\", count_if(pa and not pb)::bigint only_a, count_if(not pa and pb)::bigint only_b, count_if(not pa and not pb)::bigint neither, round(avg(dl), 6) diff_llm_calls, round(avg(da), 6) diff_attempts from p")
 def paired_2x2(spark, sf):
     """Both modes of a task against each other."""
     return E.paired(_two(spark, sf), "quality", "toxic")
