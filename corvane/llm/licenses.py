@@ -111,5 +111,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(array_min(transform(base, x -> x.start)) as bigint)").alias("first_word"), F.expr("cast(array_max(transform(base, x -> x.start)) as bigint)").alias("last_word"),
         F.expr("array_join(array_sort(array_distinct(transform(base, x -> x.label))), ',')").alias("base_labels"),
         F.expr("array_join(array_sort(array_union(transform(base, x -> x.label), transform(hits, x -> x.label))), ',')").alias("labels"),
-        F.expr("least(1D, greatest(coalesce(array_max(transform(hits, x -> x.coverage)), 0D), if(size(base) > 0, 0.5D, 0D)))").alias("score"),
+        F.expr("round(least(1D, greatest(coalesce(array_max(transform(hits, x -> x.coverage)), 0D), if(size(base) > 0, 0.5D, 0D))), 6)").alias("score"),
     )
+
+
+def _oracle() -> str:
+    """The same in DuckDB: postings, votes and coverages as rows."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    labels = ", ".join(f"({k}, {quoted(label)}, {quoted(words)}, {quoted(f' {phrase} ')})" for k, (label, words, phrase) in enumerate(TEMPLATES))
+    return rf"""
+with tm as (select * from (values {labels}) v(k, label, words, phrase)),
+tw as (select k, label, phrase, unnest(string_split(words, ' ')) w, unnest(range(len(string_split(words, ' ')))) i from tm),
+d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_BREAK}'), lambda x: x <> '') ws from documents),
+n as (select count(*) n from d), df as (select w, count(*) df from (select unnest(list_distinct(ws)) w from d) where w in (select w from tw) group by 1),
+idf as (select distinct tw.w, ln((n + 1) / (coalesce(df, 0) + 1)) + 0.001 idf from tw left join df using (w), n),
+an as (select k, w from (select distinct k, w, idf from tw join idf using (w)) qualify row_number() over (partition by k order by idf desc, w) <= {ANCHORS}),
+p as (select doc_id, unnest(ws) w, unnest(range(len(ws))) pos from d),
+lic as (select a.doc_id, a.pos, b.w w1, c.w w2 from p a left join p b on b.doc_id = a.doc_id and b.pos = a.pos - 1 left join p c on c.doc_id = a.doc_id and c.pos = a.pos - 2 where a.w = 'license'),
+base as (select doc_id, case when w1 in ('mit', 'apache') then pos - 1 else pos - 2 end start, case when w1 = 'public' then 'gpl' else w1 end label from lic where w1 in ('mit', 'apache') or (w1 = 'public' and w2 = 'general')),
+votes as (select doc_id, tw.k, pos - i at0 from p join tw using (w) join an on an.k = tw.k and an.w = tw.w group by all having count(*) >= {VOTES}),
+cov as (select v.doc_id, v.k, v.at0, sum(case when p.w = tw.w then idf else 0 end) / sum(idf) coverage from votes v join tw on tw.k = v.k join idf on idf.w = tw.w left join p on p.doc_id = v.doc_id and p.pos = v.at0 + tw.i group by all),
+hits as (select c.doc_id, label, coverage from cov c join tm using (k) join d using (doc_id) where coverage >= {COVERAGE} and contains(' ' || array_to_string(ws, ' ') || ' ', phrase)),
+bs as (select doc_id, count(*) n_base, min(start) first_word, max(start) last_word, string_agg(distinct label, ',' order by label) base_labels from base group by 1),
+hs as (select doc_id, max(coverage) coverage from hits group by 1),
+ls as (select doc_id, string_agg(distinct label, ',' order by label) labels from (select doc_id, label from base union all select doc_id, label from hits) group by 1)
+select doc_id, len(ws)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels,
+  round(least(1, greatest(coalesce(coverage, 0), case when n_base > 0 then 0.5 else 0 end)), 6)::double score
+from d left join bs using (doc_id) left join hs using (doc_id) left join ls using (doc_id)"""
+
+
+ORACLE = _oracle()

@@ -5,4 +5,4 @@ from __future__ import annotations
 from corvane.llm import decontaminate, language, licenses, neardup, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {"op1_secret_scan": secrets.query, "op2_sharding": sharding.query, "op3_minhash_neardup": neardup.query, "op4_license_scan": licenses.query, "op5_pii": pii.query, "op6_toxicity": toxicity.query, "op7_packing": packing.query, "op8_decontamination": decontaminate.query, "op9_language": language.query, "op10_quality_rules": quality.query}
-ORACLE_SQL: dict[str, str] = {"op10_quality_rules": quality.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": licenses.ORACLE, "op10_quality_rules": quality.ORACLE}
