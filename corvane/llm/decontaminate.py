@@ -46,7 +46,7 @@ class HammingIndex:
         for a, b in zip(cuts, cuts[1:], strict=False):
             value = self._block(prints, a, b)
             order = np.argsort(value, kind="stable")
-            self.blocks.append((a, b, order, np.searchsorted(value[order], np.arange((1 << (b - a)) + 1, dtype=U64))))
+            self.blocks.append((a, b, order, value[order]))
 
     @staticmethod
     def _block(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -56,7 +56,8 @@ class HammingIndex:
         """(row, item, distance) of all items within the radius of each print."""
         row, item, far = [], [], []
         for i, x in enumerate(prints):
-            found = np.unique(np.concatenate([order[start[v] : start[v + 1]] for a, b, order, start in self.blocks for v in (int(self._block(x, a, b)),)]))
+            same = ((order, np.searchsorted(value, v), np.searchsorted(value, v, "right")) for a, b, order, value in self.blocks for v in (self._block(x, a, b),))
+            found = np.unique(np.concatenate([order[lo:hi] for order, lo, hi in same]))
             d = np.bitwise_count(self.prints[found] ^ x)
             ok = d <= self.radius
             row.append(np.full(ok.sum(), i))
@@ -153,19 +154,19 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """docs without the rows whose text holds an item. Filtered as it is read: nothing is shuffled."""
+    at = docs.columns.index(text_col)
     for rows in _rounds(items, item_col, item_text):
         texts = [r["text"] for r in rows]
 
         def run(batches, texts=texts):
             index = ItemIndex(texts, radius, least)
             for b in batches:
-                col = b.column(b.schema.get_field_index("__text"))
-                keep = np.ones(len(col), bool)
+                col, keep = b.column(at), np.ones(b.num_rows, bool)
                 for lo, hi in slices(col, 2 << 20):
                     keep[[lo + x[0] for x in index.search(col.slice(lo, hi - lo))]] = False
-                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(keep)) for i in range(b.num_columns - 1)], b.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in b.columns], b.schema.names)
 
-        docs = docs.withColumn("__text", F.col(text_col)).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 

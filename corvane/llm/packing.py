@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import U64, buffers, slices, span_hashes, stash, table
 
-#: Bins that lack at most SLACK tokens of being full are emitted; so many partitions meet per level; most bins per task.
-SLACK, FAN_IN, GROUP_ROWS = 8, 16, 400_000
+#: Bins that lack at most 1/SLACK of their room are emitted; so many partitions meet per level; most bins per task.
+SLACK, FAN_IN, GROUP_ROWS = 512, 16, 400_000
 #: Fixed value: the pattern by which this vocabulary's file splits normalised text into words.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker remembers, at about 40 bytes each.
@@ -259,7 +259,7 @@ def _merge(bins: DataFrame, level: int, room: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every piece's place in a sequence of at most room tokens."""
     pieces = stash(_local(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer, room, end_id), "pack-pieces")
-    open_ = F.col("filled") < room - SLACK
+    open_ = F.col("filled") < room - room // SLACK
     bins = pieces.where(open_).groupBy("bin").agg(F.first("filled").alias("filled"), F.first("part").alias("part"))
     moves, level = None, 0
     n = pieces.where(open_).agg(F.countDistinct("bin"), F.countDistinct("part"), F.max("part")).first()
