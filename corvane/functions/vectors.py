@@ -38,3 +38,10 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> Data
     counts = cells.groupBy("id", "cell").agg(F.count("*").alias("n"))
     size = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
     return counts.join(size, "id").select("id", "cell", (F.col("n") / F.col("len")).alias("weight"))
+
+
+def embed_dense(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """(id, vec array<double>): hashed bags as vectors; a text without tokens is a zero vector."""
+    cells = hash_embed(df, id_col, text_col, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "weight"))).alias("m"))
+    full = df.select(F.col(id_col).alias("id")).join(cells, "id", "left")
+    return full.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +22,17 @@ def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFI
     return named.select("path", F.when(rel.startswith(start), F.substring(rel, len(start) + 1, 1 << 20)).otherwise(F.element_at(F.split("path", "/"), -1)).alias("rel"), "content")
 
 
-@F.pandas_udf("string")
-def _decode(raw: pd.Series) -> pd.Series:
-    def one(b):
-        try:
-            return bytes(b).decode("utf-8-sig")
-        except UnicodeDecodeError:
-            return bytes(b).decode("utf-8", errors="replace")
-
-    return raw.map(one)
+def _decoded(raw: bytes) -> str:
+    try:
+        return bytes(raw).decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return bytes(raw).decode("utf-8", errors="replace")
 
 
 def text_chunks(spark: SparkSession, root: str, library: str, max_chars: int = 800, overlap: int = 100) -> DataFrame:
     """Chunks of all text files below root, one row per piece, with ids from path, place and content."""
-    pieces = list_files(spark, root).select("rel", F.posexplode(splitter(max_chars, overlap)(_decode("content"))).alias("i", "text")).where(F.trim("text") != "")
+    decode = F.pandas_udf(lambda raw: raw.map(_decoded), "string")
+    pieces = list_files(spark, root).select("rel", F.posexplode(splitter(max_chars, overlap)(decode("content"))).alias("i", "text")).where(F.trim("text") != "")
     return pieces.select(
         stable_id(F.lit("text_file"), F.col("rel"), F.col("i"), F.substring(F.sha1("text"), 1, 8)).alias("id"), "text", F.lit(library).alias("library"), F.lit("").alias("version"),
         F.col("rel").alias("qualname"), F.lit("text").alias("kind"), F.lit("").alias("import_path"), F.lit("text_file").alias("source_type"), F.col("rel").alias("source_path"), F.lit(None).cast("string").alias("embed_text"),
