@@ -109,8 +109,8 @@ def truncate_output(c: Column | str, limit: int = 8000) -> Column:
     text, half = _col(c), limit // 2 - 20
     # As many bytes, decoded, without the character that the cut has split.
     raw = F.encode(text, "UTF-8")
-    head = F.regexp_replace(F.decode(F.substring(raw, 1, half), "UTF-8"), "\ufffd+\\z", "")
-    last = F.regexp_replace(F.decode(F.substring(raw, F.octet_length(text) - F.lit(half) + F.lit(1), F.lit(half)), "UTF-8"), "\\A\ufffd+", "")
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, half).cast("string")), "\ufffd+\\z", "")
+    last = F.regexp_replace(F.make_valid_utf8(F.substring(raw, F.octet_length(text) - F.lit(half) + F.lit(1), F.lit(half)).cast("string")), "\\A\ufffd+", "")
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(head, F.lit("\n...[truncated]...\n"), last))
 
 

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corvane import catalog
@@ -22,7 +23,9 @@ def duck(sf_dir):
 def plain(v):
     if hasattr(v, "item") and getattr(v, "ndim", 0) == 0:
         v = v.item()
-    return None if v is None or v != v else v
+    if v is None or v is pd.NA or v != v:
+        return None
+    return int(v) if isinstance(v, float) and v.is_integer() else v  # a column with gaps comes as floats
 
 
 @pytest.mark.parametrize("name", NAMES)
