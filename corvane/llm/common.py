@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Fixed odd multipliers for hashing; any odd values do, but they must never change between runs.
 _GOLDEN, _MIX1, _MIX2, _POLY = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), 0xD6E8FEB86659FD93
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +39,31 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucket31(col: Column, salt: str = "") -> Column:
-    """A non-negative hash of a column, evenly spread."""
-    return F.xxhash64(F.lit(salt), col).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+def sized(df: DataFrame, rows: int, per: int = 200_000) -> DataFrame:
+    """df in as many partitions as so many rows need: a small table is a few files, a large one many."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of a few megabytes: what a task holds outside the heap, and its Python worker, stays small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Freed memory back to the system: an idle Python worker keeps none of what its last task needed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # ---- vectorised hashing over Arrow string buffers
@@ -124,12 +148,19 @@ def word_hashes(col: pa.Array, lower: bool = True, spans: bool = False):
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of stretches of bytes that do not overlap, as of words."""
-    p, inv = _powers(len(data) + 1)
+    """Hashes of stretches of bytes, in order and apart from each other, as of words. Works through pieces of bounded size."""
+    out, a = np.empty(len(start), U64), 0
     with np.errstate(over="ignore"):
-        c = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=c[1:])
-        return mix((c[end] - c[start]) * inv[start] + (end - start).astype(U64) * _GOLDEN)
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(end, start[a] + _CHUNK, "right")))
+            lo, hi = start[a], end[b - 1]
+            p, inv = _powers(hi - lo + 1)
+            c = np.zeros(hi - lo + 1, U64)
+            np.cumsum((data[lo:hi].astype(U64) + U64(1)) * p[: hi - lo], out=c[1:])
+            s, e = start[a:b] - lo, end[a:b] - lo
+            out[a:b] = mix((c[e] - c[s]) * inv[s] + (e - s).astype(U64) * _GOLDEN)
+            a = b
+    return out
 
 
 _SHINGLE = [U64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0x91E10DA5C79E7B1D, 0xD1B54A32D192ED03)]
@@ -168,7 +199,7 @@ def units(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.where(nth == 0, s, mix(s + nth.astype(U64) * _GOLDEN)), at
 
 
-def slices(col: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about so many bytes, or one row."""
     size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(size)])
@@ -193,12 +224,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     written to the shared folder. Works with joins and partial aggregates only.
     """
     both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), f"{name}-cc")
+    rows = both.count()
+    labels = stash(sized(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), rows), f"{name}-cc")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("c"))
         jump = step.alias("s").join(labels.select(F.col("node").alias("c"), F.col("comp").alias("cc")), "c").select("node", "old", F.least("c", "cc").alias("comp"))
-        done = stash(jump, f"{name}-cc")
+        done = stash(sized(jump, rows), f"{name}-cc")
         changed = done.where("comp < old").limit(1).count()
         labels = done.select("node", "comp")
         if not changed:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U64, mix, shingle_hashes, slices, table, units, word_hashes
+from corvane.llm.common import U64, map_arrow, mix, shingle_hashes, slices, table, units, word_hashes
 
 SIMILARITY, RADIUS, BITS, BLOCK_BYTES = 0.8, 18, 64, 16 << 20
 
@@ -140,14 +140,14 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         def run(batches, names=names, texts=texts):
             index, kind = ItemIndex(texts, radius, least), None
             for b in batches:
-                for lo, hi in slices(b.column(1), 2 << 20):
+                for lo, hi in slices(b.column(1)):
                     found = index.search(b.column(1).slice(lo, hi - lo))
                     if found:
                         t, i, a, n, d, s = zip(*found, strict=True)
                         kind = kind or pa.array(names).type
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([lo + x for x in t])), pa.array([names[x] for x in i], kind), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.int32()), pa.array(s, pa.float64())], ["id", "item", "start_word", "n_words", "distance", "similarity"])
 
-        one = src.mapInArrow(run, kinds)
+        one = map_arrow(src, run, kinds)
         out = one if out is None else out.union(one)
     return out if out is not None else docs.sparkSession.createDataFrame([], kinds)
 
@@ -162,11 +162,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
             index = ItemIndex(texts, radius, least)
             for b in batches:
                 col, keep = b.column(at), np.ones(b.num_rows, bool)
-                for lo, hi in slices(col, 2 << 20):
+                for lo, hi in slices(col):
                     keep[[lo + x[0] for x in index.search(col.slice(lo, hi - lo))]] = False
                 yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in b.columns], b.schema.names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
 
 

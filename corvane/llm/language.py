@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import buffers, chunked, slices, table
+from corvane.llm.common import buffers, chunked, map_arrow, slices, table
 from corvane.llm.toxicity import bucket
 
 SAMPLE, LANGUAGES = 600, 64
@@ -91,7 +91,7 @@ class Languages:
         names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
         if not self.members:
             return names.tolist(), scores
-        for lo, hi in slices(texts, 1 << 20):
+        for lo, hi in slices(texts):
             for a in range(lo, hi, 256):
                 b = min(hi, a + 256)
                 x = _scaled(counts(texts.slice(a, b - a)))
@@ -155,7 +155,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (cols.astype(np.int16), c[rows, cols].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 64), *lists], ["lang", "k", "c"])
 
-    got = picked.mapInArrow(run, "lang string, k array<smallint>, c array<int>").toArrow()
+    got = map_arrow(picked, run, "lang string, k array<smallint>, c array<int>").toArrow()
     lang, k, c = (chunked(got.column(i)) for i in range(3))
     off = np.asarray(k.offsets)
     x = np.zeros((len(lang), WIDTH), np.float32)
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, machines: Languages, id_col: str = "doc_id", text_c
             names, scores = machines.predict(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

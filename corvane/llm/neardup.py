@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U64, chunked, components, mix, shingle_hashes, slices, stash, table, units, word_hashes
+from corvane.llm.common import U64, chunked, components, give_back, map_arrow, mix, shingle_hashes, sized, slices, stash, table, units, word_hashes
 
 #: 24 bands of 5: a pair at 0.8 is missed with probability 7e-5, one at 0.9 with 4e-10.
 BANDS, ROWS, SIMILARITY = 24, 5, 0.8
@@ -83,7 +83,7 @@ def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(2)
-            for lo, hi in slices(text, 2 << 20):
+            for lo, hi in slices(text):
                 part = text.slice(lo, hi - lo)
                 with np.errstate(over="ignore"):
                     sig, has = signatures(*_bags(part), len(part), bands * rows)
@@ -92,13 +92,13 @@ def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(keys[has].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), lists], ["id", "node", "bands"])
 
-    return docs.mapInArrow(run, f"id {id_type}, node binary, bands array<bigint>")
+    return map_arrow(docs, run, f"id {id_type}, node binary, bands array<bigint>")
 
 
 def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Weighted Jaccard of the shingle bags, pair by pair."""
     out = []
-    for lo, hi in slices(a, 2 << 20):
+    for lo, hi in slices(a):
         ua, ia = _bags(a.slice(lo, hi - lo))
         ub, ib = _bags(b.slice(lo, hi - lo))
         n = hi - lo
@@ -120,7 +120,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     of = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     to = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    return pairs.join(of, "b").join(to, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(of, "b").join(to, "a").select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def node_of(text) -> F.Column:
@@ -145,12 +145,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     buckets = stash(keyed.groupBy("band").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1"), "dart-buckets")
     members = stash(keyed.join(buckets, "band"), "dart-members")
-    pairs = stash(members.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "dart-pairs")
+    n_members = members.count()
+    pairs = stash(sized(members.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), n_members), "dart-pairs")
     wanted = members.select("node").distinct().join(sig.groupBy("node").agg(F.min("id").alias("id")), "node")
     texts = stash(_texts(src, wanted), "dart-texts")
     edges = stash(_verify(pairs, texts, least), "dart-links")
     labels = components(edges, "dart")
-    rest = _residual(members, labels, texts, least)
+    rest = _residual(members, n_members, labels, texts, least)
     labels = components(stash(edges.union(rest), "dart-links"), "dart")
     named = sig.select("id", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_id = stash(named.groupBy("comp", "node").agg(F.min("id").alias("id"), F.count("*").alias("n")), "dart-class")
@@ -190,7 +191,7 @@ def _links(texts: pa.Array, mine: np.ndarray, comp: list, least: float) -> list[
     return out
 
 
-def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float, block: int = 4 << 20) -> DataFrame:
+def _residual(members: DataFrame, n_members: int, labels: DataFrame, texts: DataFrame, least: float, block: int = 1 << 20) -> DataFrame:
     """Links (a, b) that the stars missed: between different components in one bucket of three nodes or more.
 
     Each node outside its bucket's main component is held against all nodes of the bucket, in blocks of about so many bytes by
@@ -199,12 +200,13 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
     """
     at = members.where("n > 2").join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     by = at.groupBy("band", "comp").agg(F.count("*").alias("m"))
-    mixed = by.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp"))["comp"].alias("main")).where("comps > 1").select("band", "main")
-    rows = stash(at.join(mixed, "band").select("band", "node", "comp", (F.col("comp") != F.col("main")).alias("out")), "dart-mixed")
+    mixed = stash(sized(by.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp"))["comp"].alias("main")).where("comps > 1").select("band", "main"), n_members), "dart-mixed-bands")
+    rows = stash(sized(at.join(mixed, "band").select("band", "node", "comp", (F.col("comp") != F.col("main")).alias("out")), n_members), "dart-mixed")
     sizes = texts.select("node", F.octet_length("text").alias("bytes"))
-    blocks = rows.join(sizes, "node").groupBy("band").agg(
+    # Written, so that the joins by band below have plain inputs, which adaptive skew joins can split.
+    blocks = stash(sized(rows.join(sizes, "node").groupBy("band").agg(
         F.ceil(F.sum("bytes") / block).cast("int").alias("nm"), F.ceil(F.sum(F.when(F.col("out"), F.col("bytes")).otherwise(0)) / block).cast("int").alias("ns")
-    ).select("band", F.greatest("nm", F.lit(1)).alias("nm"), F.greatest("ns", F.lit(1)).alias("ns"))
+    ).select("band", F.greatest("nm", F.lit(1)).alias("nm"), F.greatest("ns", F.lit(1)).alias("ns")), n_members), "dart-blocks")
     rows = rows.join(blocks, "band")
     spread = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("node")), F.col(n)).cast("int")
     all_ = rows.select("band", "node", "comp", F.lit(False).alias("mine"), spread(1, "nm").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("j"))
@@ -212,6 +214,7 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
 
     def run(t):
         t = t.combine_chunks()
+        give_back()
         found = _links(chunked(t.column("text")), t.column("mine").to_numpy(), t.column("comp").to_pylist(), least)
         node = chunked(t.column("node"))
         return pa.table([node.take(pa.array([x[0] for x in found], pa.int64())), node.take(pa.array([x[1] for x in found], pa.int64()))], ["a", "b"])

@@ -4,7 +4,8 @@ Level 0: each partition tokenises its documents, cuts those longer than a sequen
 first. Bins that are nearly full are emitted. The others become items for the next level: groups of partitions meet in a
 tree, each packs its underfull bins as whole items, best-fit again, and hands its own underfull bins on. Only bins (two
 numbers each) move, never tokens or texts. The tree stops when a task's bins would outgrow ``GROUP_ROWS`` (a best-fit over so many is
-as good as one over all), so no task's input grows with the corpus.
+as good as one over all), so no task's input grows with the corpus; what is underfull then is opened once and its pieces
+are packed anew, which makes up for partitions of few documents.
 
 Defined cases: a null or empty text is the single end token; equal rows are packed each; an empty table gives no rows; a
 document of exactly one sequence's length fills a sequence alone; ids may be null or repeated, as rows are told apart by
@@ -24,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U64, buffers, slices, span_hashes, stash, table
+from corvane.llm.common import U64, buffers, give_back, map_arrow, slices, span_hashes, stash, table
 
 #: Bins that lack at most 1/SLACK of their room are emitted; so many partitions meet per level; most bins per task.
 SLACK, FAN_IN, GROUP_ROWS = 512, 16, 400_000
 #: Fixed value: the pattern by which this vocabulary's file splits normalised text into words.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker remembers, at about 40 bytes each.
-_SEEN_MOST = 2_000_000
+_SEEN_MOST = 1_000_000
 #: Classes of bytes: blank, letter, digit, other. Letters beyond ASCII: the two bytes of U+00C0 to U+00FF.
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -88,6 +89,8 @@ class WordTokenizer:
         self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
         if self.fast:
             self.ends[[i for w, i in head["model"]["vocab"].items() if w.endswith(end)]] = True
+        del head
+        give_back()
         self.known = _Known()
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +207,23 @@ def best_fit(sizes: list[int], room: int) -> list[tuple[int, int]]:
     return out
 
 
+def _opened(placed: DataFrame, room: int) -> DataFrame:
+    """The last underfull bins of each group, opened: their pieces packed anew where that takes fewer bins."""
+
+    def run(key, t):
+        old, size = t.column("sequence_id").to_numpy(), t.column("length").to_numpy()
+        order = np.lexsort((t.column("offset").to_numpy(), old, t.column("ids_crc32").to_numpy(), -size))
+        place = np.zeros((len(size), 2), np.int64)
+        place[order] = best_fit(size[order].tolist(), room)
+        if place[:, 0].max(initial=-1) + 1 >= len(np.unique(old)):
+            return t.drop_columns(["part"])
+        names = t.schema.names
+        t = t.set_column(names.index("sequence_id"), "sequence_id", pa.array(place[:, 0] + (int(key[0].as_py()) << 32) + (120 << 56)))
+        return t.set_column(names.index("offset"), "offset", pa.array(place[:, 1])).drop_columns(["part"])
+
+    return placed.groupBy("part").applyInArrow(run, placed.drop("part").schema)
+
+
 _PIECES = "id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, at bigint, filled bigint, part int"
 
 
@@ -219,7 +239,7 @@ def _local(docs: DataFrame, path: str, room: int, end_id: int) -> DataFrame:
         for b in batches:
             id_arrow = b.schema.field(0).type
             text = b.column(1)
-            for lo, hi in slices(text, 2 << 20):
+            for lo, hi in slices(text):
                 tok, where = t.batch(text.slice(lo, hi - lo))
                 for key, x, y in zip(b.column(0).slice(lo, hi - lo).to_pylist(), where[:-1].tolist(), where[1:].tolist(), strict=True):
                     for p, a in enumerate(range(0, y - x + 1, room)):
@@ -236,7 +256,7 @@ def _local(docs: DataFrame, path: str, room: int, end_id: int) -> DataFrame:
         for a in range(0, len(c), 50_000):
             yield whole.slice(a, 50_000)
 
-    return docs.mapInArrow(run, _PIECES.format(id=id_type))
+    return map_arrow(docs, run, _PIECES.format(id=id_type))
 
 
 def _merge(bins: DataFrame, level: int, room: int) -> DataFrame:
@@ -276,11 +296,12 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 1, id_
         before, left = left, bins.count()
         if to <= least or left < 2 or to == 1:
             break
+    columns = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     if moves is None:
-        return pieces.select("id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
-    return pieces.join(moves, "bin", "left").select(
-        "id", "piece", "start", "length", "ids_crc32", F.coalesce("to", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("base", F.lit(0))).alias("offset")
-    )
+        return pieces.withColumnsRenamed({"bin": "sequence_id", "at": "offset"}).select(columns)
+    placed = pieces.drop("part", "filled").join(moves, "bin", "left").withColumns({"sequence_id": F.coalesce("to", "bin"), "offset": F.col("at") + F.coalesce("base", F.lit(0))}).select(columns)
+    last = bins.select(F.col("bin").alias("sequence_id"), "part")
+    return placed.join(last, "sequence_id", "left_anti").select(columns).union(_opened(placed.join(last, "sequence_id"), room).select(columns))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table
+from corvane.llm.common import map_arrow, table
 
 #: For tests and examples; a deployment passes its own.
 EXAMPLE_KEY = b"an example key, not a secret one"
@@ -253,7 +253,7 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, id_col: str = "doc_i
                 found.append([dict(zip(("start", "end", "kind", "pseudonym"), x, strict=True)) for x in own])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(found, kind)], ["id", "text", "found"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string, found {_FOUND}")
+    return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, text string, found {_FOUND}")
 
 
 def replace_text(docs: DataFrame, key: bytes = EXAMPLE_KEY, text_col: str = "text") -> DataFrame:
@@ -268,7 +268,7 @@ def replace_text(docs: DataFrame, key: bytes = EXAMPLE_KEY, text_col: str = "tex
             arrays = [pa.array(new, col.type) if i == at else b.column(i) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(arrays, b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table
+from corvane.llm.common import map_arrow, table
 
 #: Fixed patterns: the base kinds in the order in which they are listed, with the least length of what must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _FINDING)], ["id", "secrets"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, secrets array<struct<kind:string,start:bigint,end:bigint,target:string,score:double>>")
+    return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, secrets array<struct<kind:string,start:bigint,end:bigint,target:string,score:double>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U64, chunked, slices, span_hashes, table, word_hashes
+from corvane.llm.common import U64, chunked, map_arrow, slices, span_hashes, table, word_hashes
 
 POSITIVE, NEGATIVE, TERMS, FACTORS, THRESHOLD = 2500, 4000, 8192, 4, 0.7
 _PREFIXES = (5, 6, 7)  # bytes
@@ -69,7 +69,7 @@ class Machine:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         out = [np.zeros(0)]
-        for lo, hi in slices(texts, 2 << 20):
+        for lo, hi in slices(texts):
             row, key, words = terms(texts.slice(lo, hi - lo))
             if len(self.keys):
                 i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -125,17 +125,22 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int, int]], prior: float, n_te
     empty = Machine(np.zeros(0, np.uint32), float(np.log((prior + 1e-9) / (1 - prior + 1e-9))), np.zeros(0), np.zeros((0, factors)))
     if len(y) == 0 or y.min() == y.max():
         return empty
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    key, count = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    words = np.array([r[2] for r in rows])
-    keys, col = np.unique(key, return_inverse=True)
-    # The terms whose presence at the density of a toxic text is most unlike between the classes.
-    x = _value(count, words[row])
+    # Terms of five rows or more: counted first, so that the rare ones, most of all, are never held with their rows.
+    keys, df = np.unique(np.concatenate([r[0] for r in rows]), return_counts=True)
+    keys, df = keys[df >= 5], df[df >= 5]
+    row, col, x = [], [], []
+    for i, (k, c, n, _) in enumerate(rows):
+        at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+        ok = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+        row.append(np.full(ok.sum(), i, np.int32))
+        col.append(at[ok].astype(np.int32))
+        x.append(_value(c[ok], np.full(ok.sum(), n)))
+    row, col, x = map(np.concatenate, (row, col, x))
+    # The terms whose density is most unlike between the classes.
     s1, s0 = (np.bincount(col, x * (y[row] == k), minlength=len(keys)) / (y == k).sum() for k in (1, 0))
     var = np.bincount(col, x * x, minlength=len(keys)) / len(y)
-    df = np.bincount(col, minlength=len(keys))
-    z = np.where(df >= 5, np.abs(s1 - s0) / np.sqrt(var + 1e-12), 0)
-    best = np.sort(np.argsort(-z, kind="stable")[: min(n_terms, int((df >= 5).sum()))])
+    z = np.abs(s1 - s0) / np.sqrt(var + 1e-12)
+    best = np.sort(np.argsort(-z, kind="stable")[:n_terms])
     place = np.full(len(keys), -1)
     place[best] = np.arange(len(best))
     ok = place[col] >= 0
@@ -197,17 +202,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(1), 2 << 20):
+            for lo, hi in slices(b.column(1)):
                 row, key, words = terms(b.column(1).slice(lo, hi - lo))
                 r, k, c = _counts(row, key, 1 << _BITS)
                 off = pa.array(np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(off, pa.array(v.astype(kind))) for v, kind in ((k, np.int64), (c, np.int32))]
+                lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (k.astype(np.uint32).view(np.int32), np.minimum(c, 32767).astype(np.int16))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *lists, pa.array(words.astype(np.int64))], ["y", "k", "c", "n"])
 
-    got = src.mapInArrow(run, "y int, k array<bigint>, c array<int>, n bigint").toArrow()
+    got = map_arrow(src, run, "y int, k array<int>, c array<smallint>, n bigint").toArrow()
     cols = [chunked(got.column(i)) for i in range(4)]
     off = np.asarray(cols[1].offsets)
-    k, c = cols[1].values.to_numpy().astype(np.uint32), cols[2].values.to_numpy()
+    k, c = cols[1].values.to_numpy().view(np.uint32), cols[2].values.to_numpy()
     rows = [(k[a:b], c[a:b], n, y) for a, b, n, y in zip(off, off[1:], cols[3].to_pylist(), cols[0].to_pylist(), strict=False)]
     # In an order that no partitioning changes.
     rows.sort(key=lambda r: (r[3], r[2], len(r[0]), zlib.crc32(r[0].tobytes())))
@@ -222,7 +227,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(machine.score(b.column(1)))], ["id", "score"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double")
+    return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, score double")
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -234,7 +239,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD,
             keep = pc.less(pa.array(machine.score(b.column(at))), threshold)
             yield pa.RecordBatch.from_arrays([x.filter(keep) for x in b.columns], b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Machine:
