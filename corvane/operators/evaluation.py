@@ -100,3 +100,26 @@ def render_report(summary: list, pair: object | None, rows: list, modes: tuple[s
         out += ["Fewer than 10 pairs: read with care."] if pair["pairs"] < 10 else []
     out += ["", "| task | " + " | ".join(modes) + " |", "|---" * (len(modes) + 1) + "|"]
     return "\n".join(out + [f"| {r['task_id']} | " + " | ".join(r[m] for m in modes) + " |" for r in rows]) + "\n"
+
+
+def ledger_counts(cells: DataFrame) -> DataFrame:
+    """One row: executed, skipped, pending and failed cells of a ledger (status)."""
+    return cells.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("executed", "skipped", "pending", "error")])
+
+
+def verify_references(tasks: DataFrame, sandbox=None) -> DataFrame:
+    """(id, passed, category): each task's reference solution against its own tests."""
+    from corvane.operators import effects
+
+    src = tasks.select("id", F.col("reference").alias("code"), "tests", F.lit(None).cast("string").alias("run"))
+    done = effects.run_tests(src, sandbox or effects.subprocess_sandbox)
+    return done.select("id", F.coalesce("run.passed", F.lit(False)).alias("passed"), F.coalesce("run.category", F.lit("sandbox_error")).alias("category"))
+
+
+def write_report(text: str, path: str) -> None:
+    """A rendered report as a file, replaced as a whole."""
+    import os
+
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(f"{path}.new", path)

@@ -72,3 +72,38 @@ def extract_usage(prompt: Column, completion: Column, given_in: Column, given_ou
     o = F.when(known, F.coalesce(given_out, F.lit(0))).otherwise(guess(completion))
     total = F.when(known, F.coalesce(F.nullif(given_total, F.lit(0)), i + o)).otherwise(i + o)
     return F.struct(F.lit(1).alias("llm_calls"), i.alias("input_tokens"), o.alias("output_tokens"), total.alias("total_tokens"), F.when(known, 0).otherwise(1).alias("estimated_calls"))
+
+
+def new_run_id() -> Column:
+    """A run's id: UTC time and eight hexadecimal digits."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyyMMdd'T'HHmmss"), F.lit("-"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8))
+
+
+def format_event(node: Column, attempt: Column, detail: Column) -> Column:
+    """One line of at most 160 ASCII characters for an event; detail: a JSON text of its summary."""
+    get = lambda k, other="": F.coalesce(F.get_json_object(detail, f"$.{k}"), F.lit(other))
+    n = lambda k: F.coalesce(F.json_array_length(F.get_json_object(detail, f"$.{k}")), F.lit(0)).cast("string")
+    error = F.coalesce(F.concat(F.lit(" error="), F.get_json_object(detail, "$.error")), F.lit(""))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    top = F.coalesce(F.format_string("%.3f", F.array_max(F.from_json(F.get_json_object(detail, "$.scores"), "array<double>"))), F.lit("-"))
+    top = F.when(F.get_json_object(detail, "$.scores").isNull() | (n("scores") == "0"), "-").otherwise(top)
+    line = (
+        F.when(node == "retrieve", say("[retrieve] mode=", get("mode"), " queries=", n("queries"), " docs=", get("n_docs", "0"), " top=", top, error))
+        .when(node.isin("generate", "revise"), say("[", node, "] attempt=", attempt.cast("string"), " code=", get("code_chars", "0"), " chars tests=", get("tests_chars", "0"), " chars", F.when(error != "", say(" FAILED", error)).otherwise("")))
+        .when(node == "run_tests", say("[run_tests] attempt=", attempt.cast("string"), " ", F.when(get("passed") == "true", "PASS").otherwise("FAIL"), " category=", get("category"), " tests=", get("tests_total", "0"), " failed=", get("tests_failed", "0")))
+        .when(node == "analyze_error", say("[analyze_error] category=", get("category"), " fault=", get("fault"), " needs_docs=", get("needs_docs", "false")))
+        .when(node == "human_review", F.when(get("paused") == "true", "[human_review] PAUSED: awaiting human review").otherwise(say("[human_review] decision=", get("decision"), " round=", get("human_rounds", "0"))))
+        .when(node == "fail", say("[fail] ", F.substring(get("reason"), 1, 120))).otherwise(say("[", node, "] done"))
+    )
+    return F.substring(F.regexp_replace(line, r"[^\x20-\x7E]", "?"), 1, 160)
+
+
+def stop_reason(errors: Column) -> Column:
+    """quota or auth by the first of a run's errors, in order, that ends a whole evaluation; else null."""
+    kind = lambda e: F.when(e == "daily_quota", "quota").when(e.isin("auth", "model"), "auth")
+    return F.get(F.filter(F.transform(errors, kind), lambda x: x.isNotNull()), F.lit(0))
+
+
+def display_status(status: Column, waiting: Column, decision: Column) -> Column:
+    """The status to show: a pause and a final rejection come before the stored one."""
+    return F.when(waiting, "awaiting_review").when(decision == "reject_final", "rejected").otherwise(status)

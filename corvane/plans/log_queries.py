@@ -142,3 +142,42 @@ def junit_reports(spark, sf):
     case = F.concat(F.lit('<testcase name="t'), F.col("turn").cast("string"), F.lit('">'), F.when(F.col("turn") % 3 == 0, F.lit('<failure message="a &lt; b">tb</failure>')).otherwise(""), F.lit("</testcase>"))
     xml = table(spark, sf, "conversations").groupBy("conv_id").agg(F.concat(F.lit("<testsuites><testsuite>"), F.array_join(F.collect_list(case), ""), F.lit("</testsuite></testsuites>")).alias("xml"))
     return xml.select("conv_id", parse_junit(F.col("xml")).alias("r")).select("conv_id", F.col("r.total").cast("bigint").alias("total"), F.col("r.failed").cast("bigint").alias("failed"))
+
+
+@register("format_events", """select event_id, substr(case event_type when 'click' then '[retrieve] mode=m queries=2 docs=' || (event_id % 5) || ' top=0.500' when 'view' then '[generate] attempt=' || user_id || ' code=' || event_id || ' chars tests=0 chars'
+ when 'error' then '[fail] ' || substr(repeat('ab', 100), 1, 120) else '[' || event_type || '] done' end, 1, 160) line from events""")
+def format_events(spark, sf):
+    """Events as lines."""
+    t = F.col("event_type")
+    node = F.when(t == "click", "retrieve").when(t == "view", "generate").when(t == "error", "fail").otherwise(t)
+    detail = (
+        F.when(t == "click", F.concat(F.lit('{"mode":"m","queries":["a","b"],"scores":[0.25,0.5],"n_docs":'), (F.col("event_id") % 5).cast("string"), F.lit("}")))
+        .when(t == "view", F.concat(F.lit('{"code_chars":'), F.col("event_id").cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('{"reason":"'), F.repeat(F.lit("ab"), 100), F.lit('"}')))
+    )
+    return _events(spark, sf).select("event_id", L.format_event(node, F.col("user_id"), detail).alias("line"))
+
+
+@register("stop_reasons", "select user_id, case when min(event_id) filter (event_type = 'error') is not null and (min(event_id) filter (event_type = 'error') < coalesce(min(event_id) filter (event_type = 'purchase'), 1000000000)) then 'quota' when min(event_id) filter (event_type = 'purchase') is not null then 'auth' end reason from events group by 1")
+def stop_reasons(spark, sf):
+    """Why a run would end an evaluation: the first decisive error in order."""
+    kind = F.when(F.col("event_type") == "error", "daily_quota").when(F.col("event_type") == "purchase", "auth").otherwise("unavailable")
+    runs = _events(spark, sf).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", kind.alias("k")))), lambda x: x["k"]).alias("errors"))
+    return runs.select("user_id", L.stop_reason(F.col("errors")).alias("reason"))
+
+
+@register("ledger_counts", "select count(*) filter (event_id % 4 = 0) executed, count(*) filter (event_id % 4 = 1) skipped, count(*) filter (event_id % 4 = 2) pending, count(*) filter (event_id % 4 = 3) error from events")
+def ledger_counts(spark, sf):
+    """Cells of a ledger by what became of them."""
+    from corvane.operators.evaluation import ledger_counts as counts
+
+    return counts(_events(spark, sf).select(F.get(F.array(*map(F.lit, ("executed", "skipped", "pending", "error"))), (F.col("event_id") % 4).cast("int")).alias("status")))
+
+
+@register("prompts", """select conv_id, turn, 'Task:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'Documentation:' || chr(10) || '[a] one' || chr(10) || chr(10) || '[b] two' || case when turn % 2 = 0 then chr(10) || chr(10) || 'These tests are given and fixed; leave out the tests tag.' || chr(10) || 'assert f' else '' end human from conversations""")
+def prompts(spark, sf):
+    """First messages to the model: task, documentation that fits, given tests."""
+    from corvane.plans import prompts as P
+
+    docs = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in (("a", "one"), ("b", "two"), ("c", "x" * 100))])
+    given = F.when(F.col("turn") % 2 == 0, F.lit(" assert f "))
+    return table(spark, sf, "conversations").select("conv_id", "turn", P.generate(F.col("text"), docs, given, 40)["human"].alias("human"))
