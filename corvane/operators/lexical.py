@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions.arrays import histogram, unrolled
 from corvane.functions.text import tokenize
 from corvane.sources.durable import durable, small
 
@@ -28,11 +29,11 @@ class LexicalIndex:
 
     @staticmethod
     def build(chunks: DataFrame, id_col: str = "id", text: Column | str = "text", keep: tuple[str, ...] = ()) -> LexicalIndex:
-        """One pass for tokens, one shuffle for counts (each text's counts are complete before it), one for document frequencies."""
-        toks = durable(chunks.select(F.col(id_col).alias("id"), *keep, tokenize(text).alias("toks")), "tokens")
-        stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-        flat = toks.select("id", *keep, F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
-        postings = durable(flat.groupBy("tok", "id", "dl", *keep).agg(F.count("*").alias("tf")), "postings")
+        """One pass for tokens and their counts within rows; one shuffle, by ranges of tokens, so that files hold few tokens each."""
+        toks = durable(histogram(chunks.select(F.col(id_col).alias("id"), *keep, tokenize(text).alias("toks")), "toks", "h").select("id", *keep, F.size("toks").alias("dl"), "h"), "tokens")
+        stats = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        flat = unrolled(toks, "h", "id", "dl", *keep).withColumnsRenamed({"value": "tok", "n": "tf"})
+        postings = durable(flat.repartitionByRange("tok", "id").sortWithinPartitions("tok", "id"), "postings")
         terms = durable(postings.groupBy("tok").agg(F.count("*").alias("df")), "terms")
         return LexicalIndex(postings, terms, stats["n"], float(stats["avgdl"] or 0.0))
 

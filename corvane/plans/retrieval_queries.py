@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from corvane.catalog import register, table
 from corvane.functions import text as X
+from corvane.functions.arrays import histogram, unrolled
 from corvane.functions.vectors import hash_embed
 from corvane.operators import dense, fusion, store
 from corvane.operators.lexical import LexicalIndex
@@ -53,8 +54,8 @@ def _asked(spark, sf):
 @register("tokens_freq", f"with {_TOKENS} select tok, count(*) n, count(distinct doc_id) df from toks group by 1")
 def tokens_freq(spark, sf):
     """How often each token occurs, and in how many documents."""
-    per = _docs(spark, sf).select("doc_id", F.explode(X.tokenize("text")).alias("tok")).groupBy("tok", "doc_id").count()
-    return per.groupBy("tok").agg(F.sum("count").alias("n"), F.count("*").alias("df"))
+    per = histogram(_docs(spark, sf).select(X.tokenize("text").alias("t")), "t", "h")
+    return unrolled(per, "h").groupBy(F.col("value").alias("tok")).agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 
 @register("bm25_topk", f"with {_BM25.format(where='')} select qid, id, round(score, 6) score, rank from bm where rank <= 10")
