@@ -19,8 +19,9 @@ def is_complete() -> Column:
 
 
 def pending(tasks: DataFrame, modes: DataFrame, done: DataFrame, limit: int | None = None, force: bool = False) -> DataFrame:
-    """(task_id, mode) still to run, by task: the grid without its complete cells. tasks (task_id), modes (mode, mode_no): both small by nature."""
-    grid = tasks.select("task_id").join(F.broadcast(modes.select("mode", "mode_no").limit(64)), F.lit(True))
+    """(task_id, mode) still to run, by task: the grid without its complete cells. tasks (task_id), modes (mode, mode_no): a few."""
+    named = [F.struct(F.lit(r["mode"]).alias("mode"), F.lit(r["mode_no"]).alias("mode_no")) for r in modes.orderBy("mode_no").collect()]
+    grid = tasks.select("task_id", F.explode(F.array(*named)).alias("m")).select("task_id", "m.mode", "m.mode_no")
     left = grid if force else grid.join(done.where(is_complete()).select("task_id", "mode"), ["task_id", "mode"], "left_anti")
     out = left.orderBy("task_id", "mode_no").select("task_id", "mode")
     return out if limit is None else out.limit(limit)
@@ -79,7 +80,11 @@ def p95(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by).orderBy(value)
     run = values.withColumn("upto", F.sum("c").over(w))
-    both = run.join(n.withColumn("at", at), list(by)) if by else run.join(F.broadcast(n.withColumn("at", at)), F.lit(True))
+    if by:
+        both = run.join(n.withColumn("at", at), list(by))
+    else:
+        one = n.withColumn("at", at).first()
+        both = run.withColumns({"n": F.lit(one["n"]), "at": F.lit(one["at"])})
     return both.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select(*by, F.col(value).alias("p95"), "n")
 
 
@@ -87,7 +92,7 @@ def report_header(tasks: DataFrame, records: DataFrame) -> DataFrame:
     """One row: tasks, complete records, errors and the ids of tasks with errors."""
     n = tasks.agg(F.count("*").alias("tasks"))
     r = records.agg(F.count_if(is_complete()).alias("complete"), F.count_if(F.col("status") == "error").alias("errors"), F.array_sort(F.collect_set(F.when(F.col("status") == "error", F.col("task_id")))).alias("error_tasks"))
-    return n.join(F.broadcast(r), F.lit(True))
+    return r.withColumn("tasks", F.lit(n.first()["tasks"])).select("tasks", *r.columns)
 
 
 def render_report(summary: list, pair: object | None, rows: list, modes: tuple[str, ...], model: str | None = None) -> str:

@@ -30,10 +30,14 @@ def top_n(df: DataFrame, name: str, value: str, n: int) -> DataFrame:
 
 
 def z_scores(df: DataFrame, *values: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Columns z_<value> by the population's deviation; 0 where there is none. One aggregate row is broadcast, no window over all rows."""
-    stats = df.agg(*[x for v in values for x in (F.avg(v).alias(f"m_{v}"), F.stddev_pop(v).alias(f"s_{v}"))])
-    z = lambda v: F.coalesce(F.try_divide(F.col(v) - F.col(f"m_{v}"), F.nullif(F.col(f"s_{v}"), F.lit(0.0))), F.when(F.col(v).isNotNull(), F.lit(0.0)))
-    return df.join(F.broadcast(stats), F.lit(True)).select(*keys, *[F.round(z(v), 6).alias(f"z_{v}") for v in values])
+    """Columns z_<value> by the population's deviation; 0 where there is none. Two passes: one row of moments, then a projection."""
+    stats = df.agg(*[x for v in values for x in (F.avg(v).alias(f"m_{v}"), F.stddev_pop(v).alias(f"s_{v}"))]).first()
+
+    def z(v: str) -> Column:
+        m, s = stats[f"m_{v}"], stats[f"s_{v}"]
+        return F.when(F.col(v).isNotNull(), (F.col(v) - F.lit(m)) / F.lit(s) if s else F.lit(0.0))
+
+    return df.select(*keys, *[F.round(z(v), 6).alias(f"z_{v}") for v in values])
 
 
 def run_lengths(df: DataFrame, key: str, seq: str, value: str) -> DataFrame:
