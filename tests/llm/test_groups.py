@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import changed, words
+from llm_helpers import changed, words
 
 from corvane.llm import decontaminate, neardup, packing, sharding
 from corvane.llm.common import components, shingle_hashes, word_hashes

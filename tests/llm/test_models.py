@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import words
+from llm_helpers import words
 
 from corvane.llm import language, packing, toxicity
 
