@@ -23,8 +23,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """To unit length; a zero vector stays."""
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm(a)), x.cast("double")))
+    """To unit length; a zero vector stays. The length is bound as a variable, so that it is computed once, not for every element."""
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), x.cast("double")))), F.lit(0))
 
 
 def hash_cell(token: Column, dim: int) -> Column:

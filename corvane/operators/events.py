@@ -64,6 +64,13 @@ def merge_usage(usage: DataFrame, key: str, *counters: str) -> DataFrame:
     return usage.groupBy(key).agg(*[F.sum(c).alias(c) for c in counters])
 
 
+def add_usage(a: Column, b: Column) -> Column:
+    """Two maps of counters, added by key; a null counts as nothing, and a key that is null on both sides is left out."""
+    empty = F.create_map().cast("map<string,bigint>")
+    both = F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda _, x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))))
+    return F.map_filter(both, lambda _, v: v.isNotNull())
+
+
 def extract_usage(prompt: Column, completion: Column, given_in: Column, given_out: Column, given_total: Column) -> Column:
     """struct of token counts: the provider's where there are any, else estimates of a quarter of the characters."""
     guess = lambda c: F.ceil(F.length(F.coalesce(c, F.lit(""))) / 4).cast("bigint")

@@ -181,3 +181,34 @@ def prompts(spark, sf):
     docs = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in (("a", "one"), ("b", "two"), ("c", "x" * 100))])
     given = F.when(F.col("turn") % 2 == 0, F.lit(" assert f "))
     return table(spark, sf, "conversations").select("conv_id", "turn", P.generate(F.col("text"), docs, given, 40)["human"].alias("human"))
+
+
+@register("add_usage", """with p as (select event_id, 'in' k, case when event_id % 3 = 0 then event_id end v from events union all select event_id, 'out', user_id from events union all select event_id, 'in', case when event_id % 2 = 0 then 5 end from events)
+ select event_id, k, sum(v)::bigint n from p group by all having count(v) > 0""")
+def add_usage(spark, sf):
+    """Counters of two steps added by key."""
+    a = F.create_map(F.lit("in"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")), F.lit("out"), F.col("user_id"))
+    b = F.create_map(F.lit("in"), F.when(F.col("event_id") % 2 == 0, F.lit(5).cast("bigint")))
+    return _events(spark, sf).select("event_id", F.explode(L.add_usage(a, b)).alias("k", "n"))
+
+
+@register("call_gaps", "select event_id, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) over (partition by user_id order by event_id) / 1e6, 3) gap_s from events")
+def call_gaps(spark, sf):
+    """Seconds since a run's last call: what a throttle would have had to wait for."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    e = _events(spark, sf).select("event_id", "user_id", t.alias("t"))
+    return L.running(e, "user_id", "event_id", "t").select("event_id", F.round("delta_t", 3).alias("gap_s"))
+
+
+@register("deepest_files", "select event_id, case event_id % 3 when 0 then 'solution.py' when 1 then 'test_solution.py' end file from events")
+def deepest_files(spark, sf):
+    """The file of a trace's last place."""
+    trace = F.when(F.col("event_id") % 3 == 0, "test_solution.py:3: in t\nsolution.py:9: KeyError").when(F.col("event_id") % 3 == 1, "solution.py:9: in f\ntest_solution.py:3: AssertionError").otherwise("no place")
+    return _events(spark, sf).select("event_id", A.deepest_file(trace).alias("file"))
+
+
+@register("exceptions", "select event_id, case event_id % 3 when 0 then 'KeyError' when 1 then 'ValueError' else 'Exception' end as type, case event_id % 3 when 0 then 'key a' when 1 then 'bad: ' || event_id else 'odd end' end message from events")
+def exceptions(spark, sf):
+    """The last exception and its message."""
+    text = F.when(F.col("event_id") % 3 == 0, "Traceback\nsolution.py:9: KeyError: key a").when(F.col("event_id") % 3 == 1, F.concat(F.lit("KeyError: x\nValueError: bad: "), F.col("event_id").cast("string"), F.lit("\n"))).otherwise("so\nodd end")
+    return _events(spark, sf).select("event_id", A.exception_of(text).alias("x")).select("event_id", "x.type", "x.message")

@@ -195,3 +195,36 @@ def piece_overlap(spark, sf):
     w = Window.partitionBy("doc_id").orderBy("i")
     p = split_markdown(spark, sf).withColumn("before", F.lag("piece").over(w))
     return p.where("before is not null").groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_if(F.contains("before", F.substring("piece", 1, 20))).alias("overlapping"))
+
+
+@register("cosine_neighbours", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def cosine_neighbours(spark, sf):
+    """Each vector against the next."""
+    from corvane.functions.vectors import cosine
+
+    v = _vectors(spark, sf)
+    after = v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other"))
+    return v.join(after, "id").select(F.col("id").alias("vec_id"), F.round(cosine(F.col("vec"), F.col("other")), 6).alias("score"))
+
+
+@register("normalized", "select vec_id, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) x0 from embeddings")
+def normalized(spark, sf):
+    """First components of vectors of unit length."""
+    from corvane.functions.vectors import l2_normalize
+
+    return _vectors(spark, sf).select(F.col("id").alias("vec_id"), F.round(l2_normalize(F.col("vec"))[0], 6).alias("x0"))
+
+
+@register("corpus_union", "select kind, count(*) n, sum(length(coalesce(text, '')))::bigint chars from (select 'text' kind, text from documents union all select 'page', html from pages) group by 1")
+def corpus_union(spark, sf):
+    """Chunks of two sources together."""
+    docs = _docs(spark, sf).select(F.lit("text").alias("kind"), "text")
+    both = docs.unionByName(table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("html").alias("text")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+
+
+@register("embed_sources", "select doc_id, case when coalesce(lang, '') = 'en' or lang is null then text else lang end source_text from documents")
+def embed_sources(spark, sf):
+    """What would be embedded where a short form is given for some."""
+    short = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang"))
+    return _docs(spark, sf).select("doc_id", store.embed_source(F.col("text"), short).alias("source_text"))
