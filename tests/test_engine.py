@@ -286,3 +286,15 @@ def test_options():
     assert (o.top_k, o.hybrid, o.min_score, o.shown()["api_key"]) == (9, False, 0.2, "***")
     with pytest.raises(ValueError, match="rrf_k"):
         Options(rrf_k=0)
+
+
+def test_engine_evaluates_what_is_pending(spark):
+    tasks = spark.createDataFrame([("a", "do", ""), ("b", "do", "")], "task_id string, task string, provided_tests string")
+    none = spark.createDataFrame([], "schema_version int, task_id string, mode string, status string")
+    e = Engine(spark, "ev")
+    modes = {"rag": scripted(1), "norag": scripted(2)}
+    first = e.evaluate(tasks, modes, none).cache()
+    assert {(r["task_id"], r["mode"], r["attempts"], r["first_try"]) for r in first.collect()} == {("a", "rag", 1, True), ("b", "rag", 1, True), ("a", "norag", 2, False), ("b", "norag", 2, False)}
+    again = e.evaluate(tasks, modes, first.where("not (task_id = 'b' and mode = 'norag')"))
+    assert [(r["task_id"], r["mode"]) for r in again.collect()] == [("b", "norag")]
+    assert e.evaluate(tasks, modes, none, limit=1).count() == 1
