@@ -84,7 +84,7 @@ def p95(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
         both = run.join(n.withColumn("at", at), list(by))
     else:
         one = n.withColumn("at", at).first()
-        both = run.withColumns({"n": F.lit(one["n"]), "at": F.lit(one["at"])})
+        both = run.withColumns({"n": F.lit(one["n"]).cast("bigint"), "at": F.lit(one["at"]).cast("bigint")})
     return both.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select(*by, F.col(value).alias("p95"), "n")
 
 
@@ -92,7 +92,7 @@ def report_header(tasks: DataFrame, records: DataFrame) -> DataFrame:
     """One row: tasks, complete records, errors and the ids of tasks with errors."""
     n = tasks.agg(F.count("*").alias("tasks"))
     r = records.agg(F.count_if(is_complete()).alias("complete"), F.count_if(F.col("status") == "error").alias("errors"), F.array_sort(F.collect_set(F.when(F.col("status") == "error", F.col("task_id")))).alias("error_tasks"))
-    return r.withColumn("tasks", F.lit(n.first()["tasks"])).select("tasks", *r.columns)
+    return r.withColumn("tasks", F.lit(n.first()["tasks"]).cast("bigint")).select("tasks", *r.columns)
 
 
 def render_report(summary: list, pair: object | None, rows: list, modes: tuple[str, ...], model: str | None = None) -> str:
