@@ -148,6 +148,17 @@ def resume(states: DataFrame, decisions: DataFrame, effects: Effects, limits: Li
     return run(durable(joined, "resumed"), effects, limits)
 
 
+def save(states: DataFrame, path: str) -> None:
+    """States for another session: what waits for a review outlives this driver (tables in between do not)."""
+    states.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, task_id: str | None = None) -> DataFrame:
+    """Saved states, of one task where it is named; no rows for a task that was never saved."""
+    found = spark.read.schema(spark.createDataFrame([], STATE).schema).parquet(path)
+    return found if task_id is None else found.where(F.col("task_id") == task_id)
+
+
 def classify_exit(status: Column, failure_reason: Column) -> Column:
     """5 waiting, 0 approved, 3 out of quota, else 1."""
     return F.when(status == "awaiting_review", 5).when(status == "approved", 0).when(F.lower(F.coalesce(failure_reason, F.lit(""))).contains("quota"), 3).otherwise(1)

@@ -23,6 +23,8 @@ def durable(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     path = f"{shared_dir(df.sparkSession)}/corvane-{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # it goes with the driver's process
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 

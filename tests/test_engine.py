@@ -249,6 +249,9 @@ def test_loop_retries_pauses_and_resumes(spark):
     wait = loop.run(loop.start(spark, tasks, scripted(1), False), scripted(1))
     assert {r["status"] for r in wait.collect()} == {"awaiting_review"}
     say = spark.createDataFrame([("a", "approve", None, None, None), ("b", "reject", "no", None, None)], "task_id string, decision string, feedback string, code string, tests string")
+    loop.save(wait, "/tmp/checkpoints/test-states")
+    wait = loop.load(spark, "/tmp/checkpoints/test-states")
+    assert loop.load(spark, "/tmp/checkpoints/test-states", "zzz").count() == 0
     after = {r["task_id"]: r for r in loop.resume(wait, say, scripted(1)).collect()}
     assert after["a"]["status"] == "approved" and (after["b"]["status"], after["b"]["human_rounds"], after["b"]["feedback"]) == ("awaiting_review", 1, "no")
     with pytest.raises(Exception, match="unknown decision"):
