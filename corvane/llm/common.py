@@ -36,9 +36,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    """A table in between goes with the driver's process."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def sized(df: DataFrame, rows: int, per: int = 200_000) -> DataFrame:
     """df in as many partitions as so many rows need: a small table is a few files, a large one many."""
     return df.coalesce(max(1, -(-rows // per)))
