@@ -51,7 +51,8 @@ _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, t): the lower-cased words of each text, one blank between them and at either end."""
-    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
+    # lower() also changes letters beyond ASCII, but never into a break or a letter of the phrases; translate() costs a string per character.
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.col(id_col).alias("id"), F.concat(F.lit(" "), F.trim(F.regexp_replace(low, _BREAK, " ")), F.lit(" ")).alias("t"))
 
 
@@ -59,7 +60,8 @@ def idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """Inverse document frequency over all documents of each word of the templates (as many rows as they have words)."""
     vocabulary = sorted({w for _, words, _ in TEMPLATES for w in words.split()})
     t = _words(docs.withColumn("__n", F.lit(1)), "__n", text_col)
-    seen = t.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split("t", " "))).alias("w")).groupBy("w").count().collect()
+    # The outer form: the inner one adds a test of the array's size, and so a second computation of it.
+    seen = t.select(F.explode_outer(F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split("t", " "))).alias("w")).where("w is not null").groupBy("w").count().collect()
     n, df = docs.count(), {r["w"]: r["count"] for r in seen}
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
 
