@@ -33,8 +33,8 @@ _WHITE = r"[\x20\x09-\x0D]+"
 
 
 def _without(text: str, chars: str) -> str:
-    """How many of chars a text has."""
-    return f"length({text}) - length(translate({text}, '{chars}', ''))"
+    """How many characters of a class a text has."""
+    return f"length({text}) - length(regexp_replace({text}, '{chars}', ''))"
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,8 +43,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     t = t.select("id", "t", F.array_remove(F.split("t", _WHITE), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     # Each stage below is read twice or more by the next, so that none is computed anew for every element.
     t = t.select(
-        "id", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.expr(_without("t", "#*$%&|<>")).cast("long").alias("n_symbols"),
-        F.expr(_without("t", "!?")).cast("long").alias("n_marks"), F.expr(_without("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"), F.size("lines").cast("long").alias("n_lines"),
+        "id", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.expr(_without("t", "[#*$%&|<>]+")).cast("long").alias("n_symbols"),
+        F.expr("2 * length(t) - length(replace(t, '!', '')) - length(replace(t, '?', ''))").cast("long").alias("n_marks"), F.expr(_without("t", "[A-Z]+")).cast("long").alias("n_upper"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))").alias("h"),
     )
@@ -66,9 +66,10 @@ def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
     """(rule, fails, alone, kept_without): from one row per failure mask, 2 to the number of rules at most."""
     mask = POLICIES[policy]
     by = led.groupBy(F.col("failed").bitwiseAND(F.lit(mask)).alias("m")).count()
-    rules = led.sparkSession.createDataFrame([(n, b) for n, b in BIT.items() if b & mask], "rule string, bit long")
+    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(b).cast("long").alias("bit")) for n, b in BIT.items() if b & mask])
+    by = by.select("m", "count", F.explode(rules).alias("r")).select("m", "count", "r.rule", "r.bit")
     hit = F.col("m").bitwiseAND(F.col("bit")) != 0
-    return by.join(F.broadcast(rules), F.lit(True)).groupBy("rule").agg(
+    return by.groupBy("rule").agg(
         F.sum(F.when(hit, F.col("count")).otherwise(0)).alias("fails"), F.sum(F.when(F.col("m") == F.col("bit"), F.col("count")).otherwise(0)).alias("alone"),
         F.sum(F.when(F.col("m").bitwiseAND(F.bitwise_not("bit")) == 0, F.col("count")).otherwise(0)).alias("kept_without"),
     )
