@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.arrays import histogram, unrolled
 from corvane.functions.text import HASH_TOKEN, blank_if_null
+from corvane.sources.durable import spread
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,7 +37,7 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> Data
     """(id, cell, weight): the non-zero dimensions of each text's bag of hashed tokens, of unit length."""
     tokens = F.regexp_extract_all(F.lower(blank_if_null(text_col)), F.lit(HASH_TOKEN), F.lit(0))
     # Distinct tokens are hashed once each; a cell's count is the sum over its tokens, all within the row.
-    one = histogram(df.select(F.col(id_col).alias("id"), tokens.alias("t")), "t", "h")
+    one = histogram(spread(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokens.alias("t")), "t", "h")
     flat = one.select("id", F.flatten(F.transform("h", lambda x: F.array_repeat(hash_cell(x["value"], dim), x["n"].cast("int")))).alias("c"))
     cells = histogram(flat, "c", "h").withColumn("len", F.sqrt(F.aggregate("h", F.lit(0).cast("bigint"), lambda s, x: s + x["n"] * x["n"])))
     return unrolled(cells, "h", "id", "len").select("id", F.col("value").alias("cell"), (F.col("n") / F.col("len")).alias("weight"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.arrays import histogram, unrolled
 from corvane.functions.text import tokenize
-from corvane.sources.durable import durable, small
+from corvane.sources.durable import durable, small, spread
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 
@@ -30,7 +30,7 @@ class LexicalIndex:
     @staticmethod
     def build(chunks: DataFrame, id_col: str = "id", text: Column | str = "text", keep: tuple[str, ...] = ()) -> LexicalIndex:
         """One pass for tokens and their counts within rows; one shuffle, by ranges of tokens, so that files hold few tokens each."""
-        toks = durable(histogram(chunks.select(F.col(id_col).alias("id"), *keep, tokenize(text).alias("toks")), "toks", "h").select("id", *keep, F.size("toks").alias("dl"), "h"), "tokens")
+        toks = durable(histogram(spread(chunks).select(F.col(id_col).alias("id"), *keep, tokenize(text).alias("toks")), "toks", "h").select("id", *keep, F.size("toks").alias("dl"), "h"), "tokens")
         stats = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
         flat = unrolled(toks, "h", "id", "dl", *keep).withColumnsRenamed({"value": "tok", "n": "tf"})
         postings = durable(flat.repartitionByRange("tok", "id").sortWithinPartitions("tok", "id"), "postings")

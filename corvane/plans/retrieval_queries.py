@@ -11,6 +11,7 @@ from corvane.functions.arrays import histogram, unrolled
 from corvane.functions.vectors import hash_embed
 from corvane.operators import dense, fusion, store
 from corvane.operators.lexical import LexicalIndex
+from corvane.sources.durable import spread
 
 _TOKENS = r"""flat as (select doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+(?:\.[a-z0-9_]+)*')) t from documents),
 toks as (select doc_id, lang, t tok from flat union all select doc_id, lang, unnest(string_split(t, '.')) from flat where contains(t, '.'))"""
@@ -54,7 +55,7 @@ def _asked(spark, sf):
 @register("tokens_freq", f"with {_TOKENS} select tok, count(*) n, count(distinct doc_id) df from toks group by 1")
 def tokens_freq(spark, sf):
     """How often each token occurs, and in how many documents."""
-    per = histogram(_docs(spark, sf).select(X.tokenize("text").alias("t")), "t", "h")
+    per = histogram(spread(_docs(spark, sf).select("text")).select(X.tokenize("text").alias("t")), "t", "h")
     return unrolled(per, "h").groupBy(F.col("value").alias("tok")).agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 

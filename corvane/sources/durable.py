@@ -31,3 +31,9 @@ def durable(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table is small enough to broadcast: counts no further than the bound."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are (one row group is one task); else as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
