@@ -1,9 +1,10 @@
-"""Language identification by families: one-versus-rest machines choose the family, one-versus-one machines the language in it.
+"""Language identification by families: one-versus-rest machines choose the family, one-versus-one machines the language in it
+(one-versus-rest machines in a family of more than ``WIDE`` languages, so that the machines grow with the languages, not their pairs).
 
 Features are counts of pairs and triples of bytes of the lower-cased text, with all but letters as blanks, hashed and scaled as square roots of
-shares. All machines are linear support vector machines (squared hinge) trained on the driver from a bounded sample: about
-``SAMPLE`` documents per language, of the ``LANGUAGES`` most frequent ones, chosen by a hash of text and id. Whole texts are predicted in one pass
-without a shuffle.
+shares. All machines are linear support vector machines (squared hinge) trained on the driver from a sample of every language's rows, chosen by a
+hash of the id: about ``SAMPLE`` documents a language, or an equal part of ``ROWS`` where there are more languages than that allows, but ``LEAST``
+(or all that there are) in any case. The sample stays sparse; ``BLOCK`` rows at a time are dense. Whole texts are predicted in one pass without a shuffle.
 
 Defined cases: null texts and those without a letter are ``und`` with score 0; without any language to learn from, all
 are; with one language, all others get it; a language whose family is not listed is in the family ``other``; ties go to the first name; equal
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import buffers, chunked, map_arrow, slices, table
 from corvane.llm.toxicity import bucket
 
-SAMPLE, LANGUAGES = 600, 64
+SAMPLE, ROWS, LEAST = 600, 38_400, 30
+WIDE, BLOCK, _AT_ONCE = 16, 4096, 64
 #: Families by language code.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk be pl cs sk bg sr hr sl mk bs", "baltic": "lt lv",
@@ -64,27 +66,66 @@ def _scaled(c: np.ndarray) -> np.ndarray:
     return np.sqrt(c / np.maximum(c.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a linear machine: squared hinge, both classes of equal weight, accelerated gradient steps."""
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, np.float32)
-    last, rate = w.copy(), 0.2
+@dataclass
+class Sparse:
+    """Rows of scaled features: where each row's entries begin (one more than rows), their columns and values."""
+
+    off: np.ndarray
+    cols: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.off) - 1
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        size = np.diff(self.off)[rows]
+        off = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(off[-1]) + np.repeat(self.off[rows] - off[:-1], size)
+        return Sparse(off, self.cols[at], self.values[at])
+
+    def dense(self, a: int, b: int) -> np.ndarray:
+        out = np.zeros((b - a, WIDTH), np.float32)
+        lo, hi = self.off[a], self.off[b]
+        out[np.repeat(np.arange(b - a), np.diff(self.off[a : b + 1])), self.cols[lo:hi]] = self.values[lo:hi]
+        return out
+
+
+def svms(x: Sparse, y: np.ndarray, l2: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (WIDTH x machines) and intercepts of linear machines for the columns of y: squared hinge, both classes of equal weight, accelerated
+    gradient steps."""
+    share = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(axis=0), 1), 0.5 / np.maximum((y < 0).sum(axis=0), 1)).astype(np.float32)
+    cuts = [(a, min(len(x), a + BLOCK)) for a in range(0, len(x), BLOCK)]
+    kept = x.dense(*cuts[0]) if len(cuts) == 1 else None
+    w = np.zeros((WIDTH + 1, y.shape[1]), np.float32)
+    last, rate = w.copy(), np.float32(0.2)
     for t in range(steps):
         look = w + np.float32(t / (t + 3)) * (w - last)
-        slack = np.maximum(0, 1 - y * (x @ look[:-1] + look[-1]))
-        g = -2 * share * slack * y
+        grad = np.zeros_like(w)
+        grad[:-1] = np.float32(l2) * look[:-1]
+        for a, b in cuts:
+            d = x.dense(a, b) if kept is None else kept
+            g = -2 * share[a:b] * np.maximum(0, 1 - y[a:b] * (d @ look[:-1] + look[-1])) * y[a:b]
+            grad[:-1] += d.T @ g
+            grad[-1] += g.sum(axis=0)
         last = w
-        w = look - np.float32(rate) * np.append(x.T @ g + l2 * look[:-1], g.sum()).astype(np.float32)
-    return w[:-1], float(w[-1])
+        w = look - rate * grad
+    return w[:-1], w[-1]
+
+
+def _rest(x: Sparse, of: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """One-versus-rest machines, a column each, of the names."""
+    parts = [svms(x, np.stack([np.where(of == f, 1, -1) for f in names[a : a + _AT_ONCE]], axis=1).astype(np.float32)) for a in range(0, len(names), _AT_ONCE)]
+    return np.concatenate([w for w, _ in parts], axis=1), np.concatenate([b for _, b in parts])
 
 
 @dataclass
 class Languages:
-    """Families with their languages; machines by family, and by pair of languages (positive: the first)."""
+    """Families with their languages; machines by family, by pair of languages (positive: the first), and of the languages of wide families."""
 
     members: dict[str, list[str]] = field(default_factory=dict)
     tops: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)
     pairs: dict[tuple[str, str], tuple[np.ndarray, float]] = field(default_factory=dict)
+    wide: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -107,6 +148,11 @@ class Languages:
         names, score = np.full(len(x), "", object), sure(z.max(axis=1))
         for i, f in enumerate(tops):
             mine, langs = np.flatnonzero(best == i), self.members[f]
+            if f in self.wide:
+                own = x[mine] @ self.wide[f][0] + self.wide[f][1]
+                names[mine] = np.array(langs, object)[own.argmax(axis=1)]
+                score[mine] *= sure(own.max(axis=1))
+                continue
             votes, margin = np.zeros((len(mine), len(langs))), np.zeros((len(mine), len(langs)))
             for (p, a), (q, b) in combinations(enumerate(langs), 2):
                 d = x[mine] @ self.pairs[a, b][0] + self.pairs[a, b][1]
@@ -121,30 +167,40 @@ class Languages:
         return names, score
 
 
-def fit(x: np.ndarray, lang: list[str]) -> Languages:
+def fit(x: Sparse, lang: list[str]) -> Languages:
     """Machines from scaled features."""
     out, lang = Languages(), np.array(lang, object)
     for name in sorted(set(lang)):
         out.members.setdefault(family(name), []).append(name)
-    of = np.array([family(name) for name in lang], object)
+    families = {name: f for f, names in out.members.items() for name in names}
+    of = np.array([families[name] for name in lang], object)
     if len(out.members) > 1:
-        out.tops = {f: svm(x, np.where(of == f, 1, -1).astype(np.float32)) for f in out.members}
+        w, b = _rest(x, of, list(out.members))
+        out.tops = {f: (w[:, i].copy(), float(b[i])) for i, f in enumerate(out.members)}
     for f, names in out.members.items():
+        if len(names) > WIDE:
+            mine = np.flatnonzero(of == f)
+            out.wide[f] = _rest(x.take(mine), lang[mine], names)
+            continue
         for a, b in combinations(names, 2):
-            two = (lang == a) | (lang == b)
-            out.pairs[a, b] = svm(x[two], np.where(lang[two] == a, 1, -1).astype(np.float32))
+            two = np.flatnonzero((lang == a) | (lang == b))
+            w, c = svms(x.take(two), np.where(lang[two] == a, 1, -1).astype(np.float32)[:, None])
+            out.pairs[a, b] = w[:, 0].copy(), float(c[0])
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Languages:
-    """Machines from all rows given with a text and a language (hold rows out before); about sample rows of each language are read into them."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows: int = ROWS) -> Languages:
+    """Machines of every language from all rows given with a text and a language (hold rows out before); about sample rows of each are read into them,
+    or fewer where all together would be more than rows."""
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    spot = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) / float(1 << 20)
+    sizes = src.groupBy("lang").agg(F.count("*").alias("count"), F.min(spot).alias("first")).collect()
     if not sizes:
         return Languages()
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, share double")
-    spot = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) / float(1 << 20)
-    picked = src.withColumn("spot", spot).join(F.broadcast(share), "lang").where("spot < share").select("lang", "text")
+    each = min(sample, max(LEAST, rows // len(sizes)))
+    # The first row of a language is taken in any case: none goes without.
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"]), r["first"]) for r in sizes], "lang string, share double, first double")
+    picked = src.withColumn("spot", spot).join(F.broadcast(share), "lang").where("spot < share or spot = first").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,12 +213,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     got = map_arrow(picked, run, "lang string, k array<smallint>, c array<int>").toArrow()
     lang, k, c = (chunked(got.column(i)) for i in range(3))
-    off = np.asarray(k.offsets)
-    x = np.zeros((len(lang), WIDTH), np.float32)
-    x[np.repeat(np.arange(len(lang)), np.diff(off)), k.values.to_numpy()] = c.values.to_numpy()
+    off, count = np.asarray(k.offsets).astype(np.int64), c.values.to_numpy()
+    total = np.diff(np.concatenate([[0], np.cumsum(count, dtype=np.int64)])[off])
+    x = Sparse(off, k.values.to_numpy(), np.sqrt(count / np.repeat(np.maximum(total, 1), np.diff(off))).astype(np.float32))
     names = lang.to_pylist()
-    order = sorted(range(len(names)), key=lambda i: (names[i], float(x[i].sum()), x[i].tobytes()[:512]))
-    return fit(_scaled(x)[order], [names[i] for i in order])
+    order = sorted(range(len(names)), key=lambda i: (names[i], int(total[i]), x.cols[off[i] : off[i + 1]].tobytes()[:512], count[off[i] : off[i + 1]].tobytes()[:512]))
+    return fit(x.take(np.array(order, np.int64)), [names[i] for i in order])
 
 
 def predict(docs: DataFrame, machines: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
