@@ -47,8 +47,8 @@ def run_lengths(spark, sf):
 
 @register("rle_text")
 def rle_text(spark, sf):
-    """Run-length encoding of the first word of each conversation's turns."""
-    return table(spark, sf, "conversations").select("conv_id", "turn", R.rle(F.split(F.coalesce("text", F.lit("")), " ")[0]).alias("rle"))
+    """Run-length encoding of the whole text of each conversation's turns."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", R.rle(F.coalesce("text", F.lit(""))).alias("rle"))
 
 
 @register("log_parse", "select event_id, strftime(ts, '%Y-%m-%d') as date, strftime(ts, '%H:%M:%S') as time, upper(event_type) as level, props as message from events")

@@ -1,0 +1,17 @@
+"""Queries read whole texts and all rows: small tables of their own, against the rule in plain Python."""
+
+import re
+from itertools import groupby
+
+from corvane import catalog
+
+
+def _conversations(spark, folder, texts):
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+def test_rle_text_of_whole_texts(spark, tmp_path):
+    texts = [None, "", " ", "aaab", "aa bb  cc", "one two\n\nthree", "\t\tx", "zz" * 3 + "y 11 22", "ßß \U0001f600\U0001f600\U0001f600 é", "a" * 5000 + " " + "b" * 7, "ab" * 30_000 + " end"]
+    got = {r["turn"]: r["rle"] for r in catalog.queries()["rle_text"](spark, _conversations(spark, tmp_path, texts)).collect()}
+    assert got == {i: "".join(f"{c}{len(list(g))}" for c, g in groupby(t or "")) for i, t in enumerate(texts)}
