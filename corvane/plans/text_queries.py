@@ -30,10 +30,11 @@ def reply_bundles(spark, sf):
 
 @register("fenced_blocks", "select conv_id, turn, 2 n, trim(coalesce(text, ''), ' ' || chr(10)) first_block from conversations where not contains(coalesce(text, ''), '`')")
 def fenced_blocks(spark, sf):
-    """Blocks in code fences."""
-    c = table(spark, sf, "conversations").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("`")))
-    blocks = X.fenced_blocks(F.concat(F.lit("a\n```text\n"), F.coalesce("text", F.lit("")), F.lit("\n```\nb\n```\nx\n```\n")))
-    return c.select("conv_id", "turn", F.size(blocks).alias("n"), F.get(blocks, F.lit(0)).alias("first_block"))
+    """Blocks in the code fences of every turn; a text without a fence is put into one, with another block behind it. The twin lacks rows with a backtick."""
+    t = F.coalesce("text", F.lit(""))
+    fenced = F.when(F.contains(t, F.lit("```")), t).otherwise(F.concat(F.lit("a\n```text\n"), t, F.lit("\n```\nb\n```\nx\n```\n")))
+    blocks = X.fenced_blocks(fenced)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(blocks).alias("n"), F.get(blocks, F.lit(0)).alias("first_block"))
 
 
 @register("token_estimate", "select conv_id, sum(ceil(length(coalesce(text, '')) / 4.0))::bigint tokens from conversations group by 1")
