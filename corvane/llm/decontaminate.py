@@ -2,8 +2,9 @@
 
 An item is held against the windows of a text that have as many words as the item. A window can only reach the similarity
 if it shares a five-word shingle with the item, so windows are laid where a shared shingle puts them: at the place that
-aligns it with the item (for all shared shingles, in whole texts). Each such window is fingerprinted, looked up in the blocks of a multi-index (a fingerprint
-within the radius agrees with an item's in one of radius + 1 blocks), and candidates are verified by the weighted Jaccard
+aligns it with the item (for all shared shingles, in whole texts). A window is held against the item that put it there if it has as many of the
+item's shingles as the similarity needs (none that reaches it is dropped), and against others by fingerprint: looked up in the blocks of a multi-index (a
+fingerprint within the radius agrees with an item's in one of radius + 1 blocks). Candidates are verified by the weighted Jaccard
 similarity of the two bags of shingles, weighted by how often each occurs.
 
 Items are held in each worker, in as many rounds over the documents as keep a round's items under ``BLOCK_BYTES``.
@@ -84,6 +85,14 @@ class ItemIndex:
         prints = np.array([simhash(h[None, a:b])[0] if b > a else 0 for a, b in zip(ptr, ptr[1:], strict=False)], U64)
         self.index = HammingIndex(prints, radius)
 
+    def _may(self, own: np.ndarray, hit: np.ndarray, item: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+        """Which windows (text, start, words, item) have as many of the item's shingles as the similarity needs: no fewer are in both bags."""
+        seen = np.unique(item.astype(np.int64) * n + hit)
+        size = np.maximum(own[:, 2] - 4, 1)
+        at = own[:, 3].astype(np.int64) * n + first[own[:, 0]] + own[:, 1]
+        both = np.searchsorted(seen, at + size) - np.searchsorted(seen, at)
+        return both * (1 + self.least) >= self.least * (size + np.diff(self.at_item)[own[:, 3]]) - 1e-6
+
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, float]]:
         """(text, item, first word, words, distance, similarity): the best window of each text and item that reach it."""
         h, ptr = word_hashes(texts)
@@ -99,21 +108,29 @@ class ItemIndex:
         text, words = at[hit], np.diff(ptr)
         size = np.minimum(self.words[self.item[post]], words[text])
         start = np.clip(hit - first[text] - self.place[post], 0, words[text] - size)
-        win = np.unique(np.stack([text, start, size], axis=1), axis=0)
+        own = np.unique(np.stack([text, start, size, self.item[post]], axis=1), axis=0)
+        win, nth = np.unique(own[:, :3], axis=0, return_inverse=True)
+        nth, own = nth[(ok := self._may(own, hit, self.item[post], first, len(s)))], own[ok]
         best: dict[tuple[int, int], tuple[int, int, int, float]] = {}
         for length in np.unique(win[:, 2]):
-            mine = win[win[:, 2] == length]
+            mine = np.flatnonzero(win[:, 2] == length)
             for a in range(0, len(mine), 4096):
-                part = mine[a : a + 4096]
-                row, item, far = self.index.near(simhash(h[(ptr[part[:, 0]] + part[:, 1])[:, None] + np.arange(length)]))
+                part = win[mine[a : a + 4096]]
+                prints = simhash(h[(ptr[part[:, 0]] + part[:, 1])[:, None] + np.arange(length)])
+                row, item, _ = self.index.near(prints)
+                lo, hi = np.searchsorted(nth, mine[a : a + 4096]), np.searchsorted(nth, mine[a : a + 4096], "right")
+                put = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange((hi - lo).sum())
+                pairs = np.unique(np.concatenate([np.stack([row, item], axis=1), np.stack([np.repeat(np.arange(len(part)), hi - lo), own[put, 3]], axis=1)]), axis=0)
+                row, item = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
+                far = np.bitwise_count(self.index.prints[item] ^ prints[row])
                 for r, i, d in zip(row.tolist(), item.tolist(), far.tolist(), strict=True):
                     t, b = int(part[r, 0]), int(part[r, 1])
                     if self.words[i] < length:  # longer than the item: not a window of its size
                         continue
                     x = first[t] + b
-                    own = units(s[x : x + max(length - 4, 1)], np.zeros(max(length - 4, 1), np.int64))[0]
-                    both = len(np.intersect1d(own, self.bag[i], assume_unique=True))
-                    sim = both / (len(own) + len(self.bag[i]) - both)
+                    own_bag = units(s[x : x + max(length - 4, 1)], np.zeros(max(length - 4, 1), np.int64))[0]
+                    both = len(np.intersect1d(own_bag, self.bag[i], assume_unique=True))
+                    sim = both / (len(own_bag) + len(self.bag[i]) - both)
                     if sim >= self.least and sim > best.get((t, i), (0, 0, 0, 0.0))[3]:
                         best[t, i] = (b, int(length), d, sim)
         return [(t, i, *x) for (t, i), x in sorted(best.items())]

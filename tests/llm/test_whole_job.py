@@ -1,8 +1,11 @@
-"""Nothing is left out: all languages."""
+"""Nothing is left out: all languages, windows that fingerprints do not show."""
 
 import random
 
-from corvane.llm import language
+import pyarrow as pa
+from llm_helpers import words
+
+from corvane.llm import decontaminate, language
 
 
 def _made_up(rng, n_languages, per):
@@ -44,3 +47,20 @@ def test_rows_in_blocks_give_the_same_machines(spark, monkeypatch):
     monkeypatch.setattr(language, "BLOCK", 5)
     parts = language.train(docs)
     assert whole.pairs.keys() == parts.pairs.keys() and all(np.allclose(whole.pairs[k][0], parts.pairs[k][0], atol=1e-4) for k in whole.pairs)
+
+
+def test_no_window_is_dropped_for_its_fingerprint():
+    """As many words replaced at the ends as the similarity allows: found at any radius, the exact similarity decides."""
+    rng = random.Random(11)
+    items = [words(rng, rng.randrange(14, 60)) for _ in range(40)]
+    texts, want = [], set()
+    for i, w in enumerate(items):
+        most = int((len(w) - 4) * 0.2 / 1.8)
+        for changed in (most, most + 1):  # one more is below 0.8
+            texts.append(" ".join([f"p{i}"] * 3 + [f"r{i}x{k}" for k in range(changed // 2)] + w[changed // 2 : len(w) - (changed - changed // 2)] + [f"s{i}x{k}" for k in range(changed - changed // 2 + 3)]))
+            if changed == most:
+                want.add((len(texts) - 1, i))
+    for radius in (0, 5, decontaminate.RADIUS):
+        index = decontaminate.ItemIndex([" ".join(w) for w in items], radius)
+        found = index.search(pa.array(texts))
+        assert {(t, i) for t, i, *_ in found} == want and all(x[5] >= 0.8 for x in found)
