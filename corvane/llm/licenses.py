@@ -2,8 +2,9 @@
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, in lower case. Each template of ``TEMPLATES`` has a
 label, its words, and a mandatory phrase. The words of all templates are counted over all documents; per template the
-rarest of them (highest IDF) are its anchors. A text looks up its anchor words only, every posting votes for a template at the
-position where its words would begin, and a template with enough votes at one position is compared word by word: it counts when the
+rarest of them (highest IDF) are its anchors: so many that whatever reaches ``COVERAGE`` has two of them in place. A text looks up its anchor words only,
+every posting votes for a template at the position where its words would begin, and a template with two votes at one position (one, where
+a single word can reach the coverage) is compared word by word: it counts when the
 IDF-weighted share of its words that stand in their places reaches ``COVERAGE`` and the text holds its mandatory phrase.
 
 Everything is built-in functions over one row at a time: no shuffle but the count of words, whose keys are the templates' words.
@@ -44,7 +45,9 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("boost", "distributed under the boost software license version 1 0", "boost software license"),
 ]
-COVERAGE, ANCHORS, VOTES = 0.7, 4, 2
+COVERAGE = 0.7
+#: Of the SQL twin only: it looks for fewer words than scan(), so it misses changed notices that scan() finds.
+ANCHORS, VOTES = 4, 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -70,21 +73,34 @@ def _array(values, kind: str) -> str:
     return f"array({', '.join(values)})" if values else f"cast(array() as array<{kind}>)"
 
 
+def anchor_words(words: list[str], weights: dict[str, float], coverage: float = COVERAGE) -> tuple[list[str], int]:
+    """The rarest words of a template, and how many of their places agree at least wherever the coverage is reached."""
+    total, chosen, places = sum(weights[w] for w in words), [], []
+    for w in sorted(set(words), key=lambda w: (-weights[w], w)):
+        chosen.append(w)
+        places += [weights[w]] * words.count(w)
+        if sum(places) - max(places) > (1 - coverage) * total * (1 + 1e-9):  # all but one out of place: too little is left
+            return chosen, 2
+    return chosen, 1
+
+
 def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id, n_words, base, hits): places of base phrases (start, label), and accepted templates (label, start, coverage)."""
     templates = [(label, words.split(), phrase) for label, words, phrase in TEMPLATES]
     anchors: dict[str, list[tuple[int, int]]] = {}
+    chosen = [anchor_words(words, weights, coverage) for _, words, _ in templates]
     for k, (_, words, _) in enumerate(templates):
-        for w in sorted(set(words), key=lambda w: (-weights[w], w))[:ANCHORS]:
+        for w in chosen[k][0]:
             anchors.setdefault(w, []).extend((k, i) for i, x in enumerate(words) if x == w)
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     names = sorted(anchors)
-    anchor_words = _array(map(quoted, names), "string")
+    looked_up = _array(map(quoted, names), "string")
     postings = _array([_array([f"named_struct('k', {k}, 'i', {i})" for k, i in anchors[w]], "struct<k:int,i:int>") for w in names], "array<struct<k:int,i:int>>")
     text_of = _array([_array(map(quoted, words), "string") for _, words, _ in templates], "array<string>")
     weight_of = _array([_array([f"{weights[w]!r}D" for w in words], "double") for _, words, _ in templates], "array<double>")
     total_of = _array([f"{sum(weights[w] for w in words)!r}D" for _, words, _ in templates], "double")
     label_of = _array([quoted(label) for label, _, _ in templates], "string")
+    votes_of = _array([str(n) for _, n in chosen], "int")
     phrase_of = _array([quoted(f" {p} ") for _, _, p in templates], "string")
 
     d = _words(docs, id_col, text_col)
@@ -94,11 +110,11 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
     base = f"""filter(transform(filter(sequence(0, size(w)), i -> get(w, i) = 'license'), i ->
         case when get(w, i - 1) = 'mit' then named_struct('start', i - 1, 'label', 'mit') when get(w, i - 1) = 'apache' then named_struct('start', i - 1, 'label', 'apache')
              when get(w, i - 1) = 'public' and get(w, i - 2) = 'general' then named_struct('start', i - 2, 'label', 'gpl') end), x -> x is not null)"""
-    votes = f"""sort_array(flatten(transform(filter(sequence(0, size(w)), i -> array_contains({anchor_words}, get(w, i))), i ->
-        transform(get({postings}, cast(array_position({anchor_words}, get(w, i)) as int) - 1), p -> named_struct('k', p.k, 'at', i - p.i)))))"""
+    votes = f"""sort_array(flatten(transform(filter(sequence(0, size(w)), i -> array_contains({looked_up}, get(w, i))), i ->
+        transform(get({postings}, cast(array_position({looked_up}, get(w, i)) as int) - 1), p -> named_struct('k', p.k, 'at', i - p.i)))))"""
     d = d.select("id", "t", "n_words", "w", F.expr(f"if(size(w) = 0, cast(array() as array<struct<start:int,label:string>>), {base})").alias("base"), F.expr(f"if(size(w) = 0, cast(array() as array<struct<k:int,at:int>>), {votes})").alias("v"))
-    # Equal votes are neighbours now: a template needs VOTES of them at one position.
-    d = d.select("id", "t", "n_words", "w", "base", F.expr(f"filter(v, (x, i) -> get(v, i + {VOTES - 1}) = x and coalesce(get(v, i - 1) <> x, true))").alias("c"))
+    # Equal votes are neighbours now: a template needs so many of them at one position.
+    d = d.select("id", "t", "n_words", "w", "base", F.expr(f"filter(v, (x, i) -> get(v, i + get({votes_of}, x.k) - 1) = x and coalesce(get(v, i - 1) <> x, true))").alias("c"))
     cover = f"aggregate(sequence(0, size(get({text_of}, x.k)) - 1), 0D, (a, j) -> a + if(get(w, x.at + j) = get(get({text_of}, x.k), j), get(get({weight_of}, x.k), j), 0D)) / get({total_of}, x.k)"
     d = d.select("id", "n_words", "base", F.expr(f"transform(filter(c, x -> contains(t, get({phrase_of}, x.k))), x -> named_struct('label', get({label_of}, x.k), 'start', x.at, 'coverage', {cover}))").alias("h"))
     return d.select("id", "n_words", "base", F.expr(f"filter(h, x -> x.coverage >= {coverage}D)").alias("hits"))

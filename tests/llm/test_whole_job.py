@@ -1,11 +1,11 @@
-"""Nothing is left out: all languages, windows that fingerprints do not show."""
+"""Nothing is left out: all languages, windows that fingerprints do not show, changed notices."""
 
 import random
 
 import pyarrow as pa
 from llm_helpers import words
 
-from corvane.llm import decontaminate, language
+from corvane.llm import decontaminate, language, licenses
 
 
 def _made_up(rng, n_languages, per):
@@ -64,3 +64,26 @@ def test_no_window_is_dropped_for_its_fingerprint():
         index = decontaminate.ItemIndex([" ".join(w) for w in items], radius)
         found = index.search(pa.array(texts))
         assert {(t, i) for t, i, *_ in found} == want and all(x[5] >= 0.8 for x in found)
+
+
+def test_changed_notices_reach_their_coverage(spark):
+    """Whatever words of a notice are changed: it is found where the rest has the coverage and its phrase stands."""
+    rng = random.Random(17)
+    vocabulary = sorted({w for _, text, _ in licenses.TEMPLATES for w in text.split()})
+    for weights in ({w: 1.0 for w in vocabulary}, {w: rng.choice((0.1, 1.0, 3.0)) for w in vocabulary}):
+        rows, want = [], []
+        for label, text, phrase in licenses.TEMPLATES:
+            notice = text.split()
+            rarest = sorted(range(len(notice)), key=lambda i: (-weights[notice[i]], notice[i]))
+            for trial in range(12):
+                out = set(rarest[:3] if trial == 0 else rarest[1:4] if trial == 1 else rng.sample(range(len(notice)), rng.randrange(len(notice) // 2)))
+                new = ["zz" if i in out else w for i, w in enumerate(notice)]
+                kept = sum(weights[w] for w, x in zip(notice, new, strict=True) if w == x) / sum(weights[w] for w in notice)
+                if abs(kept - licenses.COVERAGE) > 1e-6:
+                    rows.append((len(rows), " ".join(["so", "we", *new, "and", phrase])))
+                    want.append((label, 2, kept) if kept >= licenses.COVERAGE else None)
+        hits = {r["id"]: r["hits"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), weights).collect()}
+        for i, x in enumerate(want):
+            own = [h for h in hits[i] if x and h["label"] == x[0] and h["start"] == 2 and abs(h["coverage"] - x[2]) < 1e-9]
+            assert len(own) == (x is not None), rows[i]
+        assert sum(x is not None for x in want) > 60
