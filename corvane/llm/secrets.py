@@ -2,7 +2,8 @@
 
 Every text is scanned whole for three base patterns (credential assignments, access key ids, long hexadecimal runs). Texts
 that mention a sensitive name anywhere are also lexed into name-literal pairs: quoted strings, joined strings, and the bare
-values of configuration lines. Constants are propagated through names (``k = "..."; password = k``), and each literal that
+values of configuration lines; a name may have a type (``password: str = "..."``), a string a prefix (``f"..."``, of which the parts
+between fields count), and assignments may be chained (``a = password = "..."``). Constants are propagated through names (``k = "..."; password = k``), and each literal that
 reaches a sensitive target is scored by how sensitive the name is and how much the literal looks like a secret.
 
 Defined cases: a null or empty text has no findings; equal rows give equal findings; other columns are not read, so their
@@ -37,9 +38,18 @@ _STEM = re.compile("pass|pwd|secret|token|key|credential|bearer")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.+|-+|none|null|nil|true|false|undefined|todo|changeme|change_me|placeholder|example|redacted|test|dummy)$|^your|^<.*>$|^\$\{.*\}$|^%\(?.*|^\{\{.*")
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _QUOTED = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
-#: name, operator, value; the value is a quoted string, or a bare run.
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\]|\))?[ \t]*(?::=|=>|[:=](?!=))[ \t]*(?P<value>{_QUOTED}|[^\s"'`,;#(){{}}\[\]<>|]+)""")
-_JOINED = re.compile(rf"""[ \t]*\+[ \t]*({_QUOTED}|{_NAME})""")
+_PREFIX = r"(?:[bBrRfFuU]{1,2}(?=[\"']))?"
+_TYPE = r"(?:&(?:'[a-z]+[ \t]+)?)?[A-Za-z_][A-Za-z0-9_.]*(?:[\[<][^\n=;\"']{0,64}?[\]>])?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*){0,4}"
+#: name, type where it has one, operator, value; the value is a quoted string, or a bare run.
+_PAIR = re.compile(
+    rf"""(?<![A-Za-z0-9_.\-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\]|\))?(?:\??[ \t]*:[ \t]*(?P<type>{_TYPE})(?=[ \t]*=[ \t]*{_PREFIX}["']))?"""
+    rf"""[ \t]*(?P<op>:=|=>|[:=](?!=))[ \t]*(?P<prefix>{_PREFIX})(?P<value>{_QUOTED}|[^\s"'`,;#(){{}}\[\]<>|]+)"""
+)
+_JOINED = re.compile(rf"""[ \t]*\+[ \t]*(?:(?P<prefix>{_PREFIX})(?P<quoted>{_QUOTED})|(?P<name>{_NAME}))""")
+#: A bare name that is itself assigned to.
+_LINK = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*+[ \t]*(?::=|=(?![=>]))[ \t]*(?=[^\s=>])")
+_FIELD = re.compile(r"\{\{|\}\}|\{[^{}\n]*\}")
+_NAMES = re.compile(_NAME)
 _IDENT = re.compile(rf"{_NAME}\Z")
 
 
@@ -60,28 +70,57 @@ def literal_weight(value: str) -> float:
     return min(1.0, entropy / 3.5) * (0.55 + 0.15 * classes)
 
 
+def _parts(text: str, start: int, end: int, prefix: str) -> list[tuple[int, int]]:
+    """A quoted string's inside; of a formatted one what stands between its fields."""
+    out, at = [], start + 1
+    if "f" in prefix.lower():
+        for m in _FIELD.finditer(text, start + 1, end - 1):
+            if len(m[0]) > 2 or m[0] == "{}":
+                out += [(at, m.start())] * (at < m.start())
+                at = m.end()
+    return [*out, (at, end - 1)] if at < end - 1 or not out else out
+
+
 def lex(text: str, least: float = 0.5) -> list[tuple[int, int, str, float]]:
     """(start, end, target, score) of the literals that reach a sensitive name, in order."""
     constants: dict[str, list[tuple[int, int]]] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    for m in _PAIR.finditer(text):
-        name, value, end = m["name"], m["value"], m.end()
-        if value[0] in "\"'":
-            pieces = [(m.start("value") + 1, m.end("value") - 1)]
-        elif _IDENT.match(value) and value in constants:
-            pieces = list(constants[value])
-        else:  # a bare value counts where it and its name fill a line, as in configuration
+
+    def known(m: re.Match) -> list[tuple[int, int]]:
+        if m["value"][0] in "\"'":
+            return _parts(text, m.start("value"), m.end("value"), m["prefix"])
+        return list(constants.get(m["value"], [])) if _IDENT.match(m["value"]) else []
+
+    at, followed = 0, 0
+    while m := _PAIR.search(text, at):
+        links, last = [m.start("value")] if m.start() >= followed and m["value"][0] not in "\"'" else [], m
+        while links and (more := _LINK.match(text, links[-1])):
+            links.append(more.end())
+        if len(links) > 1:
+            followed = links[-2]
+            last = _PAIR.match(text, links[-2]) or m
+        pieces = known(last)
+        if not pieces:  # the first alone: what it is assigned is not known
+            last = m
+            pieces = known(m)
+        names = [m["name"]]
+        if last is not m:  # after a colon stands a type, or the name itself
+            between = [_NAMES.match(text, a)[0] for a in links[:-1]]
+            names += between[1:] if m["op"] == ":" else between
+        at = end = last.end()
+        if not pieces:  # a bare value counts where it and its name fill a line, as in configuration
             line = text.rfind("\n", 0, m.start()) + 1
             stop = text.find("\n", end)
             alone = re.fullmatch(r"[ \t]*(?:export[ \t]+|- )?", text[line : m.start()]) and not text[end : len(text) if stop < 0 else stop].strip()
-            pieces = [(m.start("value"), m.end("value"))] if alone else []
+            pieces = [(m.start("value"), m.end("value"))] if alone and m["value"][0] not in "\"'" else []
         while pieces and (more := _JOINED.match(text, end)):
-            part, end = more[1], more.end()
-            pieces += [(more.start(1) + 1, more.end(1) - 1)] if part[0] in "\"'" else constants.get(part, [])
+            end = more.end()
+            pieces += _parts(text, more.start("quoted"), more.end("quoted"), more["prefix"]) if more["quoted"] else constants.get(more["name"], [])
         if not pieces:
             continue
         pieces = list(dict.fromkeys(pieces))
-        constants[name] = pieces
+        constants.update((x, pieces) for x in names)
+        name = max([*names, last["name"], last["type"] or ""], key=name_weight)
         if weight := name_weight(name):
             score = weight * literal_weight("".join(text[a:b] for a, b in pieces))
             if score >= least:

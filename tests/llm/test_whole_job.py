@@ -1,11 +1,11 @@
-"""Nothing is left out: all languages, windows that fingerprints do not show, changed notices."""
+"""Nothing is left out: all languages, windows that fingerprints do not show, changed notices, typed and chained assignments."""
 
 import random
 
 import pyarrow as pa
 from llm_helpers import words
 
-from corvane.llm import decontaminate, language, licenses
+from corvane.llm import decontaminate, language, licenses, secrets
 
 
 def _made_up(rng, n_languages, per):
@@ -87,3 +87,17 @@ def test_changed_notices_reach_their_coverage(spark):
             own = [h for h in hits[i] if x and h["label"] == x[0] and h["start"] == 2 and abs(h["coverage"] - x[2]) < 1e-9]
             assert len(own) == (x is not None), rows[i]
         assert sum(x is not None for x in want) > 60
+
+
+def test_typed_prefixed_and_chained_assignments():
+    lit = "aB3$xY9!kLm2"
+    for text in (
+        f'db_password: str = "{lit}"', f'const dbPassword: string = "{lit}";', f'db_pwd: Optional[str] = "{lit}"', f'db_pwd: str | None = "{lit}"', f'a = client_pwd = "{lit}"', f'client_pwd = a = "{lit}"',
+        f'a=client_pwd="{lit}"', f'pwd = f"{lit}"', f"pwd = r'{lit}'", f'k = "{lit}"\na = client_pwd = k', f'client_pwd: str = x = "{lit}"',
+    ):
+        assert [text[a:b] for a, b, _, _ in secrets.lex(text)] == [lit], text
+    assert [(a, b) for a, b, _, _ in secrets.lex('pwd = f"aB3$xY9!{user}kLm2"')] == [(8, 16), (22, 26)]
+    for text in (f'x: string = "{lit}"; pwd: string;', 'pwd = f"{first}{second}"', f'pwd == "{lit}"', "pwd: str", "a = " * 30_000 + "a=" * 30_000):
+        assert secrets.lex(text) == [], text[:40]
+    for text in ("password: key=abc123XYZ9", "pwd = YWJjZGVmMTIz="):  # whole values of configuration lines, as before
+        assert [text[a:b] for a, b, _, _ in secrets.lex(text)] == [text.split(" ")[-1]]
