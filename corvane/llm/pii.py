@@ -156,7 +156,7 @@ class Pseudonyms:
         return like.format(y=f"{new.year}", m=month, d=f"{new.day:0{len(d)}d}")
 
     def phone(self, text: str) -> str | None:
-        m = re.match(r"\+\d{1,3}(?=[ .\-(])", text)
+        m = re.match(r"\+\d{1,3}(?=[ .\-(])", text) or _COUNTRY.match(text)
         head = m[0] if m else ""
         rest = text[len(head) :]
         digits = re.sub(r"\D", "", rest)
@@ -187,13 +187,17 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
 _NAMED = re.compile(rf"(?i)(?<![\w])(?:\d{{1,2}} (?:{_MONTH}) \d{{4}}|(?:{_MONTH}) \d{{1,2}},? \d{{4}})(?!\w)")
+#: The country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+#: A time behind a date.
+_TIME = re.compile(r"[Tt]\d{2}(?::?\d{2}|(?=[Zz+\-]))")
 #: A stretch of digits and separators; its values are looked for inside.
 _RUN = re.compile(r"[+(]?\d[\d ().+/\-]{5,}\d")
 _VALUE = re.compile(
     r"""(?<![\w+])(?:
     (?P<ipv4>(?<!\d\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d))
     |(?P<date>\d{4}([-/.])\d{1,2}\3\d{1,2}(?!\d)|\d{1,2}([-/.])\d{1,2}\4\d{4}(?!\d))
-    |(?P<phone>(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?:\+\d{1,3}[ .\-])?\d{3}([.\-])\d{3}\6\d{4}(?!\d)|\+\d{1,3}(?:[ .\-]\(?\d{1,8}\)?){1,5}(?!\d))
+    |(?P<phone>(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?:\+\d{1,3}[ .\-])?\d{3}([.\-])\d{3}\6\d{4}(?!\d)|\+\d{1,3}(?:[ .\-]\(?\d{1,8}\)?){1,5}(?!\d)|\+[1-9]\d{6,14}(?!\d)|\d{3}[ ]\d{3}[ ]\d{4}(?!\d))
     |(?P<ssn>\d{3}-\d{2}-\d{4}(?!\d))
     |(?P<card>\d{13,19}(?!\d)|\d{4}([ \-])\d{4}\9\d{4}\9\d{4}(?!\d)|\d{4}([ \-])\d{6}\10\d{5}(?!\d))
     )(?!\w)""",
@@ -215,7 +219,8 @@ def values(text: str) -> Iterator[tuple[int, int, str]]:
     yield from ((m.start(), m.end(), "date") for m in _NAMED.finditer(text))
     for run in _RUN.finditer(text):
         for m in _VALUE.finditer(text, run.start(), run.end()):
-            if not (m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_")):
+            timed = m["date"] and m["date"][:4].isdigit() and _TIME.match(text, m.end())
+            if timed or not (m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_")):
                 yield m.start(), m.end(), m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.groupdict() and m[k])
 
 

@@ -1,11 +1,12 @@
-"""Nothing is left out: all languages, windows that fingerprints do not show, changed notices, typed and chained assignments."""
+"""Nothing is left out: all languages, windows that fingerprints do not show, changed notices, typed and chained assignments,
+bare numbers."""
 
 import random
 
 import pyarrow as pa
 from llm_helpers import words
 
-from corvane.llm import decontaminate, language, licenses, secrets
+from corvane.llm import decontaminate, language, licenses, pii, secrets
 
 
 def _made_up(rng, n_languages, per):
@@ -101,3 +102,19 @@ def test_typed_prefixed_and_chained_assignments():
         assert secrets.lex(text) == [], text[:40]
     for text in ("password: key=abc123XYZ9", "pwd = YWJjZGVmMTIz="):  # whole values of configuration lines, as before
         assert [text[a:b] for a, b, _, _ in secrets.lex(text)] == [text.split(" ")[-1]]
+
+
+def test_bare_phone_numbers_and_timestamps():
+    names, back = pii.Pseudonyms(), pii.Pseudonyms(undo=True)
+    for value, kind in (("+14155552671", "phone"), ("+442071838750", "phone"), ("+3541234567", "phone"), ("415 555 2671", "phone"), ("2021-03-04", "date")):
+        for before, after in (("on ", "T10:00:00Z" if kind == "date" else " now"), ("(", "t1000+01:00)" if kind == "date" else ")"), ("", "")):
+            new, found = pii.replaced(before + value + after, names)
+            assert [(a, b, k) for a, b, k, _ in found] == [(len(before), len(before) + len(value), kind)], value
+            put = found[0][3]
+            assert put != value and [c.isdigit() for c in put] == [c.isdigit() for c in value] and new == before + put + after
+            assert pii.replaced(new, back)[0] == before + value + after
+    digits = lambda s: [c for c in s if c.isdigit()]
+    assert digits(names.phone("+14155552671")) == digits(names.phone("+1 415 555 2671")) and digits(names.phone("415 555 2671")) == digits(names.phone("415-555-2671"))
+    assert names.phone("+442071838750")[:3] == "+44" and names.phone("+3541234567")[:4] == "+354"
+    for text in ("2021-03-04Tail", "2021-03-04x", "2021-13-04T10:00:00Z", "+1234", "+12345678901234567", "1415 555 2671", "415 555 26711", "a415 555 2671"):
+        assert pii.replaced(text, names) == (text, []), text
