@@ -224,19 +224,28 @@ def chunked(col) -> pa.Array:
 # ---- connected components
 
 
+#: Most rows of a side that is broadcast, counted before; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def beside(df: DataFrame, rows: int) -> DataFrame:
+    """df as the small side of a join: broadcast if its rows, counted before, are within the bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, comp): the least node of each component; edges: (a, b), a != b, in either direction or both.
 
     Least labels spread along edges, then each label jumps to its own label, until nothing changes. Each round is
-    written to the shared folder. Works with joins and partial aggregates only.
+    written to the shared folder. Works with joins and partial aggregates only; sides of few rows are broadcast.
     """
     both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     rows = both.count()
     labels = stash(sized(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), rows), f"{name}-cc")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("c"))
-        jump = step.alias("s").join(labels.select(F.col("node").alias("c"), F.col("comp").alias("cc")), "c").select("node", "old", F.least("c", "cc").alias("comp"))
+        near = both.join(beside(labels.select(F.col("node").alias("b"), "comp"), rows), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        step = near.join(beside(labels, rows), "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("c"))
+        jump = step.join(beside(labels.select(F.col("node").alias("c"), F.col("comp").alias("cc")), rows), "c").select("node", "old", F.least("c", "cc").alias("comp"))
         done = stash(sized(jump, rows), f"{name}-cc")
         changed = done.where("comp < old").limit(1).count()
         labels = done.select("node", "comp")
