@@ -1,13 +1,19 @@
 """Personal data: format-preserving pseudonyms by a keyed Feistel permutation.
 
 Values are found in whole texts and validated (checksums, calendars, ranges) before they are touched; each is then replaced by
-another valid value of its own format: a card stays a card with a right check digit, a date a date of the calendar, and
-separators, case and length stay. The permutation depends on the key and the kind of value only, so equal values get equal
-pseudonyms in all documents, however they are separated. It has no fixed points, so no value ever stands for itself, and
-the holder of the key can undo it.
+another valid value of its own format: a card stays a card with a right check digit, a date a date of the calendar with as many
+digits for day and month and in the same order; separators, case and the numbers of digits stay (but for IPv4 addresses and the names of
+months). The permutation depends on the key and the kind of value only, so equal values get equal
+pseudonyms in all documents, however they are separated. Where a format holds fewer values (days of one digit, say), the cycle is followed
+to the next value that it holds: equal dates of one form stay linked in any case, those of different forms where both hold the first step. No
+value ever stands for itself, and the holder of the key can undo every form exactly (an IPv6 address in mixed case comes back in lower case).
+
+The key is a parameter; without one it is read from ``spark.corvane.pii.key`` of the session or ``CORVANE_PII_KEY`` of the
+environment, and where neither is set it is a random one of this process: pseudonyms are linked within it and can't be undone after it.
 
 Defined cases: a null text stays null, an empty one empty; what fails its validation is left alone; equal rows give equal
-rows; values never overlap (the one that starts first counts, at one place the first kind of ``KINDS``); an empty table gives no rows; other columns are not
+rows; values never overlap (the one that starts first counts, at one place the first kind of ``KINDS``); very long texts are read
+whole, in one pass per kind of pattern; digits beyond ASCII are no digits; a number behind ``version`` or ``build`` is no address; an empty table gives no rows; other columns are not
 read, and ``replace_text`` hands them on as they are.
 """
 
@@ -15,8 +21,13 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
+import os
 import re
-from collections.abc import Iterator
+import secrets as random
+import warnings
+from collections.abc import Callable, Iterator
+from functools import cache
 from math import isqrt
 
 import numpy as np
@@ -27,14 +38,28 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import map_arrow, table
 
-#: For tests and examples; a deployment passes its own.
-EXAMPLE_KEY = b"an example key, not a secret one"
-KINDS = ("email", "iban", "ipv4", "date", "phone", "ssn", "card")
+KEY_CONF, KEY_VARIABLE = "spark.corvane.pii.key", "CORVANE_PII_KEY"
+KINDS = ("email", "iban", "ipv4", "ipv6", "date", "phone", "ssn", "card")
 #: English month names, and dates are permuted within these years.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+@cache
+def _own_key() -> bytes:
+    """The environment's key, or a random one of this process."""
+    if found := os.environ.get(KEY_VARIABLE):
+        return found.encode()
+    warnings.warn(f"neither {KEY_CONF} nor {KEY_VARIABLE} is set: pseudonyms take a random key, which is not kept", stacklevel=3)
+    return random.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key, or the environment's, or a random one: on the driver, once for all tasks."""
+    found = spark.conf.get(KEY_CONF, None)
+    return found.encode() if found else _own_key()
+
+
 class Feistel:
     """Keyed permutations of 0 to n - 1 for any n, without fixed points (for n > 1)."""
 
@@ -99,8 +124,15 @@ def _poured(new: str, like: str) -> str:
 class Pseudonyms:
     """Replaces values: one method per kind, each with the value's whole text; None where it is not valid."""
 
-    def __init__(self, key: bytes = EXAMPLE_KEY, undo: bool = False):
-        self.f, self.undo = Feistel(key), undo
+    def __init__(self, key: bytes | None = None, undo: bool = False):
+        self.f, self.undo = Feistel(_own_key() if key is None else key), undo
+
+    def _step(self, kind: str, n: int, x: int, fits: Callable[[int], bool]) -> int:
+        """The next value of the cycle that the format holds: a permutation of those it holds, as x is one of them."""
+        x = self.f.permute(kind, n, x, self.undo)
+        while not fits(x):
+            x = self.f.permute(kind, n, x, self.undo)
+        return x
 
     def _chars(self, kind: str, text: str) -> str:
         core = re.sub("[^A-Za-z0-9]", "", text)
@@ -126,7 +158,23 @@ class Pseudonyms:
         x = self.f.permute("ipv4", 1 << 32, int.from_bytes(bytes(parts), "big"), self.undo)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
+    def ipv6(self, text: str) -> str | None:
+        """Hexadecimal digits where they are written; what is left out stays left out."""
+        if not _is_ipv6(text):
+            return None
+        digits = re.sub("[^0-9A-Fa-f]", "", text)
+        upper = bool(re.search("[A-F]", digits)) and not re.search("[a-f]", digits)
+
+        def spelt(x: int) -> str:
+            it = iter(f"{x:0{len(digits)}{'X' if upper else 'x'}}")
+            return "".join(c if c == ":" else next(it) for c in text)
+
+        # In capitals only where a letter shows it.
+        x = self._step("ipv6", 16 ** len(digits), int(digits, 16), lambda x: _is_ipv6(spelt(x)) and (not upper or bool(re.search("[A-F]", spelt(x)))))
+        return spelt(x)
+
     def date(self, text: str) -> str | None:
+        month_first = False
         if m := re.fullmatch(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})", text):
             y, mo, d, like = m[1], m[3], m[4], "{y}" + m[2] + "{m}" + m[2] + "{d}"
         elif m := re.fullmatch(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})", text):
@@ -146,10 +194,15 @@ class Pseudonyms:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + self.f.permute("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY, self.undo))
-        # A month-first date must stay one, and a day-first date too: the day of the former is over 12, that of neither ambiguous.
-        if not named and like[1] == "m" and m.re.groups == 4 and new.day <= 12 and new.month != new.day:
-            like = like.replace("{m}", "{x}").replace("{d}", "{m}").replace("{x}", "{d}")
+
+        def fits(x: int) -> bool:
+            """Digits as many as before; a month-first date is one that no day-first date is: its day is over 12."""
+            new = datetime.date.fromordinal(FIRST_DAY + x)
+            if named:
+                return new.day < 10 if len(d) == 1 or d[0] == "0" else new.day >= 10
+            return (len(d) == 2 or new.day < 10) and (len(mo) == 2 or new.month < 10) and (not month_first or new.day > 12)
+
+        new = datetime.date.fromordinal(FIRST_DAY + self._step("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY, fits))
         month = MONTHS[new.month - 1] if named else f"{new.month:0{len(mo)}d}"
         if named:
             month = month.upper() if mo.isupper() else month.capitalize() if mo[0].isupper() else month
@@ -178,28 +231,41 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", text)
         if luhn(digits) or not digits.strip("0"):
             return None
-        body = _spell(self.f.permute("card", 10 ** (len(digits) - 1), int(digits[:-1]), self.undo), digits[:-1])
+        body = _spell(self._step("card", 10 ** (len(digits) - 1), int(digits[:-1]), bool), digits[:-1])  # never all zeros
         return _poured(body + str(-luhn(body + "0") % 10), text)
 
 
+def _is_ipv6(text: str) -> bool:
+    """An address that is no word of a program: with a decimal digit and five digits or more."""
+    if len(text) - text.count(":") < 5 or not re.search("[0-9]", text):
+        return False
+    try:
+        return ipaddress.IPv6Address(text).scope_id is None
+    except ValueError:
+        return False
+
+
 _MONTH = "|".join(MONTHS)
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
-_NAMED = re.compile(rf"(?i)(?<![\w])(?:\d{{1,2}} (?:{_MONTH}) \d{{4}}|(?:{_MONTH}) \d{{1,2}},? \d{{4}})(?!\w)")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
+_NAMED = re.compile(rf"(?i)(?<![\w])(?:[0-9]{{1,2}} (?:{_MONTH}) [0-9]{{4}}|(?:{_MONTH}) [0-9]{{1,2}},? [0-9]{{4}})(?!\w)")
 #: The country codes of one and two digits; all others have three.
-_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
+_IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]{7,39}(?![\w:]|\.[0-9]))(?=[0-9A-Fa-f]*:)(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![\w:])")
+#: What stands before a number that is no address.
+_VERSION = re.compile(r"(?i)(?:\b(?:version|release|build|ver|rev|v)\.?[ :=]{0,3})\Z")
 #: A time behind a date.
-_TIME = re.compile(r"[Tt]\d{2}(?::?\d{2}|(?=[Zz+\-]))")
+_TIME = re.compile(r"[Tt][0-9]{2}(?::?[0-9]{2}|(?=[Zz+\-]))")
 #: A stretch of digits and separators; its values are looked for inside.
-_RUN = re.compile(r"[+(]?\d[\d ().+/\-]{5,}\d")
+_RUN = re.compile(r"[+(]?[0-9][0-9 ().+/\-]{5,}[0-9]")
 _VALUE = re.compile(
     r"""(?<![\w+])(?:
-    (?P<ipv4>(?<!\d\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d))
-    |(?P<date>\d{4}([-/.])\d{1,2}\3\d{1,2}(?!\d)|\d{1,2}([-/.])\d{1,2}\4\d{4}(?!\d))
-    |(?P<phone>(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?:\+\d{1,3}[ .\-])?\d{3}([.\-])\d{3}\6\d{4}(?!\d)|\+\d{1,3}(?:[ .\-]\(?\d{1,8}\)?){1,5}(?!\d)|\+[1-9]\d{6,14}(?!\d)|\d{3}[ ]\d{3}[ ]\d{4}(?!\d))
-    |(?P<ssn>\d{3}-\d{2}-\d{4}(?!\d))
-    |(?P<card>\d{13,19}(?!\d)|\d{4}([ \-])\d{4}\9\d{4}\9\d{4}(?!\d)|\d{4}([ \-])\d{6}\10\d{5}(?!\d))
+    (?P<ipv4>(?<![0-9]\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9]))
+    |(?P<date>[0-9]{4}([-/.])[0-9]{1,2}\3[0-9]{1,2}(?![0-9])|[0-9]{1,2}([-/.])[0-9]{1,2}\4[0-9]{4}(?![0-9]))
+    |(?P<phone>(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?:\+[0-9]{1,3}[ .\-])?[0-9]{3}([.\-])[0-9]{3}\6[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .\-]\(?[0-9]{1,8}\)?){1,5}(?![0-9])|\+[1-9][0-9]{6,14}(?![0-9])|[0-9]{3}[ ][0-9]{3}[ ][0-9]{4}(?![0-9]))
+    |(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))
+    |(?P<card>[0-9]{13,19}(?![0-9])|[0-9]{4}([ \-])[0-9]{4}\9[0-9]{4}\9[0-9]{4}(?![0-9])|[0-9]{4}([ \-])[0-9]{6}\10[0-9]{5}(?![0-9]))
     )(?!\w)""",
     re.X,
 )
@@ -217,8 +283,12 @@ def values(text: str) -> Iterator[tuple[int, int, str]]:
         return
     yield from ((m.start(), m.end(), "iban") for m in _IBAN.finditer(text))
     yield from ((m.start(), m.end(), "date") for m in _NAMED.finditer(text))
+    if "::" in text or text.count(":") > 6:
+        yield from ((m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text))
     for run in _RUN.finditer(text):
         for m in _VALUE.finditer(text, run.start(), run.end()):
+            if m["ipv4"] and _VERSION.search(text, max(0, m.start() - 12), m.start()):
+                continue
             timed = m["date"] and m["date"][:4].isdigit() and _TIME.match(text, m.end())
             if timed or not (m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_")):
                 yield m.start(), m.end(), m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.groupdict() and m[k])
@@ -243,9 +313,9 @@ def _maybe(col: pa.Array) -> np.ndarray:
 _FOUND = "array<struct<start:bigint,end:bigint,kind:string,pseudonym:string>>"
 
 
-def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, found): whole texts with pseudonyms, and what was replaced where."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src, key = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), session_key(docs.sparkSession) if key is None else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
@@ -261,9 +331,9 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, id_col: str = "doc_i
     return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, text string, found {_FOUND}")
 
 
-def replace_text(docs: DataFrame, key: bytes = EXAMPLE_KEY, text_col: str = "text") -> DataFrame:
+def replace_text(docs: DataFrame, key: bytes | None = None, text_col: str = "text") -> DataFrame:
     """docs with pseudonyms in the text column; all other columns as they are. Nothing is shuffled."""
-    at = docs.columns.index(text_col)
+    at, key = docs.columns.index(text_col), session_key(docs.sparkSession) if key is None else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
