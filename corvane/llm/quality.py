@@ -5,7 +5,7 @@ bits into verdicts under a versioned policy, and ``ablation`` tells from bitwise
 removes, first and by itself, without measuring again.
 
 Defined cases: a null or empty text has no words and fails the rule on few words; ties do not arise; repeated rows give equal
-rows; an empty table gives no rows; only the id and text columns are read, so other names cannot clash.
+rows; very long texts are measured whole, in memory that grows with their words; an empty table gives no rows; only the id and text columns are read, so other names cannot clash.
 """
 
 from __future__ import annotations
@@ -46,12 +46,13 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "id", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.expr(_without("t", "[#*$%&|<>]+")).cast("long").alias("n_symbols"),
         F.expr("2 * length(t) - length(replace(t, '!', '')) - length(replace(t, '?', ''))").cast("long").alias("n_marks"), F.expr(_without("t", "[A-Z]+")).cast("long").alias("n_upper"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))").alias("h"),
+        "w", F.expr("if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))").alias("h"),
     )
+    # Texts with an equal pair of hashes are looked at by the words themselves: hashes only say where no window repeats.
     kept = ["id", "n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_lines", "n_dup_lines"]
     # Only a text with an equal pair of windows is sorted.
-    t = t.select(*kept, F.expr("if(size(array_distinct(h)) = size(h), cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(h, (x, i) -> struct(x as h, i as i))))").alias("s"))
-    t = t.select(*kept, F.expr("sort_array(transform(filter(transform(s, (x, k) -> struct(x.i as i, coalesce(get(s, k - 1).h = x.h, false) or coalesce(get(s, k + 1).h = x.h, false) as again)), x -> x.again), x -> x.i))").alias("p"))
+    t = t.select(*kept, F.expr("if(size(array_distinct(h)) = size(h), cast(array() as array<struct<h:bigint,k:string,i:int>>), sort_array(transform(h, (x, i) -> struct(x as h, concat_ws(' ', get(w, i), get(w, i + 1), get(w, i + 2)) as k, i as i))))").alias("s"))
+    t = t.select(*kept, F.expr("sort_array(transform(filter(transform(s, (x, k) -> struct(x.i as i, coalesce(get(s, k - 1).h = x.h and get(s, k - 1).k = x.k, false) or coalesce(get(s, k + 1).h = x.h and get(s, k + 1).k = x.k, false) as again)), x -> x.again), x -> x.i))").alias("p"))
     t = t.select(*kept, F.expr("cast(aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1) - x, 3))), 0, (a, x) -> a + x) as bigint)").alias("n_repeat_words"))
     failed = sum((F.when(F.expr(rule), BIT[name]).otherwise(0) for name, rule in RULES.items()), F.lit(0))
     return t.select("*", failed.cast("long").alias("failed"))
