@@ -7,10 +7,14 @@ every posting votes for a template at the position where its words would begin,
 a single word can reach the coverage) is compared word by word: it counts when the
 IDF-weighted share of its words that stand in their places reaches ``COVERAGE`` and the text holds its mandatory phrase.
 
+Words may also be put in or left out: votes up to ``GAP`` positions apart count together, and a word then stands in its place if it is within
+``GAP`` words of it. What only this finds is a hit of its own, where no exact one is. A hit of a licence of several versions names the version
+whose words stand in the text right behind the licence's name.
+
 Everything is built-in functions over one row at a time: no shuffle but the count of words, whose keys are the templates' words.
 
 Defined cases: a null or empty text has no words, labels or places, and score 0; equal rows give equal rows; among equal
-coverages the greatest counts; an empty table gives no rows; extra columns are not read.
+coverages the greatest counts; very long texts are read whole, in memory that grows with their words; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,8 +48,31 @@ TEMPLATES = [
     ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "unless required by applicable law or agreed to in writing"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "gnu general public license"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "used to endorse or promote products derived from this software"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce"),
+    ("mit", "spdx license identifier mit", "license identifier mit"),
+    ("apache", "spdx license identifier apache 2 0", "license identifier apache"),
+    ("gpl", "spdx license identifier gpl", "license identifier gpl"),
+    ("lgpl", "spdx license identifier lgpl", "license identifier lgpl"),
+    ("agpl", "spdx license identifier agpl", "license identifier agpl"),
+    ("bsd", "spdx license identifier bsd", "license identifier bsd"),
+    ("isc", "spdx license identifier isc", "license identifier isc"),
+    ("mpl", "spdx license identifier mpl 2 0", "license identifier mpl"),
+    ("epl", "spdx license identifier epl 2 0", "license identifier epl"),
+    ("boost", "spdx license identifier bsl 1 0", "license identifier bsl"),
+    ("cc0", "spdx license identifier cc0 1 0", "license identifier cc0"),
+    ("unlicense", "spdx license identifier unlicense", "license identifier unlicense"),
 ]
-COVERAGE = 0.7
+#: By label, what a version follows, and the versions' words.
+VERSIONS = {
+    "gpl": (("general public license version", "general public license v", "identifier gpl"), ("2 0", "3 0", "2", "3")), "lgpl": (("lesser general public license version", "lesser general public license v", "identifier lgpl"), ("2 1", "3 0", "3")),
+    "agpl": (("affero general public license version", "identifier agpl"), ("3 0", "3")), "apache": (("apache license version", "apache license", "identifier apache"), ("2 0", "1 1")),
+    "bsd": (("identifier bsd", "bsd"), ("2 clause", "3 clause")), "mpl": (("mozilla public license version", "mozilla public license v", "identifier mpl"), ("2 0", "1 1")), "epl": (("eclipse public license version", "eclipse public license v", "identifier epl"), ("1 0", "2 0")),
+}
+COVERAGE, GAP = 0.7, 3
 #: Of the SQL twin only: it looks for fewer words than scan(), so it misses changed notices that scan() finds.
 ANCHORS, VOTES = 4, 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,7 +82,8 @@ _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, t): the lower-cased words of each text, one blank between them and at either end."""
     # lower() also changes letters beyond ASCII, but never into a break or a letter of the phrases; translate() costs a string per character.
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    # Of them only the kelvin sign becomes an ASCII letter: another letter stands for it.
+    low = F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     return docs.select(F.col(id_col).alias("id"), F.concat(F.lit(" "), F.trim(F.regexp_replace(low, _BREAK, " ")), F.lit(" ")).alias("t"))
 
 
@@ -85,7 +113,7 @@ def anchor_words(words: list[str], weights: dict[str, float], coverage: float =
 
 
 def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """(id, n_words, base, hits): places of base phrases (start, label), and accepted templates (label, start, coverage)."""
+    """(id, n_words, base, hits): places of base phrases (start, label), and accepted templates (label, start, coverage, version or null)."""
     templates = [(label, words.split(), phrase) for label, words, phrase in TEMPLATES]
     anchors: dict[str, list[tuple[int, int]]] = {}
     chosen = [anchor_words(words, weights, coverage) for _, words, _ in templates]
@@ -113,11 +141,28 @@ def scan(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", tex
     votes = f"""sort_array(flatten(transform(filter(sequence(0, size(w)), i -> array_contains({looked_up}, get(w, i))), i ->
         transform(get({postings}, cast(array_position({looked_up}, get(w, i)) as int) - 1), p -> named_struct('k', p.k, 'at', i - p.i)))))"""
     d = d.select("id", "t", "n_words", "w", F.expr(f"if(size(w) = 0, cast(array() as array<struct<start:int,label:string>>), {base})").alias("base"), F.expr(f"if(size(w) = 0, cast(array() as array<struct<k:int,at:int>>), {votes})").alias("v"))
-    # Equal votes are neighbours now: a template needs so many of them at one position.
-    d = d.select("id", "t", "n_words", "w", "base", F.expr(f"filter(v, (x, i) -> get(v, i + get({votes_of}, x.k) - 1) = x and coalesce(get(v, i - 1) <> x, true))").alias("c"))
-    cover = f"aggregate(sequence(0, size(get({text_of}, x.k)) - 1), 0D, (a, j) -> a + if(get(w, x.at + j) = get(get({text_of}, x.k), j), get(get({weight_of}, x.k), j), 0D)) / get({total_of}, x.k)"
-    d = d.select("id", "n_words", "base", F.expr(f"transform(filter(c, x -> contains(t, get({phrase_of}, x.k))), x -> named_struct('label', get({label_of}, x.k), 'start', x.at, 'coverage', {cover}))").alias("h"))
-    return d.select("id", "n_words", "base", F.expr(f"filter(h, x -> x.coverage >= {coverage}D)").alias("hits"))
+    # Equal votes are neighbours now: a template needs so many of them at one position; those of one template that are near follow each other.
+    d = d.select("id", "t", "n_words", "w", "base", "v", F.expr(f"filter(v, (x, i) -> get(v, i + get({votes_of}, x.k) - 1) = x and coalesce(get(v, i - 1) <> x, true))").alias("c"))
+    near = f"coalesce(get(v, i + get({votes_of}, x.k) - 1).k = x.k and get(v, i + get({votes_of}, x.k) - 1).at - x.at between 0 and {GAP}, false) and coalesce(get(v, i - 1) <> x, true)"
+    d = d.select("id", "t", "n_words", "w", "base", "c", F.expr(f"filter(v, (x, i) -> {near})").alias("n"))
+    d = d.select("id", "t", "n_words", "w", "base", F.expr(f"filter(c, x -> contains(t, get({phrase_of}, x.k)))").alias("c"), F.expr(f"filter(n, x -> contains(t, get({phrase_of}, x.k)))").alias("n"))
+
+    def share(place: str) -> str:
+        return f"aggregate(sequence(0, size(get({text_of}, x.k)) - 1), 0D, (a, j) -> a + if({place}, get(get({weight_of}, x.k), j), 0D)) / get({total_of}, x.k)"
+
+    def covered(of: str, place: str) -> str:
+        """Those of the candidates that reach the coverage: computed once each."""
+        return f"filter(transform({of}, x -> named_struct('k', x.k, 'start', x.at, 'coverage', {share(place)})), x -> x.coverage >= {coverage}D)"
+
+    word = f"get(get({text_of}, x.k), j)"
+    d = d.select("id", "t", "n_words", "w", "base", "n", F.expr(covered("c", f"get(w, x.at + j) = {word}")).alias("c"))
+    d = d.select("id", "t", "n_words", "w", "base", "c", F.expr(f"filter(n, x -> not exists(c, y -> y.k = x.k and abs(y.start - x.at) <= {GAP}))").alias("n"))
+    about = f"array_contains(slice(w, greatest(x.at + j - {GAP}, 0) + 1, greatest(x.at + j + {GAP} + 1 - greatest(x.at + j - {GAP}, 0), 0)), {word})"
+    d = d.select("id", "t", "n_words", "base", F.expr(f"concat(c, if(size(n) = 0, cast(array() as array<struct<k:int,start:int,coverage:double>>), {covered('n', about)}))").alias("h"))
+    version = "case " + " ".join(
+        f"when get({label_of}, x.k) = {quoted(label)} and contains(t, {quoted(f' {name} {number} ')}) then {quoted(number.replace(' ', '.').replace('.clause', '-clause'))}" for label, (names, numbers) in VERSIONS.items() for name in names for number in numbers
+    ) + " end"
+    return d.select("id", "n_words", "base", F.expr(f"transform(h, x -> named_struct('label', get({label_of}, x.k), 'start', x.start, 'coverage', x.coverage, 'version', {version}))").alias("hits"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

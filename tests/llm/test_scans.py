@@ -126,3 +126,15 @@ def test_policies_and_ablation(spark, sf_dir):
     for r in quality.ablation(led).collect():
         bit = quality.BIT[r["rule"]]
         assert r["fails"] == sum(bool(m & bit) for m in masks) and r["alone"] == sum(m == bit for m in masks) and r["kept_without"] == sum(not m & ~bit for m in masks)
+
+
+def test_license_tags_versions_and_gaps(spark):
+    texts = [
+        "// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with, including commercially, or without modification, are permitted provided that the following conditions are met:",
+        "Permission is hereby granted, free of charge, to any person or company obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "licensed under the GNU General Public License version 2", "redistribution and use in source and binary forms " + "of other words " * 30, "KIK mit license",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: {(h["label"], h["version"]) for h in r["hits"]} for r in licenses.scan(df, licenses.idf(df)).collect()}
+    assert [got[i] for i in range(8)] == [{("mit", None)}, {("apache", "2.0")}, {("gpl", "3.0")}, {("bsd", "3-clause")}, {("bsd", None)}, {("mit", None)}, {("gpl", "2")}, set()]
