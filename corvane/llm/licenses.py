@@ -36,6 +36,7 @@ TEMPLATES = [
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses"),
     ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    ("gpl", "licensed under the gnu general public license", "gnu general public license"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
     ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
