@@ -3,11 +3,11 @@
 
 Features are counts of pairs and triples of bytes of the lower-cased text, with all but letters as blanks, hashed and scaled as square roots of
 shares. All machines are linear support vector machines (squared hinge) trained on the driver from a sample of every language's rows, chosen by a
-hash of the id: about ``SAMPLE`` documents a language, or an equal part of ``ROWS`` where there are more languages than that allows, but ``LEAST``
-(or all that there are) in any case. The sample stays sparse; ``BLOCK`` rows at a time are dense. Whole texts are predicted in one pass without a shuffle.
+hash of id and text: about ``SAMPLE`` documents a language, or an equal part of ``ROWS`` where there are more languages than that allows, but ``LEAST``
+(or all that there are) in any case, and of these so many as have ``ENTRIES`` features together, an equal part a language. The sample stays sparse; ``BLOCK`` rows at a time are dense. Whole texts are predicted in one pass without a shuffle.
 
 Defined cases: null texts and those without a letter are ``und`` with score 0; without any language to learn from, all
-are; with one language, all others get it; a language whose family is not listed is in the family ``other``; ties go to the first name; equal
+are; with one language, all others get it; rows alike in id, text and language are sampled once; very long texts are counted whole, in pieces; a language whose family is not listed is in the family ``other``; ties go to the first name; equal
 texts get equal predictions; an empty table gives no rows; extra columns are not read.
 """
 
@@ -23,10 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import buffers, chunked, map_arrow, slices, table
-from corvane.llm.toxicity import bucket
+from corvane.llm.common import buffers, chunked, map_arrow, slices, stash, table
+from corvane.llm.toxicity import bucket, within
 
 SAMPLE, ROWS, LEAST = 600, 38_400, 30
+#: Most features of sampled rows, counted by row, that are sent to the driver: 6 bytes each there.
+ENTRIES = 24_000_000
 WIDE, BLOCK, _AT_ONCE = 16, 4096, 64
 #: Families by language code.
 FAMILIES = {
@@ -36,6 +38,7 @@ FAMILIES = {
 }
 _PAIRS, _TRIPLES = 4096, 8192
 WIDTH = _PAIRS + _TRIPLES
+_PIECE = 1 << 21
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 
@@ -48,17 +51,19 @@ def counts(texts: pa.Array) -> np.ndarray:
     """(texts, WIDTH) hashed counts of pairs and triples inside each text."""
     data, off = buffers(pc.utf8_lower(texts))
     n = len(texts)
-    b = _LETTER[data].astype(np.uint32)
-    at = np.repeat(np.arange(n), np.diff(off))
     out = np.zeros(n * WIDTH)
-    code = b
-    for size, base, width in ((2, 0, _PAIRS), (3, _PAIRS, _TRIPLES)):
-        if len(b) < size:
-            break
-        code = code[: len(b) - size + 1] * np.uint32(256) + b[size - 1 :]
-        inside = at[: len(code)] == at[size - 1 :]
-        cell = (((code * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(width)).astype(np.int64) + base
-        out += np.bincount((at[: len(code)] * WIDTH + cell)[inside], minlength=n * WIDTH)
+    for begin in range(0, len(data), _PIECE):  # codes that begin in this piece
+        b = _LETTER[data[begin : begin + _PIECE + 2]].astype(np.uint32)
+        at = np.searchsorted(off, np.arange(begin, begin + len(b)), "right") - 1
+        code = b
+        for size, base, width in ((2, 0, _PAIRS), (3, _PAIRS, _TRIPLES)):
+            if len(b) < size:
+                break
+            code = code[: len(b) - size + 1] * np.uint32(256) + b[size - 1 :]
+            inside = at[: len(code)] == at[size - 1 :]
+            inside[_PIECE:] = False
+            cell = (((code * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(width)).astype(np.int64) + base
+            out += np.bincount((at[: len(code)] * WIDTH + cell)[inside], minlength=n * WIDTH)
     return out.reshape(n, WIDTH)
 
 
@@ -193,25 +198,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Machines of every language from all rows given with a text and a language (hold rows out before); about sample rows of each are read into them,
     or fewer where all together would be more than rows."""
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    spot = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) / float(1 << 20)
+    spot = F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 40)) / float(1 << 40)
     sizes = src.groupBy("lang").agg(F.count("*").alias("count"), F.min(spot).alias("first")).collect()
     if not sizes:
         return Languages()
     each = min(sample, max(LEAST, rows // len(sizes)))
     # The first row of a language is taken in any case: none goes without.
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"]), r["first"]) for r in sizes], "lang string, share double, first double")
-    picked = src.withColumn("spot", spot).join(F.broadcast(share), "lang").where("spot < share or spot = first").select("lang", "text")
+    picked = src.withColumn("spot", spot).join(F.broadcast(share), "lang").where("spot < share or spot = first").select("lang", "spot", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 64):
-                c = counts(b.column(1).slice(a, 64))
+                c = counts(b.column(2).slice(a, 64))
                 rows, cols = np.nonzero(c)
                 off = pa.array(np.searchsorted(rows, np.arange(len(c) + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (cols.astype(np.int16), c[rows, cols].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 64), *lists], ["lang", "k", "c"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 64), b.column(1).slice(a, 64), *lists], ["lang", "spot", "k", "c"])
 
-    got = map_arrow(picked, run, "lang string, k array<smallint>, c array<int>").toArrow()
+    counted = stash(map_arrow(picked.dropDuplicates(["lang", "spot"]), run, "lang string, spot double, k array<smallint>, c array<int>"), "language-sample")
+    last = within(counted.select("lang", "spot", F.size("k").alias("entries")).collect(), "lang", ENTRIES // len(sizes))
+    bound = docs.sparkSession.createDataFrame(list(last.items()), "lang string, last double")
+    got = counted.join(F.broadcast(bound), "lang").where("spot <= last").select("lang", "k", "c").toArrow()
     lang, k, c = (chunked(got.column(i)) for i in range(3))
     off, count = np.asarray(k.offsets).astype(np.int64), c.values.to_numpy()
     total = np.diff(np.concatenate([[0], np.cumsum(count, dtype=np.int64)])[off])

@@ -2,12 +2,14 @@
 
 Terms are the words of a text and the beginnings of its words (stems of compounds), hashed from bytes; a term's value is
 its density in the text, dampened. The machine is trained on the driver from a bounded, stratified sample of labelled rows
-(``POSITIVE`` and ``NEGATIVE`` at most, those with the least hash of their id) with the terms that tell the classes apart best, and
+(``POSITIVE`` and ``NEGATIVE`` at most, those with the least hash of their id, and of these so many as have ``ENTRIES`` terms together) with the
+terms that tell the classes apart best, and
 scores every whole text in one pass without a shuffle. The prior of all labelled rows, not the sample's, sets the intercept.
 
 Defined cases: null and empty texts get the prior's score; labels of ids without a text, or null labels, are not used; of
 several labels of one id the largest counts; with no label, or those of one class only, every score is the share of label 1
-(0.5 without any label); ties among sampled rows go by id; equal texts get equal scores; an empty table gives no rows; only the id and text columns are read.
+(0.5 without any label); ties among sampled rows go by id; equal texts get equal scores; very long texts are scored whole; an empty table gives
+no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U64, chunked, map_arrow, slices, span_hashes, table, word_hashes
+from corvane.llm.common import U64, chunked, map_arrow, slices, span_hashes, stash, table, word_hashes
 
 POSITIVE, NEGATIVE, TERMS, FACTORS, THRESHOLD = 2500, 4000, 8192, 4, 0.7
+#: Most terms of sampled rows, counted by row, that are sent to the driver: half for each class, 8 bytes a term.
+ENTRIES = 6_000_000
 _PREFIXES = (5, 6, 7)  # bytes
 _BITS = 32
 
@@ -180,6 +184,17 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int, int]], prior: float, n_te
     return m
 
 
+def within(rows: list, group: str, most: int) -> dict:
+    """By group, the last spot of those that hold at most so many entries together, in the order of their spots: one at least."""
+    last, so_far = {}, {}
+    for r in sorted(rows, key=lambda r: (r["spot"], r["entries"])):
+        g = r[group]
+        so_far[g] = so_far.get(g, 0) + r["entries"]
+        if g not in last or so_far[g] <= most:
+            last[g] = r["spot"]
+    return last
+
+
 def bucket(id_: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a row."""
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -198,18 +213,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not ids:
         return fit([], prior)
     sample = docs.sparkSession.createDataFrame(ids, f"id {named.schema['id'].dataType.simpleString()}, y int")
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(sample), "id").select("y", "text")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(sample), "id").select("y", F.xxhash64("id").alias("spot"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in slices(b.column(1)):
-                row, key, words = terms(b.column(1).slice(lo, hi - lo))
+            for lo, hi in slices(b.column(2)):
+                row, key, words = terms(b.column(2).slice(lo, hi - lo))
                 r, k, c = _counts(row, key, 1 << _BITS)
                 off = pa.array(np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (k.astype(np.uint32).view(np.int32), np.minimum(c, 32767).astype(np.int16))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *lists, pa.array(words.astype(np.int64))], ["y", "k", "c", "n"])
+                lists = [pa.ListArray.from_arrays(off, pa.array(v.view(np.int32))) for v in (k.astype(np.uint32), c.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *lists, pa.array(words.astype(np.int64))], ["y", "spot", "k", "c", "n"])
 
-    got = map_arrow(src, run, "y int, k array<int>, c array<smallint>, n bigint").toArrow()
+    counted = stash(map_arrow(src, run, "y int, spot bigint, k array<int>, c array<int>, n bigint"), "toxicity-sample")
+    last = within(counted.groupBy("y", "spot").agg(F.sum(F.size("k")).alias("entries")).collect(), "y", ENTRIES // 2)
+    chosen = counted.where(" or ".join(f"(y = {y} and spot <= {spot})" for y, spot in last.items()) or "false")
+    got = chosen.select("y", "k", "c", "n").toArrow()
     cols = [chunked(got.column(i)) for i in range(4)]
     off = np.asarray(cols[1].offsets)
     k, c = cols[1].values.to_numpy().view(np.uint32), cols[2].values.to_numpy()
