@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.sources.durable import durable
+
 SCHEMA_VERSION = 1
 RECORD = (
     "schema_version int, task_id string, mode string, status string, passed boolean, attempts int, retries_used int, human_rounds int, first_try boolean, llm_calls int, api_retries int, "
@@ -73,38 +77,54 @@ def ranking_metrics(ranks: DataFrame, kind: str = "kind", rank: str = "rank", ks
 def p95(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """The value at index min(n - 1, round(0.95 (n - 1))) of the sorted ones, half to even, without interpolation.
 
-    By ranks over a range-partitioned sort, so that no group's values meet in one row.
+    Values lie in ranges, a file each: counts by range tell which one holds the index, and only that one is sorted. No group's values
+    meet in one task.
     """
-    n = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    by_value = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    ranged = durable(by_value.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy(*by)
+    parts = ranged.groupBy(*by, "_part").agg(F.sum("c").alias("_c"))  # as many rows as ranges and groups
+    parts = parts.withColumn("n", F.sum("_c").over(w)).withColumn("_before", F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
     at = F.least(F.col("n") - 1, F.bround(F.lit(0.95) * (F.col("n") - 1), 0).cast("bigint"))
-    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    run = values.withColumn("upto", F.sum("c").over(w))
-    if by:
-        both = run.join(n.withColumn("at", at), list(by))
-    else:
-        one = n.withColumn("at", at).first()
-        both = run.withColumns({"n": F.lit(one["n"]).cast("bigint"), "at": F.lit(one["at"]).cast("bigint")})
-    return both.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select(*by, F.col(value).alias("p95"), "n")
+    held = parts.withColumn("_at", at).where("_before <= _at and _at < _before + _c").drop("_c")
+    near = ranged.join(held, [*by, "_part"])
+    run = near.withColumn("_upto", F.col("_before") + F.sum("c").over(Window.partitionBy(*by, "_part").orderBy(value)))
+    return run.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("c") <= F.col("_at"))).select(*by, F.col(value).alias("p95"), "n")
+
+
+def error_tasks(records: DataFrame) -> DataFrame:
+    """(task_id) of tasks with an error, distinct."""
+    return records.where("status = 'error'").select("task_id").distinct()
 
 
 def report_header(tasks: DataFrame, records: DataFrame) -> DataFrame:
-    """One row: tasks, complete records, errors and the ids of tasks with errors."""
+    """One row of counts: tasks, complete records, errors, and tasks with errors (their ids: ``error_tasks``)."""
     n = tasks.agg(F.count("*").alias("tasks"))
-    r = records.agg(F.count_if(is_complete()).alias("complete"), F.count_if(F.col("status") == "error").alias("errors"), F.array_sort(F.collect_set(F.when(F.col("status") == "error", F.col("task_id")))).alias("error_tasks"))
+    r = records.agg(F.count_if(is_complete()).alias("complete"), F.count_if(F.col("status") == "error").alias("errors"), F.countDistinct(F.when(F.col("status") == "error", F.col("task_id"))).cast("int").alias("n_error_tasks"))
     return r.withColumn("tasks", F.lit(n.first()["tasks"]).cast("bigint")).select("tasks", *r.columns)
 
 
-def render_report(summary: list, pair: object | None, rows: list, modes: tuple[str, ...], model: str | None = None) -> str:
-    """Markdown of collected aggregates (one row per mode, one pair, one row per task)."""
-    out = ["# Evaluation", ""] + ([f"Model: {model}", ""] if model else [])
-    out += ["| mode | runs | passed | pass rate | first try | attempts | calls | tokens | median wall s |", "|---|---|---|---|---|---|---|---|---|"]
-    out += [f"| {s['mode']} | {s['runs']} | {s['n_passed']} | {s['pass_rate']:.1%} | {s['n_first_try']} | {s['mean_attempts']:.2f} | {s['mean_llm_calls']:.2f} | {s['mean_tokens']:.0f} | {s['median_wall_s']:.1f} |" for s in summary]
+def report_lines(summary: list, pair: object | None, rows: Iterable, modes: tuple[str, ...], model: str | None = None) -> Iterator[str]:
+    """Markdown, line by line, of aggregates (one row per mode, one pair) and of any number of rows, one per task."""
+    number = lambda v, form: "-" if v is None else format(v, form)
+    yield from ["# Evaluation", ""] + ([f"Model: {model}", ""] if model else [])
+    yield "| mode | runs | passed | pass rate | first try | attempts | calls | tokens | median wall s |"
+    yield "|---|---|---|---|---|---|---|---|---|"
+    for s in summary:
+        yield f"| {s['mode']} | {s['runs']} | {s['n_passed']} | {number(s['pass_rate'], '.1%')} | {s['n_first_try']} | {number(s['mean_attempts'], '.2f')} | {number(s['mean_llm_calls'], '.2f')} | {number(s['mean_tokens'], '.0f')} | {number(s['median_wall_s'], '.1f')} |"
     if pair is not None:
-        out += ["", f"Pairs: {pair['pairs']}; both {pair['both']}, only {modes[0]} {pair['only_a']}, only {modes[1]} {pair['only_b']}, neither {pair['neither']}; calls {pair['diff_llm_calls']:+.2f}, attempts {pair['diff_attempts']:+.2f}"]
-        out += ["Fewer than 10 pairs: read with care."] if pair["pairs"] < 10 else []
-    out += ["", "| task | " + " | ".join(modes) + " |", "|---" * (len(modes) + 1) + "|"]
-    return "\n".join(out + [f"| {r['task_id']} | " + " | ".join(r[m] for m in modes) + " |" for r in rows]) + "\n"
+        yield ""
+        yield f"Pairs: {pair['pairs']}; both {pair['both']}, only {modes[0]} {pair['only_a']}, only {modes[1]} {pair['only_b']}, neither {pair['neither']}; calls {number(pair['diff_llm_calls'], '+.2f')}, attempts {number(pair['diff_attempts'], '+.2f')}"
+        if pair["pairs"] < 10:
+            yield "Fewer than 10 pairs: read with care."
+    yield from ("", "| task | " + " | ".join(modes) + " |", "|---" * (len(modes) + 1) + "|")
+    for r in rows:
+        yield f"| {r['task_id']} | " + " | ".join(r[m] for m in modes) + " |"
+
+
+def render_report(summary: list, pair: object | None, rows: Iterable, modes: tuple[str, ...], model: str | None = None) -> str:
+    """The lines of a report as one text."""
+    return "\n".join(report_lines(summary, pair, rows, modes, model)) + "\n"
 
 
 def ledger_counts(cells: DataFrame) -> DataFrame:
@@ -121,10 +141,20 @@ def verify_references(tasks: DataFrame, sandbox=None) -> DataFrame:
     return done.select("id", F.coalesce("run.passed", F.lit(False)).alias("passed"), F.coalesce("run.category", F.lit("sandbox_error")).alias("category"))
 
 
-def write_report(text: str, path: str) -> None:
-    """A rendered report as a file, replaced as a whole."""
+def write_report(text: str | Iterable[str], path: str) -> None:
+    """A rendered report, or its lines as they come, as a file, replaced as a whole."""
     import os
 
     with open(f"{path}.new", "w", encoding="utf-8") as f:
-        f.write(text)
+        if isinstance(text, str):
+            f.write(text)
+        else:
+            f.writelines(f"{line}\n" for line in text)
     os.replace(f"{path}.new", path)
+
+
+def probe_metrics(ranks: list[int | None], ks: tuple[int, ...] = (1, 5, 10)) -> dict[str, float]:
+    """hit@k, MRR and mean rank of a few probes, in four digits; 0.0 where none was found."""
+    found = [r for r in ranks if r]
+    share = lambda x: round(x / len(ranks), 4) if ranks else 0.0
+    return {f"hit@{k}": share(sum(r <= k for r in found)) for k in ks} | {"mrr": share(sum(1 / r for r in found)), "mean_rank": round(sum(found) / len(found), 4) if found else 0.0}

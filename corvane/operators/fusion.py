@@ -52,6 +52,11 @@ def merge_prior(new: DataFrame, prior: DataFrame, cap: int = 8) -> DataFrame:
 
 
 def context_prefix(ranked: DataFrame, max_chars: int = 6000) -> DataFrame:
-    """(key, id, pos, text) while the running length of texts with two separators each stays within max_chars. Input: (key, id, pos, text)."""
-    w = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("total", F.sum(F.length("text") + 2).over(w)).where(F.col("total") <= max_chars)
+    """(key, pos, total, ...) while the running length of texts with two separators each stays within max_chars. Input: (key, pos, text, ...).
+
+    A text counts two at least, so more than half of max_chars of them never fit: partitions are cut to so many before the shuffle,
+    and lengths stand in for texts where the texts are not asked for.
+    """
+    w = Window.partitionBy("key").orderBy("pos")
+    near = ranked.withColumn("_size", F.coalesce(F.length("text"), F.lit(0)) + 2).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(max_chars // 2, 0))
+    return near.withColumn("total", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= max_chars).drop("_size", "_n")

@@ -1,21 +1,29 @@
-"""Lexical search: postings with BM25+ ranking, built once and asked many queries at a time.
+"""Lexical search: postings with BM25+ ranking, built once, saved, and asked many queries at a time.
 
-Statistics are those of the whole corpus, also where a filter holds for a search: the filter applies to postings afterwards.
+Postings are cut by document (buckets by a hash of the id), the terms with their document counts are global. A search sends its
+terms to all buckets; each sums and ranks the documents it holds, and only its k best a query leave it. Statistics are those of
+the whole corpus, also where a filter holds for a search: the filter applies to postings afterwards.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corvane.functions.arrays import histogram, unrolled
 from corvane.functions.text import tokenize
-from corvane.sources.durable import durable, small, spread
+from corvane.sources.durable import durable, gone_at_exit, read_text, shared_dir, small, spread, write_new
 
 K1, B, DELTA = 1.5, 0.75, 1.0
+#: Searches for at most so many different tokens read only the parts of the postings that can hold them.
+FEW_TOKENS = 200
 
 
 @dataclass(frozen=True)
@@ -28,14 +36,33 @@ class LexicalIndex:
     avgdl: float
 
     @staticmethod
-    def build(chunks: DataFrame, id_col: str = "id", text: Column | str = "text", keep: tuple[str, ...] = ()) -> LexicalIndex:
-        """One pass for tokens and their counts within rows; one shuffle, by ranges of tokens, so that files hold few tokens each."""
+    def build(chunks: DataFrame, id_col: str = "id", text: Column | str = "text", keep: tuple[str, ...] = (), path: str | None = None, buckets: int | None = None) -> LexicalIndex:
+        """One pass for tokens and their counts within rows, one shuffle by document. Kept under a path where one is given, else until the driver ends."""
+        spark = chunks.sparkSession
+        folder = path or f"{shared_dir(spark)}/corvane-postings-{uuid.uuid4().hex}"
+        n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         toks = durable(histogram(spread(chunks).select(F.col(id_col).alias("id"), *keep, tokenize(text).alias("toks")), "toks", "h").select("id", *keep, F.size("toks").alias("dl"), "h"), "tokens")
         stats = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
         flat = unrolled(toks, "h", "id", "dl", *keep).withColumnsRenamed({"value": "tok", "n": "tf"})
-        postings = durable(flat.repartitionByRange("tok", "id").sortWithinPartitions("tok", "id"), "postings")
-        terms = durable(postings.groupBy("tok").agg(F.count("*").alias("df")), "terms")
-        return LexicalIndex(postings, terms, stats["n"], float(stats["avgdl"] or 0.0))
+        # By token within a bucket: a search for few tokens skips most of its row groups.
+        flat.repartition(n_buckets, "id").write.format("parquet").bucketBy(n_buckets, "id").sortBy("tok", "id").option("path", f"{folder}/postings").saveAsTable(_table_of(folder))
+        spark.table(_table_of(folder)).groupBy("tok").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
+        write_new(spark, f"{folder}/index.json", json.dumps({"n": stats["n"], "avgdl": float(stats["avgdl"] or 0.0), "buckets": n_buckets, "schema": flat.schema.jsonValue()}))
+        if path is None:
+            gone_at_exit(spark, folder)
+        return LexicalIndex.load(spark, folder)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LexicalIndex:
+        """An index that was built under a path, also by another session."""
+        text = read_text(spark, f"{path}/index.json")
+        if text is None:
+            raise FileNotFoundError(f"no index under {path}")
+        about, name = json.loads(text), _table_of(path)
+        if not spark.catalog.tableExists(name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(about["schema"]))
+            spark.sql(f"create table {name} ({columns}) using parquet clustered by (id) sorted by (tok, id) into {about['buckets']} buckets location '{path}/postings'")
+        return LexicalIndex(spark.table(name), spark.read.parquet(f"{path}/terms"), about["n"], about["avgdl"])
 
     def scores(self, queries: DataFrame, where: Column | None = None) -> DataFrame:
         """(qid, id, score) of all chunks that share a token with the query (qid, text); repeated query tokens count each time."""
@@ -45,7 +72,11 @@ class LexicalIndex:
         few = small(weighed)
         hint = F.broadcast if few else (lambda df: df)
         hits = self.postings if where is None else self.postings.where(where)
+        tokens = [r["tok"] for r in weighed.select("tok").distinct().limit(FEW_TOKENS + 1).collect()] if few else []
+        if few and len(tokens) <= FEW_TOKENS:
+            hits = hits.where(F.col("tok").isin(tokens))
         part = F.col("tf") * (K1 + 1) / (K1 * (1 - B + B * F.col("dl") / self.avgdl) + F.col("tf"))
+        # Postings of a document are in one bucket: with the terms broadcast, sums by query and document need no shuffle.
         matched = hits.join(hint(weighed), "tok").groupBy("qid", "id").agg(F.sum(F.col("w") * part).alias("s"))
         return matched.join(hint(floor), "qid").select("qid", "id", (F.col("s") + F.col("floor")).alias("score")).where("score > 0")
 
@@ -54,6 +85,11 @@ class LexicalIndex:
         return top_k(self.scores(queries, where), k)
 
 
+def _table_of(path: str) -> str:
+    """The catalog's name for the postings under a path."""
+    return f"corvane_postings_{hashlib.sha1(path.encode()).hexdigest()[:16]}"
+
+
 def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """The k best rows of each qid by score, then id. Spark cuts each partition to k before the shuffle."""
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", digits)), "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.sources.durable import shared_dir
+from corvane.sources.durable import delete, durable, newest, shared_dir, write_new
 
 CHUNK = T.StructType().add("id", T.StringType()).add("text", T.StringType())
 for _name in ("library", "version", "qualname", "kind", "import_path", "source_type", "source_path", "embed_text"):
@@ -40,31 +41,58 @@ def counts(chunks: DataFrame, by: str = "library") -> DataFrame:
 
 
 class ChunkStore:
-    """A named collection of chunks by id. Each write is a new version; readers of an older one are not disturbed."""
+    """A named collection of chunks by id, which outlives the session: rows lie in buckets by a hash of the id, and a manifest names each
+    bucket's files. A write replaces the buckets that it touches only and then adds the next manifest; readers of an older one are not
+    disturbed, and a write that fails leaves the collection as it was. One writer at a time: a second one's manifest is refused.
+    """
 
-    def __init__(self, spark: SparkSession, name: str, schema: T.StructType = CHUNK, root: str | None = None):
+    def __init__(self, spark: SparkSession, name: str, schema: T.StructType = CHUNK, root: str | None = None, buckets: int = 32):
         self.spark, self.schema = spark, schema
         self.root = f"{root or shared_dir(spark)}/store-{name}"
-        self.version: str | None = None
+        self.files: dict[str, str] = {}
+        self.number, self.buckets = 0, buckets
+        self.refresh()
+
+    def refresh(self) -> None:
+        """The last manifest that was written whole."""
+        for number, text in newest(self.spark, f"{self.root}/manifest"):
+            self.number = max(self.number, number)
+            try:
+                found = json.loads(text)
+                self.buckets, self.files = found["buckets"], found["files"]
+                return
+            except (ValueError, KeyError):  # cut off: its writer failed
+                continue
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+
+    def _of(self, files: dict[str, str]) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{path}" for path in sorted(files.values())))
 
     def read(self, **wanted) -> DataFrame:
         """All chunks, or those that match a metadata filter (pushed down to the files)."""
-        if self.version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.version).where(where(**wanted))
-
-    def _write(self, df: DataFrame) -> None:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.select([F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(path)
-        self.version = path
+        return self._of(self.files).where(where(**wanted))
 
     def upsert(self, batch: DataFrame, seq: str) -> int:
         """Replace or add by id, the batch's last row of an id winning; the number of distinct ids written."""
+        self.refresh()
         new = last_wins(batch, seq).drop("first_seq")
-        new = new.select([F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
-        old = self.read().join(new.select("id"), "id", "left_anti")
-        self._write(old.unionByName(new))
-        return batch.select("id").distinct().count()
+        new = durable(new.select([F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]), "upsert")
+        touched = {str(r["b"]): r["n"] for r in new.groupBy(self._bucket().alias("b")).agg(F.count("*").alias("n")).collect()}  # one row a bucket
+        if not touched:
+            return 0
+        old = self._of({b: path for b, path in self.files.items() if b in touched}).join(new.select("id"), "id", "left_anti")
+        path = f"data/{uuid.uuid4().hex}"
+        old.unionByName(new).withColumn("b", self._bucket()).hint("rebalance", "b").write.partitionBy("b").parquet(f"{self.root}/{path}")
+        self._commit(self.files | {b: f"{path}/b={b}" for b in touched})
+        return sum(touched.values())
+
+    def _commit(self, files: dict[str, str]) -> None:
+        write_new(self.spark, f"{self.root}/manifest/{self.number + 1:012d}.json", json.dumps({"buckets": self.buckets, "files": files}))
+        self.number, self.files = self.number + 1, files
 
     def count(self, **wanted) -> int:
         return self.read(**wanted).count()
@@ -74,4 +102,12 @@ class ChunkStore:
 
     def reset(self) -> None:
         """Empty the collection."""
-        self._write(self.spark.createDataFrame([], self.schema))
+        self.refresh()
+        self._commit({})
+
+    def vacuum(self) -> None:
+        """Remove the files of older versions; none may be read any more."""
+        self.refresh()
+        used = {path.split("/")[1] for path in self.files.values()}
+        delete(self.spark, f"{self.root}/data", lambda name: name not in used)
+        delete(self.spark, f"{self.root}/manifest", lambda name: name < f"{self.number:012d}")

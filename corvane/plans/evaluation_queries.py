@@ -122,7 +122,7 @@ def p95_all(spark, sf):
 @register("report_header", f"with {_TWO} select (select count(*) from documents) tasks, count_if(status in ('approved', 'failed') and schema_version = 1)::bigint complete, count_if(status = 'error')::bigint errors, len(list(distinct task_id) filter (status = 'error'))::int n_error_tasks from two")
 def report_header(spark, sf):
     """Counts at a report's head."""
-    return E.report_header(_tasks(spark, sf), _two(spark, sf)).withColumn("n_error_tasks", F.size("error_tasks")).drop("error_tasks")
+    return E.report_header(_tasks(spark, sf), _two(spark, sf))
 
 
 _ROUTED = "select doc_id, n_chars, quality, toxic from labels join documents using (doc_id)"

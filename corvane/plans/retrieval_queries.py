@@ -36,8 +36,16 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
+_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+
+
 def _index(spark, sf):
-    return LexicalIndex.build(_docs(spark, sf), "doc_id", keep=("lang",))
+    """Built once for a session's queries on the same files."""
+    docs = _docs(spark, sf)
+    key = (spark.sparkContext.applicationId, "\n".join(sorted(docs.inputFiles())))
+    if key not in _INDEXES:
+        _INDEXES[key] = LexicalIndex.build(docs, "doc_id", keep=("lang",))
+    return _INDEXES[key]
 
 
 def _items(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,13 +19,64 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "file:///tmp/checkpoints"
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, whichever that is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that must not be there yet."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None without one."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def newest(spark: SparkSession, folder: str) -> Iterator[tuple[int, str]]:
+    """(number, text) of a folder's numbered files, the highest number first."""
+    p, fs = _path(spark, folder)
+    if fs.exists(p):
+        names = sorted((f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName()[:12].isdigit()), reverse=True)
+        for name in names:
+            yield int(name[:12]), read_text(spark, f"{folder}/{name}") or ""
+
+
+def delete(spark: SparkSession, folder: str, chosen: Callable[[str], bool]) -> None:
+    """Remove those of a folder's entries whose names are chosen."""
+    p, fs = _path(spark, folder)
+    if fs.exists(p):
+        for f in list(fs.listStatus(p)):
+            if chosen(f.getPath().getName()):
+                fs.delete(f.getPath(), True)
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """A table in between goes with the driver's process."""
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
+
+
 def durable(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a table of the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/corvane-{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)  # it goes with the driver's process
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
