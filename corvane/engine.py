@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +22,30 @@ from corvane.sources.files import text_chunks
 from corvane.sources.introspect import introspection_chunks
 
 
+_LOG = logging.getLogger(__name__)
+#: (rows, id column, text column, dimensions) to (id, vec array<double>).
+Embedder = Callable[[DataFrame, str, str, int], DataFrame]
+#: Numbered chunks (n, library, w: text to index) to an index by n; an ImportError means that there is none here.
+IndexFactory = Callable[[DataFrame], LexicalIndex]
+
+
+def default_index(chunks: DataFrame) -> LexicalIndex:
+    return LexicalIndex.build(chunks, "n", "w", keep=("library",))
+
+
 class Engine:
     """A store of chunks with its vectors and postings, which are built when they are first asked for and dropped when chunks change."""
 
-    def __init__(self, spark: SparkSession, name: str = "chunks", options: Options | None = None):
-        self.spark, self.options = spark, options or Options()
-        self.store = store.ChunkStore(spark, name)
+    def __init__(self, spark: SparkSession, name: str = "chunks", options: Options | None = None, root: str | None = None, embedder: Embedder = embed_dense, index_factory: IndexFactory = default_index):
+        self.spark, self.options, self.embedder, self.index_factory = spark, options or Options(), embedder, index_factory
+        self.store = store.ChunkStore(spark, name, root=root)
         self.refresh()
 
     def refresh(self) -> None:
         self._index: LexicalIndex | None = None
+        self._chunks: DataFrame | None = None
         self._vectors: DataFrame | None = None
+        self._no_index = False
 
     def ingest(self, libraries: list[str] = (), docs: dict[str, str] | None = None, reset: bool = False) -> dict:
         """Chunks of installed libraries and of folders of text files (by library name); counts by library and distinct ids."""
@@ -44,27 +62,31 @@ class Engine:
         self.refresh()
         return {"written": written, "counts": {r["library"]: r["n"] for r in store.counts(batch).collect()}}
 
-    def _built(self) -> tuple[LexicalIndex, DataFrame]:
-        if self._index is None:
-            chunks = self.store.read()
-            self._index = LexicalIndex.build(chunks, "id", index_text("text", "qualname", "import_path"), keep=("library",))
-            embedded = chunks.select("id", "library", store.embed_source().alias("e"))
-            self._vectors = durable(embed_dense(embedded, "id", "e", self.options.embed_dim).join(chunks.select("id", "library"), "id"), "vectors")
-        return self._index, self._vectors
+    def _built(self) -> tuple[LexicalIndex | None, DataFrame, DataFrame]:
+        """The index, vectors and chunks, by numbers given once: ids may be any texts."""
+        if self._chunks is None:
+            self._chunks = durable(self.store.read().withColumn("n", F.monotonically_increasing_id()), "numbered")
+            embedded = self._chunks.select("n", store.embed_source().alias("e"))
+            self._vectors = durable(self.embedder(embedded, "n", "e", self.options.embed_dim).join(self._chunks.select(F.col("n").alias("id"), "library"), "id"), "vectors")
+        if self._index is None and self.options.hybrid and not self._no_index:
+            try:
+                self._index = self.index_factory(self._chunks.select("n", "library", index_text("text", "qualname", "import_path").alias("w")))
+            except ImportError as e:
+                _LOG.warning("no lexical index, searches are dense: %s", e)
+                self._no_index = True
+        return self._index, self._vectors, self._chunks
 
     def search(self, queries: DataFrame, k: int | None = None, library: str | None = None) -> DataFrame:
-        """(qset, id, score, rank, route, text, ...) for queries (qset, qid, text); the score is the fused one on either route."""
+        """(id, qset, score, best, rank, route, text, ...) for queries (qset, qid, text); the score is the fused one on either route. An empty
+        store has no rows."""
         o, k = self.options, k or self.options.top_k
-        index, vectors = self._built()
-        number = vectors.select("id").distinct().select("id", F.xxhash64("id").alias("n"))
-        vec = embed_dense(queries.select("qid", "text"), "qid", "text", o.embed_dim).withColumnsRenamed({"id": "qid"})
+        index, vectors, chunks = self._built()
+        vec = self.embedder(queries.select("qid", "text"), "qid", "text", o.embed_dim).withColumnsRenamed({"id": "qid"})
         asked = queries.join(vec, "qid")
         only = store.where(library=library) if library else None
-        numbered = vectors.withColumn("id", F.xxhash64("id"))
-        lexical = LexicalIndex(index.postings.withColumn("id", F.xxhash64("id")), index.terms, index.n, index.avgdl)
-        found = fusion.hybrid(numbered, lexical, asked, k, o.min_score, o.rrf_k, o.dense_weight, o.bm25_weight, o.adaptive and o.hybrid, only, only)
-        chunks = self.store.read().select("id", "text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("library", "qualname", "import_path")])
-        return found.withColumnRenamed("id", "n").join(number, "n").drop("n").join(chunks, "id")
+        found = fusion.hybrid(vectors, index, asked, k, o.min_score, o.rrf_k, o.dense_weight, o.bm25_weight, o.adaptive, only, only)
+        shown = chunks.select("n", "id", "text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("library", "qualname", "import_path")])
+        return found.withColumnRenamed("id", "n").join(shown, "n").drop("n")
 
     def run(self, tasks: DataFrame, effects: loop.Effects, auto_approve: bool = True) -> DataFrame:
         """The states of tasks (task_id, task, provided_tests) when all have ended or wait for a review."""
@@ -76,23 +98,35 @@ class Engine:
     def _limits(self) -> loop.Limits:
         return loop.Limits(self.options.max_retries, self.options.max_human_rounds, self.options.llm_budget)
 
-    def evaluate(self, tasks: DataFrame, modes: dict[str, loop.Effects], done: DataFrame, limit: int | None = None, force: bool = False) -> DataFrame:
-        """Records of the cells still to run: one loop per mode over all its tasks at once."""
+    def evaluate(self, tasks: DataFrame, modes: dict[str, loop.Effects], done: DataFrame, limit: int | None = None, force: bool = False, model: str | None = None) -> DataFrame:
+        """Records (``evaluation.RECORD``) of the cells still to run: one loop per mode over all its tasks at once."""
         names = self.spark.createDataFrame([(m, i) for i, m in enumerate(modes)], "mode string, mode_no int")
         cells = durable(E.pending(tasks, names, done, limit, force), "cells")
+        started = datetime.now(UTC).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
+        schema = self.spark.createDataFrame([], E.RECORD).schema
         out = None
         for mode, effects in modes.items():
             mine = tasks.join(cells.where(F.col("mode") == mode).select("task_id"), "task_id", "left_semi")
             s = loop.run(loop.start(self.spark, mine, effects, True), effects, self._limits())
-            one = s.select(
-                F.lit(E.SCHEMA_VERSION).alias("schema_version"), "task_id", F.lit(mode).alias("mode"), "status", F.coalesce("run.passed", F.lit(False)).alias("passed"), F.col("attempt").alias("attempts"), "retries_used", "human_rounds",
-                (F.coalesce("run.passed", F.lit(False)) & (F.col("attempt") == 1)).alias("first_try"), "llm_calls", F.col("run.category").alias("final_category"), "failure_reason", F.size(F.coalesce("doc_ids", F.array())).alias("n_docs"),
-                F.greatest(F.size(F.filter("nodes", lambda n: n == "retrieve")) - 1, F.lit(0)).alias("re_retrievals"), F.col("code").alias("final_code"),
-            )
+            passed, iso = F.coalesce("run.passed", F.lit(False)), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+            made = {
+                "schema_version": F.lit(E.SCHEMA_VERSION), "mode": F.lit(mode), "passed": passed, "attempts": F.col("attempt"), "first_try": passed & (F.col("attempt") == 1), "model": F.lit(model),
+                "wall_s": F.round((F.unix_micros("finished_ts") - F.unix_micros("started_ts")) / 1e6, 3), "final_category": F.col("run.category"), "n_docs": F.size(F.coalesce("doc_ids", F.array().cast("array<string>"))),
+                "re_retrievals": F.greatest(F.size(F.filter("nodes", lambda n: n == "retrieve")) - 1, F.lit(0)), "final_code": F.col("code"), "run_id": F.concat(F.lit(f"{started}-{mode}-"), "task_id"),
+                "finished_ts": F.date_format(F.to_utc_timestamp("finished_ts", F.current_timezone()), iso),
+            }
+            one = s.select([made.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema])
             out = one if out is None else out.unionByName(one)
-        return out
+        return durable(out, "records") if out is not None else self.spark.createDataFrame([], schema)
 
-    def report(self, tasks: DataFrame, records: DataFrame, modes: tuple[str, str], model: str | None = None) -> str:
-        """Markdown from the aggregates (a row per mode, one pair, a row per task)."""
+    def _report(self, tasks: DataFrame, records: DataFrame, modes: tuple[str, str], model: str | None) -> Iterator[str]:
         full = records.where(E.is_complete())
-        return E.render_report(E.mode_summary(full).orderBy("mode").collect(), E.paired(full, *modes).first(), E.cells(tasks, records, modes).orderBy("task_id").collect(), modes, model)
+        return E.report_lines(E.mode_summary(full).orderBy("mode").collect(), E.paired(full, *modes).first(), E.cells(tasks, records, modes).orderBy("task_id").toLocalIterator(), modes, model)
+
+    def report(self, tasks: DataFrame, records: DataFrame, modes: tuple[str, str], model: str | None = None) -> str:
+        """Markdown from the aggregates (a row per mode, one pair) and a line per task: for as many tasks as a text may have lines."""
+        return "\n".join(self._report(tasks, records, modes, model)) + "\n"
+
+    def write_report(self, tasks: DataFrame, records: DataFrame, modes: tuple[str, str], path: str, model: str | None = None) -> None:
+        """The same into a file, a partition of tasks at a time."""
+        E.write_report(self._report(tasks, records, modes, model), path)

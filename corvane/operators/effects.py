@@ -15,6 +15,8 @@ import tempfile
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import UTC
+from email.utils import parsedate_to_datetime
 from pathlib import Path
 
 import pandas as pd
@@ -53,12 +55,24 @@ def backoff(n: int, base: float = 2.0, top: float = 60.0, jitter: float = 1.0, a
 
 
 def asked_wait(headers: dict, now: float) -> float | None:
-    """Seconds that a server asks to wait: from a retry header, in seconds or as epoch seconds or milliseconds."""
-    for name, value in headers.items():
-        if name.lower() in ("retry-after", "x-ratelimit-reset") and re.fullmatch(r"\s*\d+(\.\d+)?\s*", str(value)):
-            v = float(value)
-            return max(0.0, v / 1000 - now if v > 1e11 else v - now if v > 1e9 else v)
-    return None
+    """The longest wait in seconds that a server's headers ask for; None where none can be read.
+
+    retry-after: seconds, or a date; x-ratelimit-reset: when, in seconds or milliseconds since the epoch.
+    """
+    waits = []
+    for name, value in ((k.lower(), str(v).strip()) for k, v in headers.items()):
+        number = float(value) if re.fullmatch(r"\d+(\.\d+)?", value) else None
+        if name == "retry-after" and number is None:
+            try:
+                when = parsedate_to_datetime(value)
+            except (TypeError, ValueError):
+                continue
+            waits.append((when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp() - now)
+        elif name == "retry-after":
+            waits.append(number)
+        elif name == "x-ratelimit-reset" and number is not None:
+            waits.append((number / 1000 if number >= 1e10 else number) - now)
+    return max(0.0, *waits) if waits else None
 
 
 @dataclass

@@ -49,6 +49,25 @@ def summarize(events: DataFrame, key: str = "run_id", seq: str = "seq", node: st
     return out.join(_counted(events, key, outcome, "outcomes"), key, "left") if outcome else out
 
 
+def summaries(events: DataFrame, states: DataFrame, seq: str = "ts", secrets: tuple[str, ...] = ()) -> DataFrame:
+    """One row per run: what its events add up to, and how its task stands (states: ``loop.STATE``). Texts are redacted before they are cut."""
+    client = events.groupBy("run_id").agg(
+        F.max("task_id").alias("task_id"), F.coalesce(F.sum("llm_client.calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("llm_client.api_retries"), F.lit(0)).alias("api_retries"), F.round(F.coalesce(F.sum("llm_client.wait_s"), F.lit(0.0)), 3).alias("wait_s")
+    )
+    waiting = (F.col("node") == "human_review") & F.col("decision").isNull()
+    state = states.select(
+        "task_id", F.when(waiting, "awaiting_review").otherwise(F.col("status")).alias("status"), redact(F.col("failure_reason"), secrets, 300).alias("failure_reason"), "attempt", "retries_used", "human_rounds",
+        F.struct("input_tokens", "output_tokens", "total_tokens", "llm_calls").alias("token_usage"), F.coalesce("doc_ids", F.array().cast("array<string>")).alias("retrieved_doc_ids"), F.col("run.category").alias("final_category"),
+    )
+    totals = client.select("run_id", "task_id", F.struct("calls", "api_retries", "wait_s").alias("llm_client_totals"))
+    return summarize(events, "run_id", seq).join(totals, "run_id").join(state, "task_id", "left")
+
+
+def write_summaries(summary: DataFrame, path: str) -> None:
+    """A folder per run with its summary as JSON; a run written again replaces its own only."""
+    summary.withColumn("run", F.col("run_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
+
+
 def running(events: DataFrame, key: str, seq: str, *values: str, skip: Column | None = None) -> DataFrame:
     """events with the running sum of each value by key in order (``cum_<value>``) and its step (``delta_<value>``); rows to skip add nothing."""
     w = Window.partitionBy(key).orderBy(seq)

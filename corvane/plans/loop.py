@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,16 @@ NODES = ("retrieve", "generate", "run_tests", "analyze_error", "revise", "human_
 RUN = "struct<passed:boolean,category:string,exit_code:int,timed_out:boolean,duration_s:double,tests_total:int,tests_failed:int,failures:array<struct<test_name:string,error_type:string,message:string,traceback:string>>,stdout:string,stderr:string>"
 STATE = (
     "task_id string, task string, provided_tests string, auto_approve boolean, node string, step int, status string, attempt int, retries_used int, human_rounds int, code string, tests string, "
-    f"run {RUN}, needs_docs boolean, retrieval_queries array<string>, seen_queries array<string>, doc_ids array<string>, decision string, feedback string, failure_reason string, llm_calls int, nodes array<string>"
+    f"run {RUN}, needs_docs boolean, retrieval_queries array<string>, seen_queries array<string>, doc_ids array<string>, decision string, feedback string, failure_reason string, llm_calls int, nodes array<string>, "
+    "input_tokens bigint, output_tokens bigint, total_tokens bigint, api_retries bigint, wait_s double, started_ts timestamp, finished_ts timestamp"
 )
 
 
+#: What a run's calls add up to.
+COUNTERS = ("input_tokens", "output_tokens", "total_tokens", "api_retries", "wait_s")
+UNREADABLE = "the model's reply could not be read twice: "
+
+
 @dataclass(frozen=True)
 class Limits:
     """Bounds of a run: fixed defaults."""
@@ -71,28 +78,61 @@ Effect = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Effects:
-    """model: rows to rows with code, tests, status; sandbox: rows with run; retriever: rows with doc_ids. All keyed by task_id."""
+    """model: rows to rows with code, tests, status; sandbox: rows with run; retriever: rows with doc_ids. All keyed by task_id.
+
+    A model may also return ``parse_error`` (why a reply could not be read: it is asked once more, then the run fails) and ``usage``
+    struct<input_tokens, output_tokens, total_tokens, api_retries, wait_s> of its calls (without it, tokens are estimated from code and
+    tests). ``nodes`` replaces the work of other nodes by name.
+    """
 
     model: Effect
     sandbox: Effect
     retriever: Effect | None = None
+    nodes: dict[str, Effect] | None = None
 
 
 def start(spark: SparkSession, tasks: DataFrame, effects: Effects, auto_approve: bool) -> DataFrame:
     """Initial states of tasks (task_id, task, provided_tests)."""
     first = "retrieve" if effects.retriever else "generate"
     given = {"task_id", "task", "provided_tests"}
-    defaults = {"auto_approve": F.lit(auto_approve), "node": F.lit(first), "step": F.lit(0), "status": F.lit("running"), "attempt": F.lit(0), "retries_used": F.lit(0), "human_rounds": F.lit(0), "llm_calls": F.lit(0), "nodes": F.array().cast("array<string>"), "seen_queries": F.array().cast("array<string>")}
+    defaults = {"auto_approve": F.lit(auto_approve), "node": F.lit(first), "step": F.lit(0), "status": F.lit("running"), "attempt": F.lit(0), "retries_used": F.lit(0), "human_rounds": F.lit(0), "llm_calls": F.lit(0), **{c: F.lit(0) for c in COUNTERS}, "started_ts": F.current_timestamp(), "nodes": F.array().cast("array<string>"), "seen_queries": F.array().cast("array<string>")}
     schema = spark.createDataFrame([], STATE).schema
     return tasks.select([F.col(f.name) if f.name in given else defaults.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def _used(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with what their last call used added to their counters."""
+    guess = F.ceil((F.length(F.coalesce("code", F.lit(""))) + F.length(F.coalesce("tests", F.lit("")))) / 4).cast("bigint")
+    asked = F.ceil(F.length(F.coalesce("task", F.lit(""))) / 4).cast("bigint")
+    if "usage" in df.columns:
+        own = {f.name for f in df.schema["usage"].dataType}
+        step = {c: F.coalesce(F.col(f"usage.{c}"), F.lit(0)) if c in own else F.lit(0) for c in COUNTERS}
+    else:
+        step = dict.fromkeys(COUNTERS, F.lit(0)) | {"input_tokens": asked, "output_tokens": guess, "total_tokens": asked + guess}
+    return df.withColumns({c: F.col(c) + v for c, v in step.items()}).select(columns)
+
+
+def _ask(df: DataFrame, effects: Effects) -> DataFrame:
+    """Rows with the model's replies; one that cannot be read is asked for once more."""
+    columns, out = df.columns, effects.model(df)
+    if "parse_error" not in out.columns:
+        return _used(out, columns)
+    first = durable(_used(out, [*columns, "parse_error"]), "replies")  # written: no reply is asked for twice but those below
+    bad = first.where("parse_error is not null").drop("parse_error").withColumn("llm_calls", F.col("llm_calls") + 1)
+    second = _used(effects.model(bad), [*columns, "parse_error"])
+    failed = F.col("parse_error").isNotNull()
+    second = second.withColumns({"status": F.when(failed, "failed").otherwise(F.col("status")), "failure_reason": F.when(failed, F.concat(F.lit(UNREADABLE), "parse_error")).otherwise(F.col("failure_reason"))})
+    return first.where("parse_error is null").unionByName(second).select(columns)
+
+
 def _enter(df: DataFrame, node: str, effects: Effects, limits: Limits) -> DataFrame:
     """Rows after a node's work."""
+    if effects.nodes and node in effects.nodes:
+        return effects.nodes[node](df)
     if node in ("generate", "revise"):
         df = df.withColumn("retries_used", F.col("retries_used") + (1 if node == "revise" else 0)).withColumn("attempt", F.col("attempt") + 1).withColumn("llm_calls", F.col("llm_calls") + 1)
         over = F.col("llm_calls") > limits.llm_calls
-        out = effects.model(df)
+        out = _ask(df, effects)
         return out.withColumn("status", F.when(over, "failed").otherwise(F.col("status"))).withColumn("failure_reason", F.when(over, "LLM call budget exhausted").otherwise(F.col("failure_reason")))
     if node == "run_tests":
         return effects.sandbox(df)
@@ -106,27 +146,30 @@ def _enter(df: DataFrame, node: str, effects: Effects, limits: Limits) -> DataFr
         return df.withColumn("human_rounds", F.col("human_rounds") + F.when(F.col("decision") == "reject", 1).otherwise(0))
     status = "approved" if node == "finalize" else "failed"
     reason = F.coalesce(F.nullif(F.trim(F.col("failure_reason")), F.lit("")), F.when(F.col("run").isNull(), "no test result").otherwise(F.concat(F.lit("tests failed: "), F.coalesce(F.col("run.category"), F.lit("unknown")))))
-    return df.withColumn("status", F.lit(status)).withColumn("failure_reason", F.col("failure_reason") if node == "finalize" else reason)
+    return df.withColumns({"status": F.lit(status), "failure_reason": F.col("failure_reason") if node == "finalize" else reason, "finished_ts": F.current_timestamp()})
 
 
 def stream(states: DataFrame, effects: Effects, limits: Limits = Limits()) -> Iterator[DataFrame]:
-    """The states after each superstep: every row does its node's work and moves on. Rows that wait for a review stay."""
-    columns = states.columns
+    """The states after each superstep: every row does its node's work and moves on. Rows that have ended or wait for a review stay
+    where they are written: only the others are written again."""
+    columns, resting = states.columns, []
     for _ in range(limits.steps):
         waiting = (F.col("node") == "human_review") & F.col("decision").isNull()
         still = F.col("node").isin(*NODES) & ~waiting
-        counts = {r["node"]: r["count"] for r in states.where(still).groupBy("node").count().collect()}
-        if not counts:
+        counts = {(r["moves"], r["node"]): r["count"] for r in states.groupBy(still.alias("moves"), "node").count().collect()}
+        if not any(moves for moves, _ in counts):
             return
-        moved = states.where(~still)
-        for node in counts:
+        if not all(moves for moves, _ in counts):
+            resting.append(states.where(~still))
+        moved = None
+        for node in (node for moves, node in counts if moves):
             out = _enter(states.where(still & (F.col("node") == node)), node, effects, limits).withColumn("nodes", F.concat("nodes", F.array(F.lit(node)))).withColumn("step", F.col("step") + 1)
             after = out.withColumn("node", route(effects.retriever is not None, limits))
             if node == "human_review":
                 after = after.withColumn("decision", F.lit(None).cast("string"))
-            moved = moved.unionByName(after.select(columns))
+            moved = after.select(columns) if moved is None else moved.unionByName(after.select(columns))
         states = durable(moved, "superstep")
-        yield states
+        yield reduce(DataFrame.unionByName, [*resting, states])
 
 
 def run(states: DataFrame, effects: Effects, limits: Limits = Limits()) -> DataFrame:
@@ -148,6 +191,12 @@ def resume(states: DataFrame, decisions: DataFrame, effects: Effects, limits: Li
     return run(durable(joined, "resumed"), effects, limits)
 
 
+def pending_reviews(states: DataFrame) -> DataFrame:
+    """What a reviewer is shown of each run that waits: (task_id, attempt, human_rounds, code, tests, category, doc_ids)."""
+    waiting = states.where((F.col("node") == "human_review") & F.col("decision").isNull())
+    return waiting.select("task_id", "attempt", "human_rounds", "code", "tests", F.col("run.category").alias("category"), "doc_ids")
+
+
 def save(states: DataFrame, path: str) -> None:
     """States for another session: what waits for a review outlives this driver (tables in between do not)."""
     states.write.mode("overwrite").parquet(path)

@@ -167,7 +167,7 @@ def test_analysis_of_a_failed_run(spark):
     a, b, c, d = A.analyze(df).collect()
     assert (a["category"], a["fault"], a["suspect_symbols"], a["exception_type"], a["needs_docs"]) == ("api_misuse", "code", ["math.sqroot"], "AttributeError", True)
     assert a["retrieval_queries"][0] == "math sqroot" and "math.sqroot" in a["fix_plan"]
-    assert (b["category"], b["fix_plan"]) == ("pass", "No fix needed; code passed.") and c["category"] == "unknown"
+    assert (b["category"], b["fix_plan"]) == ("pass", "nothing to do") and c["category"] == "unknown"
     assert (d["category"], d["fault"]) == ("timeout", "code") and "time limit" in d["root_cause"]
     exc = one(spark, "Traceback\n  File x\nValueError: bad: worse", A.exception_of)
     assert (exc["type"], exc["message"]) == ("ValueError", "bad: worse")
