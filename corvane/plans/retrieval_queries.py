@@ -122,6 +122,31 @@ def retrieve_hybrid(spark, sf):
     return found.select("qset", "id", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"), F.col("rank").cast("bigint").alias("rank"), "route")
 
 
+_ADAPTIVE = (
+    r"with asked as (select item_id qid, case when item_id % 2 = 1 then regexp_extract(text, '[A-Za-z]+') || '.' || regexp_extract(text, '[A-Za-z]+[^A-Za-z]+([A-Za-z]+)', 1) else text end t from benchmark), "
+    r"gate as (select qid, t, coalesce(regexp_matches(trim(t), '[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Za-z_][A-Za-z0-9_]*_[A-Za-z0-9_]+') or regexp_matches(trim(t), '^[A-Z][A-Za-z0-9]*$'), false) sym from asked), "
+    + _BM25.format(where="").replace("select item_id qid, unnest(regexp_extract_all(lower(text),", "select qid, unnest(regexp_extract_all(lower(t),").replace("from benchmark)", "from gate where sym)")
+    + ", "
+    + _DENSE.format(asked="vec_id in (select item_id from benchmark)")
+    + """, dk as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) rank from dr where rank <= 5 and score >= 0.2),
+parts as (select qid qset, id, 1.0::double / (60 + rank) part, score cos from dk union all select qid, id, 1.0::double / (60 + rank), null from bm where rank <= 5),
+fu as (select qset, id, sum(part) score, coalesce(max(cos), 0) best from parts group by all),
+fr as (select *, row_number() over (partition by qset order by round(score, 9) desc, round(best, 9) desc, id) rank from fu)
+select qset, id, round(score, 6) score, round(best, 6) best, rank, case when sym then 'hybrid' else 'dense' end route from fr join gate on qid = qset where rank <= 5"""
+)
+
+
+@register("retrieve_adaptive", _ADAPTIVE)
+def retrieve_adaptive(spark, sf):
+    """Every benchmark item, every other one as a dotted name: those ask the words too, the others the vectors alone."""
+    vec = _vectors(spark, sf)
+    dotted = F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("."), F.regexp_extract("text", "[A-Za-z]+[^A-Za-z]+([A-Za-z]+)", 1))
+    asked = _items(spark, sf).withColumn("text", F.when(F.col("qid") % 2 == 1, dotted).otherwise(F.col("text")))
+    queries = asked.join(vec.select(F.col("id").alias("qid"), "vec"), "qid", "left").withColumn("qset", F.col("qid"))
+    found = fusion.hybrid(vec, _index(spark, sf), queries, k=5)
+    return found.select("qset", "id", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"), F.col("rank").cast("bigint").alias("rank"), "route")
+
+
 @register("symbol_gate", r"select page_id, coalesce(regexp_matches(trim(url), '[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Za-z_][A-Za-z0-9_]*_[A-Za-z0-9_]+') or regexp_matches(trim(url), '^[A-Z][A-Za-z0-9]*$'), false) as symbol from pages")
 def symbol_gate(spark, sf):
     """Which addresses would ask the lexical index."""
