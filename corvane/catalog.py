@@ -29,7 +29,7 @@ def register(name: str, oracle: str | None = None):
 
 def _load() -> None:
     """The modules that register queries."""
-    from corvane.plans import evaluation_queries, log_queries, relational_queries, retrieval_queries, text_queries  # noqa: F401
+    from corvane.plans import evaluation_queries, log_queries, relational_queries, retrieval_queries, run_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, fields
 
 
+def read_env(path: str | None) -> dict[str, str]:
+    """NAME=value lines of a file, with export in front or quotes around the value or not; other lines are left out, and so is a file that is not there."""
+    if path is None or not os.path.exists(path):
+        return {}
+    found = {}
+    with open(path, encoding="utf-8") as f:
+        for m in (re.fullmatch(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^#\s]*))\s*(?:#.*)?", line.rstrip("\n")) for line in f):
+            if m:
+                found[m[1]] = next(x for x in (m[2], m[3], m[4]) if x is not None)
+    return found
+
+
 @dataclass(frozen=True)
 class Options:
     """Fixed defaults; bounds are checked when an object is made."""
@@ -33,9 +46,9 @@ class Options:
                 raise ValueError(f"{name} must be at least {least}")
 
     @staticmethod
-    def load(environ: dict | None = None, prefix: str = "CORVANE_", **given) -> Options:
-        """Options from the environment, a blank value counting as none; arguments win."""
-        env, out = os.environ if environ is None else environ, {}
+    def load(environ: dict | None = None, prefix: str = "CORVANE_", env_file: str | None = None, **given) -> Options:
+        """Options from the environment, before it from a file of NAME=value lines, a blank value counting as none; arguments win."""
+        env, out = read_env(env_file) | dict(os.environ if environ is None else environ), {}
         for f in fields(Options):
             raw = (env.get(prefix + f.name.upper()) or "").strip()
             if raw:

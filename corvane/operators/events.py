@@ -124,6 +124,13 @@ def format_event(node: Column, attempt: Column, detail: Column) -> Column:
     return F.substring(F.regexp_replace(line, r"[^\x20-\x7E]", "?"), 1, 160)
 
 
+def format_eval_line(task: Column, mode: Column, status: Column, passed: Column, attempts: Column, calls: Column) -> Column:
+    """One line of at most 160 ASCII characters for a cell of an evaluation."""
+    word = F.when(status == "error", "ERROR").when(F.coalesce(passed, F.lit(False)), "PASS").otherwise("FAIL")
+    line = F.concat_ws(" ", task.cast("string"), mode, word, F.concat(F.lit("attempts="), attempts.cast("string")), F.concat(F.lit("calls="), calls.cast("string")))
+    return F.substring(F.regexp_replace(line, r"[^\x20-\x7E]", "?"), 1, 160)
+
+
 def stop_reason(errors: Column) -> Column:
     """quota or auth by the first of a run's errors, in order, that ends a whole evaluation; else null."""
     kind = lambda e: F.when(e == "daily_quota", "quota").when(e.isin("auth", "model"), "auth")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,13 @@ def sum_by(df: DataFrame, by: str | Column, value: str | Column, digits: int = 2
     return df.groupBy(by.alias("category")).agg(F.round(F.sum(value.cast("decimal(28,6)")), digits).cast("double").alias("total"))
 
 
+def sum_csv(spark: SparkSession, path: str, by: str, value: str, digits: int = 2) -> DataFrame:
+    """(category, total) of CSV files with a header: fields may be quoted, with commas, quotes and line ends inside; blank lines and values that
+    are no numbers do not count."""
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", True).csv(path)
+    return sum_by(raw.where(F.col(by).isNotNull()), F.trim(by), F.expr(f"try_cast(trim(`{value}`) as decimal(28,6))"), digits)
+
+
 def monthly(df: DataFrame, ts: str, value: str) -> DataFrame:
     """(month, total) as yyyy-MM."""
     return df.groupBy(F.date_format(ts, "yyyy-MM").alias("month")).agg(F.round(F.sum(F.col(value).cast("decimal(28,6)")), 2).cast("double").alias("total"))

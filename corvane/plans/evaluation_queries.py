@@ -141,29 +141,3 @@ def route_after_review(spark, sf):
     """Where runs go after a decision."""
     decision = F.get(F.array(*map(F.lit, ("approve", "edit", "reject", "reject_final", "odd"))), (F.col("doc_id") % 5).cast("int"))
     return table(spark, sf, "documents").select("doc_id", decision.alias("decision"), (F.col("n_chars") % 4).alias("human_rounds")).select("doc_id", loop.after_review().alias("next_node"))
-
-
-@register("workflow_run")
-def workflow_run(spark, sf):
-    """The whole loop over the benchmark items as tasks, with a scripted model and sandbox: the third attempt passes."""
-    tasks = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("task"), F.lit("").alias("provided_tests"))
-
-    def model(df):
-        return df.withColumns({"code": F.concat(F.lit("attempt "), F.col("attempt").cast("string")), "tests": F.lit("assert True")})
-
-    def sandbox(df):
-        good = F.col("attempt") >= 1 + F.pmod(F.col("task_id").cast("int"), F.lit(3))
-        run = F.struct(
-            good.alias("passed"), F.when(good, "pass").otherwise("runtime_error").alias("category"), F.when(good, 0).otherwise(1).alias("exit_code"), F.lit(False).alias("timed_out"), F.lit(0.1).cast("double").alias("duration_s"),
-            F.lit(1).alias("tests_total"), F.when(good, 0).otherwise(1).alias("tests_failed"),
-            F.when(~good, F.array(F.struct(F.lit("t").alias("test_name"), F.lit("failure").alias("error_type"), F.lit("module 'math' has no attribute 'sqroot'").alias("message"), F.lit("solution.py:5: AttributeError").alias("traceback")))).alias("failures"),
-            F.lit("").alias("stdout"), F.lit("").alias("stderr"),
-        )
-        return df.withColumn("run", run.cast(df.schema["run"].dataType))
-
-    def retriever(df):
-        return df.withColumn("doc_ids", F.array(F.lit("math.sqrt")))
-
-    effects = loop.Effects(model, sandbox, retriever)
-    done = loop.run(loop.start(spark, tasks, effects, True), effects)
-    return done.select("task_id", "status", "attempt", "retries_used", "step", F.array_join("nodes", ">").alias("path"))

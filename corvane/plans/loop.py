@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import strip
 from corvane.operators.analysis import analyze
-from corvane.sources.durable import durable
+from corvane.sources.durable import durable, entries, exists
 
 NODES = ("retrieve", "generate", "run_tests", "analyze_error", "revise", "human_review", "finalize", "fail")
 RUN = "struct<passed:boolean,category:string,exit_code:int,timed_out:boolean,duration_s:double,tests_total:int,tests_failed:int,failures:array<struct<test_name:string,error_type:string,message:string,traceback:string>>,stdout:string,stderr:string>"
@@ -172,10 +172,11 @@ def stream(states: DataFrame, effects: Effects, limits: Limits = Limits()) -> It
         yield reduce(DataFrame.unionByName, [*resting, states])
 
 
-def run(states: DataFrame, effects: Effects, limits: Limits = Limits()) -> DataFrame:
-    """The states when every row has ended or waits for a review."""
+def run(states: DataFrame, effects: Effects, limits: Limits = Limits(), folder: str | None = None) -> DataFrame:
+    """The states when every row has ended or waits for a review; with a folder, each superstep is a checkpoint there."""
     for states in stream(states, effects, limits):  # noqa: B020 - the last is the result
-        pass
+        if folder:
+            checkpoint(states, folder)
     return states.withColumn("status", F.when(F.col("node") == "human_review", "awaiting_review").otherwise(F.col("status")))
 
 
@@ -208,6 +209,21 @@ def load(spark: SparkSession, path: str, task_id: str | None = None) -> DataFram
     return found if task_id is None else found.where(F.col("task_id") == task_id)
 
 
+def checkpoint(states: DataFrame, folder: str) -> str:
+    """States as the next of a folder's numbered checkpoints; earlier ones stay, so what is being read is never replaced."""
+    spark = states.sparkSession
+    number = max((n for n, _ in entries(spark, folder)), default=0) + 1
+    path = f"{folder}/{number:012d}"
+    states.write.parquet(path)
+    return path
+
+
+def restore(spark: SparkSession, folder: str, task_id: str | None = None) -> DataFrame:
+    """The newest checkpoint that was written whole, of one task where it is named; no rows without any."""
+    whole = next((f"{folder}/{name}" for _, name in sorted(entries(spark, folder), reverse=True) if exists(spark, f"{folder}/{name}/_SUCCESS")), None)
+    return load(spark, whole, task_id) if whole else spark.createDataFrame([], STATE)
+
+
 def classify_exit(status: Column, failure_reason: Column) -> Column:
     """5 waiting, 0 approved, 3 out of quota, else 1."""
     return F.when(status == "awaiting_review", 5).when(status == "approved", 0).when(F.lower(F.coalesce(failure_reason, F.lit(""))).contains("quota"), 3).otherwise(1)

@@ -47,13 +47,22 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def entries(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, name) of a folder's entries whose names begin with twelve digits."""
+    p, fs = _path(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return [(int(n[:12]), n) for n in names if n[:12].isdigit() and len(n) >= 12]
+
+
 def newest(spark: SparkSession, folder: str) -> Iterator[tuple[int, str]]:
     """(number, text) of a folder's numbered files, the highest number first."""
-    p, fs = _path(spark, folder)
-    if fs.exists(p):
-        names = sorted((f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName()[:12].isdigit()), reverse=True)
-        for name in names:
-            yield int(name[:12]), read_text(spark, f"{folder}/{name}") or ""
+    for number, name in sorted(entries(spark, folder), reverse=True):
+        yield number, read_text(spark, f"{folder}/{name}") or ""
 
 
 def delete(spark: SparkSession, folder: str, chosen: Callable[[str], bool]) -> None:

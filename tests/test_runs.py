@@ -170,3 +170,34 @@ def test_own_embedders_indexes_and_empty_stores(spark, tmp_path):
     assert len(found) == 3 and {r["route"] for r in found} == {"dense"}
     again = Engine(spark, "own", Options(min_score=0.0, hybrid=False), root=f"file://{tmp_path}")
     assert again.store.count() == e.store.count() and {r["route"] for r in again.search(q, 3).collect()} == {"dense"} and again._index is None
+
+
+def test_checkpoints_are_restored(spark, tmp_path):
+    tasks, folder = spark.createDataFrame([("a", "do", ""), ("b", "do", "")], TASKS), f"file://{tmp_path}/states"
+    assert loop.restore(spark, folder).count() == 0
+    loop.run(loop.start(spark, tasks, scripted(1), False), scripted(1), folder=folder)
+    (tmp_path / "states" / "000000000099").mkdir()  # a checkpoint whose writer failed
+    waiting = loop.restore(spark, folder)
+    assert {r["node"] for r in waiting.collect()} == {"human_review"} and loop.restore(spark, folder, "a").count() == 1
+    say = spark.createDataFrame([("a", "approve", None, None, None), ("b", "reject_final", None, None, None)], "task_id string, decision string, feedback string, code string, tests string")
+    ended = loop.resume(waiting, say, scripted(1))
+    loop.checkpoint(ended, folder)
+    assert {r["task_id"]: r["status"] for r in loop.restore(spark, folder).collect()} == {"a": "approved", "b": "failed"}
+
+
+def test_options_from_a_file(tmp_path):
+    (tmp_path / ".env").write_text("# a comment\nexport CORVANE_TOP_K=7\nCORVANE_API_KEY='k # 1' # why\nCORVANE_MIN_SCORE=\nno line\nCORVANE_RRF_K=9 # more\n")
+    o = Options.load({"CORVANE_RRF_K": "11"}, env_file=str(tmp_path / ".env"))
+    assert (o.top_k, o.api_key, o.min_score, o.rrf_k) == (7, "k # 1", 0.2, 11)
+    assert Options.load({}, env_file=str(tmp_path / "none")).top_k == 5
+
+
+def test_sums_of_a_csv(spark, tmp_path):
+    from corvane.operators.relational import sum_csv
+
+    (tmp_path / "a.csv").write_text('category,amount,note\n"food, drink",1.25,"a\nb"\n\n"food, drink",2,"say ""x"""\nrent, 10.5,\nrent,none,\n\n')
+    assert {r["category"]: r["total"] for r in sum_csv(spark, str(tmp_path / "a.csv"), "category", "amount").collect()} == {"food, drink": 3.25, "rent": 10.5}
+
+
+def test_probe_metrics():
+    assert E.probe_metrics([1, None, 4]) == {"hit@1": 0.3333, "hit@5": 0.6667, "hit@10": 0.6667, "mrr": 0.4167, "mean_rank": 2.5} and E.probe_metrics([None])["mean_rank"] == 0.0 == E.probe_metrics([])["mrr"]
