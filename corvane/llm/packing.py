@@ -9,7 +9,7 @@ are packed anew, which makes up for partitions of few documents.
 
 Defined cases: a null or empty text is the single end token; equal rows are packed each; an empty table gives no rows; a
 document of exactly one sequence's length fills a sequence alone; ids may be null or repeated, as rows are told apart by
-their place in a bin.
+their place in a bin; very long texts are tokenised whole and cut into as many pieces as they need; other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,12 +43,12 @@ _PLAIN[[*range(9, 14), *range(32, 127), 0xC3, *range(0x80, 0xC0)]] = True
 
 
 class _Known:
-    """Ids of words by the words' 64-bit hashes: sorted arrays and one pool of ids."""
+    """Ids of words by the words' 64-bit hashes: sorted arrays, one pool of ids, and one of the words' bytes, so that a hash is never taken for a word."""
 
     def __init__(self):
-        self.key, self.at, self.n = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(1 << 16, "<u4")
-        self.used = 0
+        self.key, self.at, self.n, self.byte_at, self.byte_n = np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(4))
+        self.pool, self.bytes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 18, np.uint8)
+        self.used = self.bytes_used = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the hashes, or -1."""
@@ -57,14 +57,28 @@ class _Known:
         i = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
         return np.where(self.key[i] == h, i, -1)
 
-    def add(self, h: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, h: np.ndarray, n: np.ndarray, ids: np.ndarray, words: list[bytes]) -> None:
+        raw, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
-        self.pool[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(n) - n
-        self.used += len(ids)
+        if self.bytes_used + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), len(raw)), np.uint8)])
+        self.pool[self.used : self.used + len(ids)], self.bytes[self.bytes_used : self.bytes_used + len(raw)] = ids, raw
+        at, byte_at = self.used + np.cumsum(n) - n, self.bytes_used + np.cumsum(size) - size
+        self.used, self.bytes_used = self.used + len(ids), self.bytes_used + len(raw)
         where = np.searchsorted(self.key, h)
-        self.key, self.at, self.n = np.insert(self.key, where, h), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.key, self.at, self.n, self.byte_at, self.byte_n = (np.insert(a, where, x) for a, x in ((self.key, h), (self.at, at), (self.n, n), (self.byte_at, byte_at), (self.byte_n, size)))
+
+    def others(self, k: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which stretches of bytes are not the words at the places k, for all that their hashes say."""
+        size = end - start
+        other = self.byte_n[k] != size
+        total = np.cumsum(size)
+        begin = total - size
+        at = np.arange(total[-1] if len(total) else 0)
+        unlike = np.flatnonzero(data[at + np.repeat(start - begin, size)] != self.bytes[np.minimum(at + np.repeat(self.byte_at[k] - begin, size), len(self.bytes) - 1)])
+        other[np.searchsorted(total, unlike, "right")] = True
+        return other
 
 
 class WordTokenizer:
@@ -131,11 +145,12 @@ class WordTokenizer:
         start, end = edge[:-1][word], edge[1:][word]
         return start, end, np.searchsorted(start, off), data
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids, and where each text's begin (one more than texts)."""
+    def batch(self, texts: pa.Array, slow: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, and where each text's begin (one more than texts); slow: texts that are encoded one by one, where that is known."""
         n = len(texts)
-        slow = np.ones(n, bool)
-        if self.fast:
+        if slow is None and not self.fast:
+            slow = np.ones(n, bool)
+        elif slow is None:
             data, off = buffers(texts)
             odd = ~_PLAIN[data]
             odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
@@ -154,8 +169,13 @@ class WordTokenizer:
             miss = np.flatnonzero(at < 0)
             if len(miss):
                 raw = data.tobytes()
-                self.known.add(uniq[miss], *self._encode([raw[start[i] : end[i]].decode() for i in one[miss]]))
+                words = [raw[start[i] : end[i]] for i in one[miss]]
+                self.known.add(uniq[miss], *self._encode([w.decode() for w in words]), words)
                 at = self.known.find(uniq)
+            other = np.flatnonzero(self.known.others(at[back], data, start, end))
+            if len(other):  # two words of one hash: their texts go word by word
+                slow[plain[np.searchsorted(ptr, other, "right") - 1]] = True
+                return self.batch(texts, slow)
             lens = self.known.n[at][back]
             total = np.concatenate([[0], np.cumsum(lens)])
             ids = self.known.pool[np.repeat(self.known.at[at][back] - total[:-1], lens) + np.arange(total[-1])]
