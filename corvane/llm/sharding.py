@@ -7,7 +7,7 @@ At most 65,536 + 1024 x shards items reach the driver, at any size of the input.
 one; in general the fullest and emptiest shards differ by at most one item, unless a single group exceeds a shard's share.
 
 Defined cases: a null text counts as an empty one (size 1) and shares its group; equal rows stay together; an empty table
-gives no rows; null ids are ordinary ids; no other columns are read.
+gives no rows; null ids are ordinary ids; very long texts are one item of their size; no other columns are read.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def assign(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         docs.select(
             F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
             F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("key"),
-        ).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SLICES)).cast("int")),
+        ).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("id", "text_crc32", F.lit(7)), F.lit(SLICES)).cast("int")),
         "shard-rows",
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
