@@ -40,6 +40,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstash(df: DataFrame) -> None:
+    """Delete a table that stash wrote, where nothing reads it any more (before the driver ends)."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _gone_at_exit(spark: SparkSession, path: str) -> None:
     """A table in between goes with the driver's process."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -237,7 +245,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, comp): the least node of each component; edges: (a, b), a != b, in either direction or both.
 
     Least labels spread along edges, then each label jumps to its own label, until nothing changes. Each round is
-    written to the shared folder. Works with joins and partial aggregates only; sides of few rows are broadcast.
+    written to the shared folder, and the one before it deleted. Works with joins and partial aggregates only; sides of few rows are broadcast.
     """
     both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     rows = both.count()
@@ -248,6 +256,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         jump = step.join(beside(labels.select(F.col("node").alias("c"), F.col("comp").alias("cc")), rows), "c").select("node", "old", F.least("c", "cc").alias("comp"))
         done = stash(sized(jump, rows), f"{name}-cc")
         changed = done.where("comp < old").limit(1).count()
+        unstash(labels)
         labels = done.select("node", "comp")
         if not changed:
+            unstash(both)
             return labels

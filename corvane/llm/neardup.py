@@ -232,8 +232,11 @@ def _residual(members: DataFrame, n_members: int, labels: DataFrame, texts: Data
     component), never pairs, and whatever shares a bucket ends in one component or has been compared.
     """
     at = members.where("n > 2").select("band", "nid").join(labels.select(F.col("node").alias("nid"), "comp"), "nid", "left").select("band", "nid", F.coalesce("comp", "nid").alias("comp"))
-    by = at.groupBy("band", "comp").agg(F.count("*").alias("m"))
-    mixed = stash(sized(by.groupBy("band").agg(F.count("*").alias("comps"), F.max_by("comp", "m").alias("main")).where("comps > 1").select("band", "main"), n_members), "dart-mixed-bands")
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "nid")).alias(f"x{salt}") for salt in (1, 2)]
+    by = at.groupBy("band", "comp").agg(F.count("*").alias("m"), *marks)
+    mixed = by.groupBy("band").agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.max_by("comp", "m").alias("main"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")).where("comps > 1")
+    # Near copies meet in many bands: of buckets with the same nodes (as many, and alike in two 64-bit sums) one is searched.
+    mixed = stash(sized(mixed.groupBy("m", "x1", "x2").agg(F.min("band").alias("band"), F.min_by("main", "band").alias("main")).select("band", "main"), n_members), "dart-mixed-bands")
     if not mixed.take(1):
         return members.sparkSession.createDataFrame([], "a bigint, b bigint")
     rows = stash(sized(at.join(mixed, "band").select("band", "nid", "comp", (F.col("comp") != F.col("main")).alias("out")), n_members), "dart-mixed")

@@ -256,3 +256,46 @@ def test_best_fit_places_every_item_once():
             end += s
         assert end <= 100
     assert len(load) <= 1.05 * sum(sizes) / 100 + 1
+
+
+def test_equal_hashes_are_not_equal_words(monkeypatch):
+    """Few different hashes: words are told apart by their bytes, within a batch and between batches."""
+    whole = packing.span_hashes
+    monkeypatch.setattr(packing, "span_hashes", lambda data, start, end: whole(data, start, end) & np.uint64(63))
+    rng, t = random.Random(8), packing.WordTokenizer(packing.vocabulary())
+    for _ in range(3):
+        texts = [" ".join(rng.choice(("alpha", "beta", "gamma")) for _ in range(20)) if k % 2 else " ".join(words(rng, 15, 300)) for k in range(60)]
+        ids, where = t.batch(pa.array(texts))
+        for i, x in enumerate(texts):
+            assert ids[where[i] : where[i + 1]].tolist() == t.t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_schedule_equals_a_plain_one(spark):
+    """Groups of equal texts, sorted by size, each to the least load found by a search: as even as the operator's shards."""
+    rng = random.Random(12)
+    texts = [f"{i} " + "x" * rng.randrange(1, 900) for i in range(400)]
+    rows = [(i, rng.choice(texts[: 1 + i % 400])) for i in range(1500)] + [(5000 + i, "y" * 2000) for i in range(30)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 5).toPandas()
+    size = Counter()
+    for _, t in rows:
+        size[t] += len(t.encode()) + 1
+    loads = [0] * 5
+    for s in sorted(size.values(), reverse=True):
+        loads[min(range(5), key=lambda k: loads[k])] += s
+    assert sorted(got.groupby("shard")["size"].sum().tolist()) == sorted(loads)
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_buckets_with_the_same_nodes_are_searched_once(spark):
+    """Unlike texts that a band joins, in many bands at once: what is alike among them is still linked."""
+    rng = random.Random(13)
+    base = words(rng, 120)
+    texts = []
+    for k in range(10):
+        c = list(base)
+        for i in range(k * 11, k * 11 + 11):
+            c[i] = f"u{k}_{i}"
+        texts += [" ".join(c), " ".join([*c[:-1], f"end{k}"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["class_id"] for r in sorted(neardup.classes(df, bands=60, rows=2).collect())] == brute_classes(texts)
