@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import buffers, chunked, map_arrow, slices, stash, table
+from corvane.llm.common import buffers, chunked, give_back, map_arrow, slices, stash, table
 from corvane.llm.toxicity import bucket, within
 
 SAMPLE, ROWS, LEAST = 600, 38_400, 30
@@ -226,7 +226,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     x = Sparse(off, k.values.to_numpy(), np.sqrt(count / np.repeat(np.maximum(total, 1), np.diff(off))).astype(np.float32))
     names = lang.to_pylist()
     order = sorted(range(len(names)), key=lambda i: (names[i], int(total[i]), x.cols[off[i] : off[i + 1]].tobytes()[:512], count[off[i] : off[i + 1]].tobytes()[:512]))
-    return fit(x.take(np.array(order, np.int64)), [names[i] for i in order])
+    made = fit(x.take(np.array(order, np.int64)), [names[i] for i in order])
+    del x, k, c, got
+    give_back()  # the driver keeps the machines only
+    return made
 
 
 def predict(docs: DataFrame, machines: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U64, chunked, map_arrow, slices, span_hashes, stash, table, word_hashes
+from corvane.llm.common import U64, chunked, give_back, map_arrow, slices, span_hashes, stash, table, word_hashes
 
 POSITIVE, NEGATIVE, TERMS, FACTORS, THRESHOLD = 2500, 4000, 8192, 4, 0.7
 #: Most terms of sampled rows, counted by row, that are sent to the driver: half for each class, 8 bytes a term.
@@ -227,14 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = stash(map_arrow(src, run, "y int, spot bigint, k array<int>, c array<int>, n bigint"), "toxicity-sample")
     last = within(counted.groupBy("y", "spot").agg(F.sum(F.size("k")).alias("entries")).collect(), "y", ENTRIES // 2)
     chosen = counted.where(" or ".join(f"(y = {y} and spot <= {spot})" for y, spot in last.items()) or "false")
-    got = chosen.select("y", "k", "c", "n").toArrow()
-    cols = [chunked(got.column(i)) for i in range(4)]
+    cols = [chunked(c) for c in chosen.select("y", "k", "c", "n").toArrow().columns]
     off = np.asarray(cols[1].offsets)
     k, c = cols[1].values.to_numpy().view(np.uint32), cols[2].values.to_numpy()
     rows = [(k[a:b], c[a:b], n, y) for a, b, n, y in zip(off, off[1:], cols[3].to_pylist(), cols[0].to_pylist(), strict=False)]
     # In an order that no partitioning changes.
     rows.sort(key=lambda r: (r[3], r[2], len(r[0]), zlib.crc32(r[0].tobytes())))
-    return fit(rows, prior)
+    made = fit(rows, prior)
+    del rows, cols, k, c
+    give_back()  # the driver keeps the machine only
+    return made
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
