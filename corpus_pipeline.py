@@ -1,8 +1,11 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the columns
-of documents as they came, extra ones included; the last returns one row per packed piece. Rows without a text pass all
-stages; equal texts leave one row.
+of documents as they came, extra ones included, whatever their names; the last returns one row per packed piece.
+
+Defined cases: rows without a text pass all stages; of equal texts (empty ones too) one row stays, the least id's, null ids last; repeated rows leave
+one; very long texts are scored, compared, searched, rewritten and packed whole; without labels nothing is toxic at the threshold, without
+benchmark items nothing is contaminated; an empty table gives no rows. Pseudonyms take the key of the session or of the environment (see ``pii``).
 """
 
 from __future__ import annotations
