@@ -45,7 +45,10 @@ def run_lengths(spark, sf):
     return R.run_lengths(table(spark, sf, "events"), "user_id", "event_id", "event_type")
 
 
-@register("rle_text")
+@register("rle_text", """with c as (select conv_id, turn, unnest(string_split(coalesce(text, ''), '')) ch, unnest(range(1, length(coalesce(text, '')) + 1)) i from conversations where text <> ''),
+b as (select *, case when ch = lag(ch) over (partition by conv_id, turn order by i) then 0 else 1 end new from c), r as (select *, sum(new) over (partition by conv_id, turn order by i) run from b),
+g as (select conv_id, turn, run, any_value(ch) || count(*) part from r group by all), a as (select conv_id, turn, string_agg(part, '' order by run) rle from g group by all)
+select conv_id, turn, coalesce(rle, '') rle from conversations left join a using (conv_id, turn)""")
 def rle_text(spark, sf):
     """Run-length encoding of the whole text of each conversation's turns."""
     return table(spark, sf, "conversations").select("conv_id", "turn", R.rle(F.coalesce("text", F.lit(""))).alias("rle"))

@@ -65,7 +65,10 @@ def first_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.first_sentence("source", "text").alias("embed_text"))
 
 
-@register("truncated_output")
+@register("truncated_output", """with c as (select doc_id, text, unnest(string_split(text, '')) ch, unnest(range(1, length(text) + 1)) i from documents where strlen(text) > 2000),
+s as (select *, sum(strlen(ch)) over (partition by doc_id order by i) upto, strlen(text) total from c),
+p as (select doc_id, string_agg(ch, '' order by i) filter (upto <= 980) h, string_agg(ch, '' order by i) filter (total - upto + strlen(ch) <= 980) e from s group by 1),
+o as (select d.doc_id, case when strlen(text) <= 2000 then text else h || chr(10) || '...[truncated]...' || chr(10) || e end as text from documents d left join p using (doc_id)) select doc_id, text, strlen(text)::int bytes from o""")
 def truncated_output(spark, sf):
     """Long outputs by head and tail, in bytes."""
     out = X.truncate_output("text", 2000)
