@@ -29,7 +29,7 @@ def rrf(dense_ranks: DataFrame, lexical_ranks: DataFrame, k: int, rrf_k: int = 6
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hybrid(vectors: DataFrame, index: LexicalIndex | None, queries: DataFrame, k: int = 5, min_score: float = 0.2, rrf_k: int = 60, dense_weight: float = 1.0, bm25_weight: float = 1.0, adaptive: bool = True, where_dense: Column | None = None, where_lexical: Column | None = None) -> DataFrame:
+def hybrid(vectors: DataFrame, index: LexicalIndex | None, queries: DataFrame, k: int = 5, min_score: float = 0.2, rrf_k: int = 60, dense_weight: float = 1.0, bm25_weight: float = 1.0, adaptive: bool = True, where_dense: Column | None = None, where_lexical: dict | None = None) -> DataFrame:
     """(qset, id, score, best, rank, route) for queries (qset, qid, text, vec).
 
     Each query's k nearest at min_score or above are ranked; the lexical ranking joins in for symbol queries, or for all where not

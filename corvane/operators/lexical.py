@@ -1,53 +1,62 @@
-"""Lexical search: postings with BM25+ ranking, built once, saved, and asked many queries at a time.
+"""Lexical search: BM25+ over postings that are packed by windows of documents, with upper bounds by block, so that most postings are never read.
 
-Postings are cut by document (buckets by a hash of the id), the terms with their document counts are global. A search sends its
-terms to all buckets; each sums and ranks the documents it holds, and only its k best a query leave it. Statistics are those of
-the whole corpus, also where a filter holds for a search: the filter applies to postings afterwards.
+A window is one row: up to ``WINDOW`` documents, ordered by the kept columns and then by length, cut into blocks of ``BLOCK``. By term it holds the
+documents' places with their counts, and by term and block the largest count and the shortest length: from these follows the most that a term can add to a document of the
+block, whatever the corpus' mean length is by then. Windows are written as documents come and never move afterwards; a collection in several
+segments is the union of its windows.
+
+A search sends its terms to all windows, twice. The first pass sums the ``PROBE`` most promising blocks of each window by their bounds: the k-th best score
+that this finds is a threshold which no result is below. The second leaves out every block whose bound is below it, and takes the others' terms in rounds, from the
+heaviest on, until no document of a block can reach the threshold any more: no result can change by that. Only k rows a query leave a task. Queries go in blocks
+of ``QUERY_ROWS`` (query, term) rows, each block's result written before the next is sent. Statistics are those of the whole corpus, also where a filter holds for a search.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corvane.functions.arrays import histogram, unrolled
+from corvane.functions.arrays import histogram
 from corvane.functions.text import tokenize
 from corvane.sources.durable import durable, gone_at_exit, read_text, shared_dir, small, spread, write_new
 
 K1, B, DELTA = 1.5, 0.75, 1.0
-#: Searches for at most so many different tokens read only the parts of the postings that can hold them.
-FEW_TOKENS = 200
+#: Documents of a window and of a block; postings after which a window is closed early; (query, term) rows of one block of queries.
+WINDOW, BLOCK, WINDOW_POSTINGS, QUERY_ROWS = 4096, 8, 2_000_000, 1_000_000
+#: A block is left out only where its bound is below the k-th score by more than rounding.
+SLACK = 1e-6
+#: Blocks of a window that are summed first, beside those that k documents need; rounds of terms of the others.
+PROBE, ROUNDS = 2, 8
+_BLOBS = ("ids", "lengths", "terms", "term_ends", "entry_ends", "entry_block", "entry_tf", "entry_dl", "posting_ends", "places", "tfs")
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(id, tok, tf, dl), terms(tok, df) and the corpus' size and mean length."""
+    """Windows of postings, terms(tok, df) and the corpus' size and mean length; dead(w, n): documents that count no more."""
 
-    postings: DataFrame
+    windows: DataFrame
     terms: DataFrame
     n: int
     avgdl: float
+    dead: DataFrame | None = None
 
     @staticmethod
-    def build(chunks: DataFrame, id_col: str = "id", text: Column | str = "text", keep: tuple[str, ...] = (), path: str | None = None, buckets: int | None = None) -> LexicalIndex:
-        """One pass for tokens and their counts within rows, one shuffle by document. Kept under a path where one is given, else until the driver ends."""
+    def build(chunks: DataFrame, id_col: str = "id", text: Column | str = "text", keep: tuple[str, ...] = (), path: str | None = None, window: int = WINDOW) -> LexicalIndex:
+        """One pass for tokens and their counts within rows; nothing is shuffled but the terms' counts. Kept under a path where one is given, else until the driver ends."""
         spark = chunks.sparkSession
         folder = path or f"{shared_dir(spark)}/corvane-postings-{uuid.uuid4().hex}"
-        n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        toks = durable(histogram(spread(chunks).select(F.col(id_col).alias("id"), *keep, tokenize(text).alias("toks")), "toks", "h").select("id", *keep, F.size("toks").alias("dl"), "h"), "tokens")
-        stats = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-        flat = unrolled(toks, "h", "id", "dl", *keep).withColumnsRenamed({"value": "tok", "n": "tf"})
-        # By token within a bucket: a search for few tokens skips most of its row groups.
-        flat.repartition(n_buckets, "id").write.format("parquet").bucketBy(n_buckets, "id").sortBy("tok", "id").option("path", f"{folder}/postings").saveAsTable(_table_of(folder))
-        spark.table(_table_of(folder)).groupBy("tok").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
-        write_new(spark, f"{folder}/index.json", json.dumps({"n": stats["n"], "avgdl": float(stats["avgdl"] or 0.0), "buckets": n_buckets, "schema": flat.schema.jsonValue()}))
+        facts = write_segment(chunks, id_col, text, keep, folder, window)
+        write_new(spark, f"{folder}/index.json", json.dumps(facts))
         if path is None:
             gone_at_exit(spark, folder)
         return LexicalIndex.load(spark, folder)
@@ -55,39 +64,289 @@ class LexicalIndex:
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
         """An index that was built under a path, also by another session."""
-        text = read_text(spark, f"{path}/index.json")
-        if text is None:
+        about = read_text(spark, f"{path}/index.json")
+        if about is None:
             raise FileNotFoundError(f"no index under {path}")
-        about, name = json.loads(text), _table_of(path)
-        if not spark.catalog.tableExists(name):
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(about["schema"]))
-            spark.sql(f"create table {name} ({columns}) using parquet clustered by (id) sorted by (tok, id) into {about['buckets']} buckets location '{path}/postings'")
-        return LexicalIndex(spark.table(name), spark.read.parquet(f"{path}/terms"), about["n"], about["avgdl"])
-
-    def scores(self, queries: DataFrame, where: Column | None = None) -> DataFrame:
-        """(qid, id, score) of all chunks that share a token with the query (qid, text); repeated query tokens count each time."""
+        facts = json.loads(about)
+        return LexicalIndex(spark.read.parquet(f"{path}/windows"), spark.read.parquet(f"{path}/terms"), facts["docs"], facts["length"] / facts["docs"] if facts["docs"] else 0.0)
+
+    def weighed(self, queries: DataFrame) -> DataFrame:
+        """(qid, tok, w) of the query tokens that are known; repeated query tokens count each time."""
         q = queries.select("qid", F.explode(tokenize("text")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf"))
-        weighed = durable(q.join(self.terms, "tok").withColumn("w", F.col("qf") * F.log((F.lit(self.n) + 1) / F.col("df"))), "query-terms")
-        floor = weighed.groupBy("qid").agg(F.sum(F.col("w") * DELTA).alias("floor"))
-        few = small(weighed)
-        hint = F.broadcast if few else (lambda df: df)
-        hits = self.postings if where is None else self.postings.where(where)
-        tokens = [r["tok"] for r in weighed.select("tok").distinct().limit(FEW_TOKENS + 1).collect()] if few else []
-        if few and len(tokens) <= FEW_TOKENS:
-            hits = hits.where(F.col("tok").isin(tokens))
-        part = F.col("tf") * (K1 + 1) / (K1 * (1 - B + B * F.col("dl") / self.avgdl) + F.col("tf"))
-        # Postings of a document are in one bucket: with the terms broadcast, sums by query and document need no shuffle.
-        matched = hits.join(hint(weighed), "tok").groupBy("qid", "id").agg(F.sum(F.col("w") * part).alias("s"))
-        return matched.join(hint(floor), "qid").select("qid", "id", (F.col("s") + F.col("floor")).alias("score")).where("score > 0")
-
-    def search(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-        """(qid, id, score, rank): the k best of each query; ties go to the lower id."""
-        return top_k(self.scores(queries, where), k)
-
-
-def _table_of(path: str) -> str:
-    """The catalog's name for the postings under a path."""
-    return f"corvane_postings_{hashlib.sha1(path.encode()).hexdigest()[:16]}"
+        return q.join(self.terms, "tok").select("qid", "tok", (F.col("qf") * F.log((F.lit(self.n) + 1) / F.col("df"))).alias("w"))
+
+    def _hits(self, queries: DataFrame, k: int, where: dict | None, work: bool) -> DataFrame:
+        spark = queries.sparkSession
+        rows = f"qid {queries.schema['qid'].dataType.simpleString()}, id bigint, score double"
+        schema = "met bigint, scored bigint" if work else rows
+        weighed, source = self.weighed(queries), self._filtered(where)
+
+        def found(block: pa.Table) -> DataFrame:
+            first = source.mapInArrow(_nearest(block, k, self.avgdl), rows).groupBy("qid", "id").agg(F.max("score").alias("score"))
+            least = top_k(first, k).where(F.col("rank") == k).select("qid", "score").toArrow()  # a row a query of the block
+            return source.mapInArrow(_nearest(block, k, self.avgdl, least, work), schema)
+
+        head = weighed.limit(QUERY_ROWS + 1).toArrow()
+        if head.num_rows <= QUERY_ROWS:
+            return found(head) if head.num_rows and k > 0 else spark.createDataFrame([], schema)
+        weighed = durable(weighed, "query-terms")
+        blocks = -(-weighed.count() // QUERY_ROWS)
+        parts = (weighed.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow() for b in range(blocks))
+        return reduce(DataFrame.union, [durable(found(p), "lexical-block") for p in parts if p.num_rows])
+
+    def _filtered(self, where: dict | None) -> DataFrame:
+        """Windows with `allowed`, the places that a filter leaves (null for all), and `gone`, the documents that count no more."""
+        source = self.windows
+        allowed = F.lit(None).cast("array<int>")
+        if where:
+            test = lambda i: reduce(lambda a, b: a & b, [F.get(F.col(f"keep_{c}"), i) == F.lit(v) for c, v in where.items()])
+            first = F.col(f"keep_{next(iter(where))}")
+            allowed = F.filter(F.sequence(F.lit(0), F.size(first) - 1), test)
+        source = source.withColumn("allowed", allowed)
+        if self.dead is None:
+            return source.select("allowed", F.lit(None).cast("array<bigint>").alias("gone"), *_BLOBS)
+        gone = self.dead.groupBy("w").agg(F.collect_list("n").alias("gone"))  # a window's documents at most
+        return source.join(F.broadcast(gone) if small(self.dead) else gone, "w", "left").select("allowed", "gone", *_BLOBS)
+
+    def search(self, queries: DataFrame, k: int, where: dict | None = None) -> DataFrame:
+        """(qid, id, score, rank): the k best of each query (qid, text) among the documents whose kept columns equal those of where; ties go to the lower id."""
+        return top_k(self._hits(queries, max(k, 0), where, False), k)
+
+    def work(self, queries: DataFrame, k: int, where: dict | None = None) -> tuple[int, int]:
+        """How many postings of the queries' terms there are, counted once for each query, and how many of them a search sums."""
+        met, scored = self._hits(queries, k, where, True).agg(F.sum("met"), F.sum("scored")).first()
+        return met or 0, scored or 0
+
+
+def write_segment(chunks: DataFrame, id_col: str, text: Column | str, keep: tuple[str, ...], folder: str, window: int = WINDOW, aligned: bool = False) -> dict:
+    """Windows and term counts of some documents under a folder; how many they are and their length in all. aligned: a window holds ids of one
+    multiple of ``WINDOW`` only, by which documents can be told dead later."""
+    toks = spread(chunks) if not aligned else chunks
+    one = histogram(toks.select(F.col(id_col).cast("bigint").alias("id"), *keep, tokenize(text).alias("toks")), "toks", "h")
+    rows = one.select("id", F.size("toks").alias("dl"), F.transform("h", lambda x: x["value"]).alias("tok"), F.transform("h", lambda x: x["n"].cast("int")).alias("tf"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kept = [f for f in rows.schema if f.name.startswith("keep_")]
+    schema = "w bigint, docs bigint, total bigint, " + ", ".join(f"{b} binary" for b in _BLOBS) + "".join(f", `{f.name}` array<{f.dataType.simpleString()}>" for f in kept)
+    rows.mapInArrow(_windows(window, aligned), schema).write.parquet(f"{folder}/windows")
+    written = chunks.sparkSession.read.schema(schema).parquet(f"{folder}/windows")
+    written.select("terms", "term_ends", "entry_ends", "posting_ends").mapInArrow(_counts, "tok string, df bigint").groupBy("tok").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/terms")
+    docs, total = written.agg(F.sum("docs"), F.sum("total")).first()
+    return {"docs": docs or 0, "length": total or 0}
+
+
+def _windows(window: int, aligned: bool):
+    """Batches of documents (id, dl, tok, tf, kept columns) to windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def close() -> pa.RecordBatch:
+            t = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            return _packed(t)
+
+        rows = postings = 0
+        last = None
+        for b in batches:
+            sizes = np.diff(_flat_offsets(b.column(2)))
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < b.num_rows:
+                most = min(b.num_rows - at, window - rows)
+                if aligned:
+                    home = int(ids[at]) // WINDOW
+                    if last is not None and home != last and rows:
+                        yield close()
+                        rows, postings, most = 0, 0, min(b.num_rows - at, window)
+                    last = home
+                    other = np.flatnonzero(ids[at : at + most] // WINDOW != home)
+                    most = int(other[0]) if len(other) else most
+                inside = int(np.searchsorted(np.cumsum(sizes[at : at + most]), WINDOW_POSTINGS - postings, "right"))
+                take = max(1, min(most, inside)) if not rows else min(most, inside)
+                if take:
+                    waiting.append(b.slice(at, take))
+                    rows, postings, at = rows + take, postings + int(sizes[at : at + take].sum()), at + take
+                if not take or rows >= window or postings >= WINDOW_POSTINGS:
+                    yield close()
+                    rows = postings = 0
+        if waiting:
+            yield close()
+
+    return run
+
+
+def _flat_offsets(col: pa.Array) -> np.ndarray:
+    return np.asarray(col.offsets.to_numpy(), np.int64)
+
+
+def _packed(t: pa.Table) -> pa.RecordBatch:
+    """One window: documents by kept columns and length, postings by term and place, bounds by term and block."""
+    dl = t.column("dl").to_numpy().astype(np.int64)
+    codes = [t.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in t.column_names if c.startswith("keep_")]
+    t = t.take(pa.array(np.lexsort((dl, *reversed(codes))))).combine_chunks()
+    dl, ids = t.column("dl").to_numpy().astype(np.int32), t.column("id").to_numpy().astype(np.int64)
+    tok, tf = t.column("tok").combine_chunks(), t.column("tf").combine_chunks().flatten().to_numpy().astype(np.int32)
+    place = np.repeat(np.arange(len(dl)), np.diff(_flat_offsets(tok)))
+    coded = tok.flatten().cast(pa.large_string()).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((place, code))
+    code, place, tf = code[order], place[order], tf[order]
+    first = np.flatnonzero(np.diff(code * len(dl) + place // BLOCK, prepend=-1) != 0) if len(code) else np.zeros(0, np.int64)
+    entry_tf = np.maximum.reduceat(tf, first) if len(first) else tf
+    entry_dl = np.minimum.reduceat(dl[place], first) if len(first) else tf
+    words = coded.dictionary
+    raw, off = words.buffers()[2], np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    parts = {
+        "ids": ids, "lengths": dl, "terms": raw.to_pybytes()[off[0] : off[-1]] if raw and len(words) else b"", "term_ends": off[1:] - off[0], "entry_ends": np.cumsum(np.bincount(code[first], minlength=len(words))).astype(np.int64),
+        "entry_block": (place[first] // BLOCK).astype(np.uint16), "entry_tf": entry_tf.astype(np.int32), "entry_dl": entry_dl.astype(np.int32), "posting_ends": np.append(first[1:], len(code))[: len(first)].astype(np.int64),
+        "places": place.astype(np.uint16), "tfs": tf,
+    }
+    head = [pa.array([int(ids[0]) // WINDOW]), pa.array([len(ids)]), pa.array([int(dl.astype(np.int64).sum())])]
+    blobs = [pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in parts.values()]
+    kept = [(c, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), t.column(c).combine_chunks())) for c in t.column_names if c.startswith("keep_")]
+    return pa.RecordBatch.from_arrays([*head, *blobs, *(x for _, x in kept)], ["w", "docs", "total", *parts, *(c for c, _ in kept)])
+
+
+def _strings(data: bytes, ends: bytes) -> pa.Array:
+    off = np.concatenate([[0], np.frombuffer(ends, np.int64)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data)])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tok, df): how many documents of a window hold each of its terms."""
+    for b in batches:
+        for data, ends, entries, posts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            upto = np.append(0, np.frombuffer(posts, np.int64))[np.frombuffer(entries, np.int64)]
+            yield pa.RecordBatch.from_arrays([_strings(data, ends).cast(pa.string()), pa.array(np.diff(upto, prepend=0))], ["tok", "df"])
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one range after the other."""
+    n = end - begin
+    total = np.cumsum(n)
+    return np.arange(total[-1] if len(n) else 0) + np.repeat(begin - (total - n), n)
+
+
+class _Window:
+    """One window's arrays, read in place."""
+
+    def __init__(self, row: tuple, vocabulary: pa.Array, avgdl: float):
+        allowed, gone, *blobs = row
+        v = dict(zip(_BLOBS, blobs, strict=True))
+        self.ids, self.lengths = np.frombuffer(v["ids"], np.int64), np.frombuffer(v["lengths"], np.int32)
+        self.entry_end, self.block = np.frombuffer(v["entry_ends"], np.int64), np.frombuffer(v["entry_block"], np.uint16)
+        self.post_end, self.place, self.tf = np.frombuffer(v["posting_ends"], np.int64), np.frombuffer(v["places"], np.uint16), np.frombuffer(v["tfs"], np.int32)
+        self.entry_begin, self.post_begin = np.append(0, self.entry_end[:-1]), np.append(0, self.post_end[:-1])
+        self.avgdl, self.blocks = avgdl or 1.0, -(-len(self.ids) // BLOCK)
+        self.bound = self.part(np.frombuffer(v["entry_tf"], np.int32), np.frombuffer(v["entry_dl"], np.int32))
+        found = pc.index_in(vocabulary, value_set=_strings(v["terms"], v["term_ends"])) if len(v["term_ends"]) else pa.nulls(len(vocabulary), pa.int32())
+        self.term = found.fill_null(-1).to_numpy(zero_copy_only=False)
+        self.open = None
+        if allowed is not None or gone:
+            self.open = np.full(len(self.ids), allowed is None)
+            if allowed is not None:
+                self.open[np.array(allowed, np.int64)] = True
+            if gone:
+                self.open &= ~np.isin(self.ids, np.array(gone, np.int64))
+
+    def part(self, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (K1 * (1 - B + B * dl / self.avgdl) + tf)
+
+    def reaching(self, chosen: np.ndarray, block: np.ndarray, entries: np.ndarray, w: np.ndarray, term: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places of some blocks' documents that reach a score, their sums, and how many postings that took. Terms are taken from the one with the highest bound on: what the later ones can add
+        to a block's documents is known, so that a block is looked at further only while one of its documents can reach the score."""
+        mine = np.isin(block, chosen)
+        entries, w, block, term = entries[mine], w[mine], block[mine], term[mine]
+        most = self.bound[entries] * w
+        top = np.zeros(term.max() + 1)
+        np.maximum.at(top, term, most)
+        rank = np.empty(len(top), np.int64)
+        rank[np.argsort(-top, kind="stable")] = np.arange(len(top))
+        total, hit, n = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool), 0
+        rest = np.bincount(block, most, minlength=self.blocks)
+        alive = np.zeros(self.blocks, bool)
+        alive[chosen] = True
+        of = np.arange(len(self.ids)) // BLOCK
+        cut = 0
+        while cut < len(top):
+            to = len(top) if least == -np.inf else min(len(top), cut + max(1, len(top) // ROUNDS))
+            now = (rank[term] >= cut) & (rank[term] < to) & alive[block]
+            begin, end = self.post_begin[entries[now]], self.post_end[entries[now]]
+            at = _ranges(begin, end)
+            place = self.place[at]
+            n += len(at)
+            total += np.bincount(place, self.part(self.tf[at], self.lengths[place]) * np.repeat(w[now], end - begin), minlength=len(self.ids))
+            hit[place] = True
+            rest -= np.bincount(block[now], most[now], minlength=self.blocks)
+            cut = to
+            can = total + rest[of] >= least
+            if self.open is not None:
+                can &= self.open
+            alive &= np.bincount(of[can], minlength=self.blocks) > 0
+        out = np.flatnonzero(hit & alive[of] & (total >= least) & (True if self.open is None else self.open))
+        return out, total[out], n
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(scores) > 4 * k:  # what is below the k-th score by more than rounding is not sorted
+        near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - SLACK
+        scores, ids = scores[near], ids[near]
+    order = np.lexsort((ids, -np.round(scores, 9)))[:k]
+    return scores[order], ids[order]
+
+
+def _nearest(weighed: pa.Table, k: int, avgdl: float, least: pa.Table | None = None, work: bool = False):
+    """The k best of each query in each task: among the most promising blocks only, or, with least (qid, score: what the k-th best has at least), among all
+    documents; work: only how many postings there are and how many are summed by both."""
+    vocabulary = weighed.column("tok").combine_chunks().cast(pa.large_string()).dictionary_encode()
+    query = weighed.column("qid").combine_chunks().dictionary_encode()
+    names, of = query.dictionary, query.indices.to_numpy()
+    order = np.argsort(of, kind="stable")
+    code, weight, first = vocabulary.indices.to_numpy()[order], weighed.column("w").to_numpy()[order], np.searchsorted(of[order], np.arange(len(names) + 1))
+    floor = np.add.reduceat(weight, first[:-1]) * DELTA
+    lowest = np.full(len(names), -np.inf)
+    if least is not None and least.num_rows:
+        at = pc.index_in(least.column("qid"), value_set=names).to_numpy()
+        lowest[at] = least.column("score").to_numpy() - floor[at] - SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
+        met = scored = 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                win = _Window(row, vocabulary.dictionary, avgdl)
+                free = None if win.open is None else np.bincount(np.flatnonzero(win.open) // BLOCK, minlength=win.blocks) > 0
+                for q in range(len(names)):
+                    term = win.term[code[first[q] : first[q + 1]]]
+                    has = term >= 0
+                    term, w = term[has], weight[first[q] : first[q + 1]][has]
+                    begin, end = win.entry_begin[term], win.entry_end[term]
+                    entries, w, nth = _ranges(begin, end), np.repeat(w, end - begin), np.repeat(np.arange(len(term)), end - begin)
+                    block = win.block[entries]
+                    bound = np.bincount(block, win.bound[entries] * w, minlength=win.blocks)
+                    met += int((win.post_end[entries] - win.post_begin[entries]).sum()) if work else 0
+                    scores, ids = best[q]
+                    floor_now = max(lowest[q], scores[-1] - SLACK if len(scores) == k else -np.inf)
+                    todo = np.flatnonzero((bound > 0) & (bound >= floor_now) & (True if free is None else free))
+                    todo = todo[np.argsort(-bound[todo], kind="stable")]
+                    probe = todo[: -(-k // BLOCK) + PROBE]
+                    for now, floor_of in ((probe, -np.inf),) if least is None else ((todo, floor_now),):
+                        if len(now):
+                            place, got, n = win.reaching(now, block, entries, w, nth, floor_of)
+                            scored += n
+                            scores, ids = _best(np.concatenate([scores, got]), np.concatenate([ids, win.ids[place]]), k)
+                    if work and len(probe):
+                        mine = np.isin(block, probe)
+                        scored += int((win.post_end[entries[mine]] - win.post_begin[entries[mine]]).sum())
+                    best[q] = scores, ids
+        if work:
+            yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([scored])], ["met", "scored"])
+            return
+        sizes = [len(x) for x, _ in best]
+        if sum(sizes):
+            of = np.repeat(np.arange(len(names)), sizes)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]) + floor[of])], ["qid", "id", "score"])
+
+    return run
 
 
 def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:

@@ -36,18 +36,24 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+_INDEXES: dict[tuple, object] = {}
 
 
-def _index(spark, sf):
-    """Built once for a session's queries on the same files."""
-    docs = _docs(spark, sf)
-    key = (spark.sparkContext.applicationId, "\n".join(sorted(docs.inputFiles())))
+def _kept(spark, sf, name, build):
+    """What is built once for a session's queries on the same files, told by their names, sizes and times."""
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(table(spark, sf, name).inputFiles())]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    key = (spark.sparkContext.applicationId, name, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in at))
     if key not in _INDEXES:
-        _INDEXES[key] = LexicalIndex.build(docs, "doc_id", keep=("lang",))
+        _INDEXES[key] = build()
     return _INDEXES[key]
 
 
+def _index(spark, sf):
+    return _kept(spark, sf, "documents", lambda: LexicalIndex.build(_docs(spark, sf), "doc_id", keep=("lang",)))
+
+
 def _items(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
@@ -76,7 +82,7 @@ def bm25_topk(spark, sf):
 @register("bm25_filtered", "with " + _BM25.format(where="where post.lang = 'de'") + " select qid, id, round(score, 6) score, rank from bm where rank <= 5")
 def bm25_filtered(spark, sf):
     """The five best German documents of every item, with the statistics of all documents."""
-    return _index(spark, sf).search(_items(spark, sf), 5, store.where(lang="de")).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return _index(spark, sf).search(_items(spark, sf), 5, {"lang": "de"}).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("dense_topk", f"with {_DENSE.format(asked='vec_id % 100 = 0')} select qid, id, round(score, 6) score, rank from dr where rank <= 10")
