@@ -15,6 +15,7 @@ from corvane.functions.text import index_text
 from corvane.functions.vectors import embed_dense
 from corvane.operators import evaluation as E
 from corvane.operators import fusion, store
+from corvane.operators.dense import DenseIndex
 from corvane.operators.lexical import LexicalIndex
 from corvane.plans import loop
 from corvane.sources.durable import durable
@@ -29,22 +30,21 @@ Embedder = Callable[[DataFrame, str, str, int], DataFrame]
 IndexFactory = Callable[[DataFrame], LexicalIndex]
 
 
-def default_index(chunks: DataFrame) -> LexicalIndex:
-    return LexicalIndex.build(chunks, "n", "w", keep=("library",))
-
-
 class Engine:
-    """A store of chunks with its vectors and postings, which are built when they are first asked for and dropped when chunks change."""
+    """A store of chunks that is searched as it stands: vectors and postings are written with the chunks, so that a new object searches without building."""
 
-    def __init__(self, spark: SparkSession, name: str = "chunks", options: Options | None = None, root: str | None = None, embedder: Embedder = embed_dense, index_factory: IndexFactory = default_index):
+    def __init__(self, spark: SparkSession, name: str = "chunks", options: Options | None = None, root: str | None = None, embedder: Embedder = embed_dense, index_factory: IndexFactory | None = None):
         self.spark, self.options, self.embedder, self.index_factory = spark, options or Options(), embedder, index_factory
-        self.store = store.ChunkStore(spark, name, root=root)
+        words = index_text("text", "qualname", "import_path") if index_factory is None else None
+        self.store = store.ChunkStore(spark, name, root=root, embed=lambda rows: embedder(rows.select("n", store.embed_source().alias("e")), "n", "e", self.options.embed_dim), words=words)
         self.refresh()
 
     def refresh(self) -> None:
+        """Search the store as it is now, also where another object has written to it."""
+        self.store.refresh()
         self._index: LexicalIndex | None = None
-        self._chunks: DataFrame | None = None
-        self._vectors: DataFrame | None = None
+        self._vectors: DenseIndex | None = None
+        self._version = -1
         self._no_index = False
 
     def ingest(self, libraries: list[str] = (), docs: dict[str, str] | None = None, reset: bool = False) -> dict:
@@ -59,33 +59,33 @@ class Engine:
             return {"written": 0, "counts": {}}
         batch = durable(batch.withColumn("_seq", F.monotonically_increasing_id()), "ingest")
         written = self.store.upsert(batch, "_seq")
-        self.refresh()
         return {"written": written, "counts": {r["library"]: r["n"] for r in store.counts(batch).collect()}}
 
-    def _built(self) -> tuple[LexicalIndex | None, DataFrame, DataFrame]:
-        """The index, vectors and chunks, by numbers given once: ids may be any texts."""
-        if self._chunks is None:
-            self._chunks = durable(self.store.read().withColumn("n", F.monotonically_increasing_id()), "numbered")
-            embedded = self._chunks.select("n", store.embed_source().alias("e"))
-            self._vectors = durable(self.embedder(embedded, "n", "e", self.options.embed_dim).join(self._chunks.select(F.col("n").alias("id"), "library"), "id"), "vectors")
-        if self._index is None and self.options.hybrid and not self._no_index:
-            try:
-                self._index = self.index_factory(self._chunks.select("n", "library", index_text("text", "qualname", "import_path").alias("w")))
-            except ImportError as e:
-                _LOG.warning("no lexical index, searches are dense: %s", e)
-                self._no_index = True
-        return self._index, self._vectors, self._chunks
+    def _opened(self) -> tuple[LexicalIndex | None, DenseIndex | None]:
+        """The store's postings and vectors, opened once a version; an index of one's own is built anew for each."""
+        if self._version != self.store.number:
+            self._vectors, self._index, self._version = self.store.dense(), None, self.store.number
+            if self.options.hybrid and self.index_factory is None:
+                self._index = self.store.lexical()
+            elif self.options.hybrid and not self._no_index:
+                try:
+                    self._index = self.index_factory(self.store.numbered().select("n", "library", index_text("text", "qualname", "import_path").alias("w")))
+                except ImportError as e:
+                    _LOG.warning("no lexical index, searches are dense: %s", e)
+                    self._no_index = True
+        return self._index, self._vectors
 
     def search(self, queries: DataFrame, k: int | None = None, library: str | None = None) -> DataFrame:
         """(id, qset, score, best, rank, route, text, ...) for queries (qset, qid, text); the score is the fused one on either route. An empty
         store has no rows."""
         o, k = self.options, k or self.options.top_k
-        index, vectors, chunks = self._built()
+        index, vectors = self._opened()
+        if vectors is None:
+            vectors = self.spark.createDataFrame([], "id bigint, vec array<double>, library string")
         vec = self.embedder(queries.select("qid", "text"), "qid", "text", o.embed_dim).withColumnsRenamed({"id": "qid"})
         asked = queries.join(vec, "qid")
-        only = store.where(library=library) if library else None
-        found = fusion.hybrid(vectors, index, asked, k, o.min_score, o.rrf_k, o.dense_weight, o.bm25_weight, o.adaptive, only, only)
-        shown = chunks.select("n", "id", "text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("library", "qualname", "import_path")])
+        found = fusion.hybrid(vectors, index, asked, k, o.min_score, o.rrf_k, o.dense_weight, o.bm25_weight, o.adaptive, {"library": library} if library else None)
+        shown = self.store.numbered().select("n", "id", "text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("library", "qualname", "import_path")])
         return found.withColumnRenamed("id", "n").join(shown, "n").drop("n")
 
     def run(self, tasks: DataFrame, effects: loop.Effects, auto_approve: bool = True) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import is_symbol_query
 from corvane.operators import dense
-from corvane.operators.lexical import LexicalIndex, top_k
+from corvane.operators.dense import DenseIndex
+from corvane.operators.lexical import LexicalIndex
+from corvane.operators.store import where as equal
 
 
 def merge_max(ranked: DataFrame, k: int, min_score: float) -> DataFrame:
@@ -29,18 +31,22 @@ def rrf(dense_ranks: DataFrame, lexical_ranks: DataFrame, k: int, rrf_k: int = 6
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hybrid(vectors: DataFrame, index: LexicalIndex | None, queries: DataFrame, k: int = 5, min_score: float = 0.2, rrf_k: int = 60, dense_weight: float = 1.0, bm25_weight: float = 1.0, adaptive: bool = True, where_dense: Column | None = None, where_lexical: dict | None = None) -> DataFrame:
+def hybrid(vectors: DataFrame | DenseIndex, index: LexicalIndex | None, queries: DataFrame, k: int = 5, min_score: float = 0.2, rrf_k: int = 60, dense_weight: float = 1.0, bm25_weight: float = 1.0, adaptive: bool = True, where: dict | None = None) -> DataFrame:
     """(qset, id, score, best, rank, route) for queries (qset, qid, text, vec).
 
     Each query's k nearest at min_score or above are ranked; the lexical ranking joins in for symbol queries, or for all where not
     adaptive. The score is the fused one on either route. Without an index all are dense.
     """
     sets = queries.select("qid", "qset")
-    near = top_k(dense.search(vectors, queries, k, where=where_dense).where(F.col("score") >= min_score).drop("rank"), k).join(sets, "qid")
+    if isinstance(vectors, DenseIndex):
+        near = vectors.search(queries, k, where=where, min_score=min_score)
+    else:
+        near = dense.search(vectors, queries, k, where=equal(where) if where else None, min_score=min_score)
+    near = near.join(sets, "qid")
     if index is None:
         return rrf(near, near.limit(0), k, rrf_k, dense_weight, bm25_weight).join(queries.select("qset").distinct().withColumn("route", F.lit("dense")), "qset")
     asked = queries if not adaptive else queries.where(is_symbol_query("text"))
-    words = index.search(asked.select("qid", "text"), k, where_lexical).join(sets, "qid")
+    words = index.search(asked.select("qid", "text"), k, where).join(sets, "qid")
     route = queries.groupBy("qset").agg(F.when(F.max((F.lit(not adaptive) | is_symbol_query("text")).cast("int")) == 1, "hybrid").otherwise("dense").alias("route"))
     return rrf(near, words, k, rrf_k, dense_weight, bm25_weight).join(route, "qset")
 

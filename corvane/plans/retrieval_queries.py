@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.catalog import register, table
 from corvane.functions import text as X
 from corvane.functions.arrays import histogram, unrolled
-from corvane.functions.vectors import hash_embed
-from corvane.operators import dense, fusion, store
+from corvane.functions.vectors import embed_dense, hash_embed
+from corvane.operators import fusion, store
+from corvane.operators.dense import DenseIndex
 from corvane.operators.lexical import LexicalIndex
-from corvane.sources.durable import spread
+from corvane.sources.durable import gone_at_exit, spread
 
 _TOKENS = r"""flat as (select doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+(?:\.[a-z0-9_]+)*')) t from documents),
 toks as (select doc_id, lang, t tok from flat union all select doc_id, lang, unnest(string_split(t, '.')) from flat where contains(t, '.'))"""
@@ -41,10 +44,9 @@ _INDEXES: dict[tuple, object] = {}
 
 def _kept(spark, sf, name, build):
     """What is built once for a session's queries on the same files, told by their names, sizes and times."""
-    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(table(spark, sf, name).inputFiles())]
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    at = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
-    key = (spark.sparkContext.applicationId, name, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in at))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    key = (spark.sparkContext.applicationId, name, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
     if key not in _INDEXES:
         _INDEXES[key] = build()
     return _INDEXES[key]
@@ -62,6 +64,10 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
+def _cells(spark, sf):
+    return _kept(spark, sf, "embeddings", lambda: DenseIndex.build(_vectors(spark, sf), keep=("label",)))
+
+
 def _asked(spark, sf):
     return _vectors(spark, sf).where("id % 100 = 0").select(F.col("id").alias("qid"), "vec", F.col("label").alias("qset"))
 
@@ -88,24 +94,57 @@ def bm25_filtered(spark, sf):
 @register("dense_topk", f"with {_DENSE.format(asked='vec_id % 100 = 0')} select qid, id, round(score, 6) score, rank from dr where rank <= 10")
 def dense_topk(spark, sf):
     """The ten nearest vectors of every hundredth one."""
-    return dense.search(_vectors(spark, sf), _asked(spark, sf), 10).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return _cells(spark, sf).search(_asked(spark, sf), 10).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("dense_filtered", f"with {_DENSE.format(asked='vec_id % 100 = 0').replace('from q, embeddings', 'from q, embeddings where label = 3')} select qid, id, round(score, 6) score, rank from dr where rank <= 5 and score >= 0.0")
 def dense_filtered(spark, sf):
     """The same among the vectors of one label, with a floor on the score."""
-    found = dense.search(_vectors(spark, sf), _asked(spark, sf), 5, where=store.where(label=3))
-    return found.where("score >= 0.0").select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    found = _cells(spark, sf).search(_asked(spark, sf), 5, where={"label": 3}, min_score=0.0)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("dense_multi_max", f"with {_DENSE.format(asked='vec_id % 100 = 0')}, b as (select qset, id, max(score) score from dr where rank <= 5 group by all having max(score) >= 0.2), r as (select *, row_number() over (partition by qset order by round(score, 9) desc, id) rank from b) select qset, id, round(score, 6) score, rank from r where rank <= 5")
 def dense_multi_max(spark, sf):
     """Queries of one label merged: five of each, the best score per vector, a floor, five in all."""
     asked = _asked(spark, sf)
-    ranked = dense.search(_vectors(spark, sf), asked, 5).join(asked.select("qid", "qset"), "qid")
+    ranked = _cells(spark, sf).search(asked, 5).join(asked.select("qid", "qset"), "qid")
     return fusion.merge_max(ranked, 5, 0.2).select("qset", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+_STORE = (
+    "with final as (select doc_id, lang, case when lang = 'de' then text || ' revised ' || source else text end text from documents), "
+    + _BM25.format(where="").replace("from documents", "from final")
+    + """, texts as (select 'd' src, doc_id id, text from final union all select 'q', item_id, text from benchmark),
+tk as (select src, id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_.]+')) t from texts), ce as (select src, id, (('0x' || substr(sha256(t), 1, 16))::ubigint % 64)::int cell, count(*) n from tk group by all),
+un as (select src, id, cell, n / sqrt(sum(n * n) over (partition by src, id)) w from ce),
+dv as (select q.id qid, d.id, sum(q.w * d.w) score from un q join un d on q.src = 'q' and d.src = 'd' and q.cell = d.cell group by all),
+dn as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) rank from dv)
+select 'words' route, qid, rank, round(score, 6) score from bm where rank <= 5 union all select 'vectors', qid, rank, round(score, 6) from dn where rank <= 5"""
+)
+
+
+@register("store_searches", _STORE)
+def store_searches(spark, sf):
+    """A collection after two batches, the second of which replaces all German texts: searched by a second object, which builds nothing."""
+    docs, items = _docs(spark, sf), _items(spark, sf)
+    name = f"searched-{uuid.uuid4().hex}"
+
+    def opened():
+        return store.ChunkStore(spark, name, embed=lambda rows: embed_dense(rows, "n", "text"), words=F.col("text"))
+
+    first = opened()
+    gone_at_exit(spark, first.root)
+    batch = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("library"), "source", F.col("doc_id").alias("seq"))
+    first.upsert(batch, "seq")
+    first.upsert(batch.where("library = 'de'").withColumn("text", F.concat("text", F.lit(" revised "), "source")), "seq")
+    second = opened()
+    words = second.lexical().search(items, 5).select(F.lit("words").alias("route"), "qid", "rank", "score")
+    asked = embed_dense(items, "qid", "text").withColumnRenamed("id", "qid")
+    both = words.unionByName(second.dense().search(asked, 5).select(F.lit("vectors").alias("route"), "qid", "rank", "score"))
+    return both.select("route", "qid", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
 _HYBRID = (
     "with "
     + _BM25.format(where="")
@@ -124,7 +163,7 @@ def retrieve_hybrid(spark, sf):
     """The flagship: every benchmark item, by vector and by words, fused within sets of items."""
     vec = _vectors(spark, sf)
     queries = _items(spark, sf).join(vec.select(F.col("id").alias("qid"), "vec"), "qid", "left").withColumn("qset", F.col("qid") % 10)
-    found = fusion.hybrid(vec, _index(spark, sf), queries, k=10, adaptive=False)
+    found = fusion.hybrid(_cells(spark, sf), _index(spark, sf), queries, k=10, adaptive=False)
     return found.select("qset", "id", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"), F.col("rank").cast("bigint").alias("rank"), "route")
 
 
@@ -149,7 +188,7 @@ def retrieve_adaptive(spark, sf):
     dotted = F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("."), F.regexp_extract("text", "[A-Za-z]+[^A-Za-z]+([A-Za-z]+)", 1))
     asked = _items(spark, sf).withColumn("text", F.when(F.col("qid") % 2 == 1, dotted).otherwise(F.col("text")))
     queries = asked.join(vec.select(F.col("id").alias("qid"), "vec"), "qid", "left").withColumn("qset", F.col("qid"))
-    found = fusion.hybrid(vec, _index(spark, sf), queries, k=5)
+    found = fusion.hybrid(_cells(spark, sf), _index(spark, sf), queries, k=5)
     return found.select("qset", "id", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"), F.col("rank").cast("bigint").alias("rank"), "route")
 
 

@@ -168,8 +168,10 @@ def test_own_embedders_indexes_and_empty_stores(spark, tmp_path):
     e.ingest(["json"])
     found = e.search(q, 3).collect()
     assert len(found) == 3 and {r["route"] for r in found} == {"dense"}
-    again = Engine(spark, "own", Options(min_score=0.0, hybrid=False), root=f"file://{tmp_path}")
+    again = Engine(spark, "own", Options(min_score=0.0, hybrid=False), root=f"file://{tmp_path}", embedder=embedder)
     assert again.store.count() == e.store.count() and {r["route"] for r in again.search(q, 3).collect()} == {"dense"} and again._index is None
+    with pytest.raises(ValueError, match="dimensions"):  # the store holds the vectors of the embedder that it was filled with
+        Engine(spark, "own", Options(min_score=0.0), root=f"file://{tmp_path}").search(q, 3)
 
 
 def test_checkpoints_are_restored(spark, tmp_path):
