@@ -5,8 +5,11 @@ Patterns are Java's; where Unicode white space matters they carry (?U).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed patterns and limits that results depend on.
 TOKEN = r"[a-z0-9_]+(?:\.[a-z0-9_]+)*"
@@ -104,6 +107,39 @@ def redact(c: Column | str, secrets: tuple[str, ...] = (), limit: int = 2000) ->
     return F.when(F.length(out) > limit, F.concat(F.substring(out, 1, limit), F.lit("...[truncated]"))).otherwise(out)
 
 
+def redact_all(c: Column, kind: T.DataType, secrets: tuple[str, ...] = (), limit: int = 2000) -> Column:
+    """A value of any type with every text in it redacted: fields of structs, elements of arrays, keys and values of maps, all that is in a variant. Built from the
+    type alone, as one expression; what holds no text is passed on as it is, nulls stay nulls.
+
+    Keys of a map that become equal leave one entry, the last. A variant goes through its JSON form, in which texts are not cut, and is the text *** where that has a key twice afterwards.
+    """
+    if not _holds_text(kind):
+        return c
+    if isinstance(kind, T.StringType):
+        return redact(c, secrets, limit)
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[redact_all(c.getField(f.name), f.dataType, secrets, limit).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: redact_all(x, kind.elementType, secrets, limit))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(redact_all(e["key"], kind.keyType, secrets, limit).alias("key"), redact_all(e["value"], kind.valueType, secrets, limit).alias("value")))
+        # The entries are bound once, so that they are not computed anew for each of them.
+        last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.greatest(F.size(es), F.lit(1))), lambda other: other["key"] == e["key"]))
+        return F.map_from_entries(F.get(F.transform(F.array(entries), last), F.lit(0))) if _holds_text(kind.keyType) else F.map_from_entries(entries)
+    escaped = tuple(json.dumps(x, ensure_ascii=False)[1:-1] for x in secrets if x and len(x) >= 8)
+    return F.when(c.isNotNull(), F.coalesce(F.try_parse_json(redact(F.to_json(c), escaped, (1 << 31) - 1)), F.parse_json(F.lit('"***"'))))
+
+
+def _holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_text(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _holds_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_text(kind.keyType) or _holds_text(kind.valueType)
+    return isinstance(kind, (T.StringType, T.VariantType))
+
+
 def truncate_output(c: Column | str, limit: int = 8000) -> Column:
     """Head and tail of long output, each within half the bytes; characters are never split."""
     text, half = _col(c), limit // 2 - 20

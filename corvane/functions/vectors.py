@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +53,61 @@ def embed_dense(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> Dat
     cells = hash_embed(df, id_col, text_col, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "weight"))).alias("m"))
     full = df.select(F.col(id_col).alias("id")).join(cells, "id", "left")
     return full.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+
+
+#: Models that this worker has built, by the embedder they belong to.
+_MODELS: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def _model(name: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[list[str]], np.ndarray]:
+    """The worker's own model. Looked up in the module: what a function sent to a worker sees as globals are copies."""
+    from corvane.functions import vectors
+
+    if name not in vectors._MODELS:
+        vectors._MODELS[name] = make()
+    return vectors._MODELS[name]
+
+
+class ModelEmbedder:
+    """An embedder that holds a model: a function without arguments makes it, once in each worker, and it turns lists of texts into matrices, a row each.
+
+    Texts are given to it in their order, across the borders of Arrow's batches, in lots of at most ``lot`` texts and ``lot_bytes`` bytes, or one text. A null text is an empty one. Models must
+    treat a text alike in any lot: then results do not depend on how rows lie in partitions. The number of dimensions is asked for once, with one short
+    text, where the embedder is made; a row of another length or with numbers that are not finite raises an error.
+    """
+
+    def __init__(self, make: Callable[[], Callable[[list[str]], np.ndarray]], lot: int = 64, lot_bytes: int = 1 << 20, dim: int | None = None):
+        self.make, self.lot, self.lot_bytes, self.name = make, lot, lot_bytes, uuid.uuid4().hex
+        self.dim = dim or int(np.asarray(make()(["dimension"]), np.float64).reshape(1, -1).shape[1])
+
+    def __call__(self, df: DataFrame, id_col: str, text_col: str, dim: int | None = None) -> DataFrame:
+        """(id, vec array<double>); dim, where given, must be the model's."""
+        if dim is not None and dim != self.dim:
+            raise ValueError(f"the model gives {self.dim} dimensions, {dim} are asked for")
+        make, name, size, lot, lot_bytes = self.make, self.name, self.dim, self.lot, self.lot_bytes
+
+        def vectors(ids: list, texts: list[str]) -> pa.RecordBatch:
+            m = np.ascontiguousarray(_model(name, make)(texts), np.float64)
+            if m.shape != (len(texts), size) or not np.isfinite(m).all():
+                raise ValueError(f"the model gave {m.shape} for {len(texts)} texts of {size} dimensions, or numbers that are not finite")
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * size, pa.int32()), pa.array(m.reshape(-1)))
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), vec], ["id", "vec"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            ids, texts, waiting = [], [], 0
+            for b in batches:
+                kind = b.schema.field(0).type
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    more = len((text or "").encode())
+                    if texts and (len(texts) >= lot or waiting + more > lot_bytes):
+                        yield vectors(ids, texts)
+                        ids, texts, waiting = [], [], 0
+                    ids.append(i)
+                    texts.append(text or "")
+                    waiting += more
+            if texts:
+                yield vectors(ids, texts)
+
+        kind = None
+        return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, vec array<double>")

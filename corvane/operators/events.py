@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from corvane.functions.text import redact
+from corvane.functions.text import redact, redact_all
+from corvane.operators.scan import running  # noqa: F401
 
 USAGE = "input_tokens bigint, output_tokens bigint, total_tokens bigint, llm_calls bigint, api_retries bigint, estimated_calls bigint, wait_s double"
 
@@ -28,8 +27,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_log(events: DataFrame, path: str, secrets: tuple[str, ...] = ()) -> None:
-    """Append events with every text redacted."""
-    clean = events.select([redact(F.col(f.name), secrets).alias(f.name) if f.dataType == T.StringType() else F.col(f.name) for f in events.schema])
+    """Append events with every text redacted, at any depth."""
+    clean = events.select([redact_all(F.col(f"`{f.name}`"), f.dataType, secrets).alias(f.name) for f in events.schema])
     clean.write.mode("append").json(path)
 
 
@@ -68,16 +67,6 @@ def write_summaries(summary: DataFrame, path: str) -> None:
     summary.withColumn("run", F.col("run_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
 
 
-def running(events: DataFrame, key: str, seq: str, *values: str, skip: Column | None = None) -> DataFrame:
-    """events with the running sum of each value by key in order (``cum_<value>``) and its step (``delta_<value>``); rows to skip add nothing."""
-    w = Window.partitionBy(key).orderBy(seq)
-    out = events
-    for v in values:
-        x = F.coalesce(F.col(v), F.lit(0)) if skip is None else F.when(skip, F.lit(0)).otherwise(F.coalesce(F.col(v), F.lit(0)))
-        out = out.withColumn(f"cum_{v}", F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(f"delta_{v}", F.col(v) - F.lag(v).over(w))
-    return out
-
-
 def merge_usage(usage: DataFrame, key: str, *counters: str) -> DataFrame:
     """Sums by key: null counts as nothing, and stays null where all are null."""
     return usage.groupBy(key).agg(*[F.sum(c).alias(c) for c in counters])
@@ -131,10 +120,17 @@ def format_eval_line(task: Column, mode: Column, status: Column, passed: Column,
     return F.substring(F.regexp_replace(line, r"[^\x20-\x7E]", "?"), 1, 160)
 
 
-def stop_reason(errors: Column) -> Column:
-    """quota or auth by the first of a run's errors, in order, that ends a whole evaluation; else null."""
-    kind = lambda e: F.when(e == "daily_quota", "quota").when(e.isin("auth", "model"), "auth")
-    return F.get(F.filter(F.transform(errors, kind), lambda x: x.isNotNull()), F.lit(0))
+def stop_reasons(errors: DataFrame, key: str, seq: str, error: str) -> DataFrame:
+    """(key, reason): quota or auth by the first of a run's errors, in order, that ends a whole evaluation; null where none does."""
+    kind = F.when(F.col(error) == "daily_quota", "quota").when(F.col(error).isin("auth", "model"), "auth")
+    return errors.groupBy(key).agg(F.min_by(kind, F.when(kind.isNotNull(), F.col(seq))).alias("reason"))
+
+
+def sessions(events: DataFrame, ts: str, key: str, value: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(key, start, end, n, total): a key's events that follow each other within the gap; end: the last event's time and the gap. One definition for batches and
+    streams (append mode); a stream leaves out rows later than the watermark."""
+    w = F.session_window(ts, gap)
+    return events.withWatermark(ts, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
 def display_status(status: Column, waiting: Column, decision: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from corvane.operators.scan import run_lengths  # noqa: F401
 
 #: Fixed pattern: date, time, level, message of a log line.
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}:\d{2}) (\w+) (.*)$"
@@ -47,14 +48,6 @@ def z_scores(df: DataFrame, *values: str, keys: tuple[str, ...] = ()) -> DataFra
     return df.select(*keys, *[F.round(z(v), 6).alias(f"z_{v}") for v in values])
 
 
-def run_lengths(df: DataFrame, key: str, seq: str, value: str) -> DataFrame:
-    """(key, run, value, n): lengths of runs of equal values in order."""
-    w = Window.partitionBy(key).orderBy(seq)
-    new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    marked = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(key, "run", value).agg(F.count("*").alias("n"))
-
-
 def rle(text: Column) -> Column:
     """Run-length encoding of a text: aaab as a3b1."""
     runs = F.regexp_extract_all(text, F.lit(r"(?s)((.)\2*)"), F.lit(1))

@@ -136,12 +136,24 @@ def analyze_runs(spark, sf):
     return out.select("event_id", "category", "fault", F.array_join("suspect_symbols", ";").alias("suspects"), F.coalesce(F.get("retrieval_queries", F.lit(0)), F.lit("")).alias("first_query"), "needs_docs")
 
 
-@register("junit_reports", "select conv_id, count(*) total, count_if(turn % 3 = 0)::bigint failed from conversations group by 1")
+_REPORTS = """with p as (select page_id, coalesce(html, '') html, coalesce(url, '') url, page_id % 7 = 3 broken from pages)
+select page_id, case when broken then 0 else 4 end::bigint total, case when broken then 0 else 2 end::bigint failed, case when broken then 0 else 1 end::bigint errors,
+case when broken then null else url || ' > "q"' end first_name, case when broken then null else 'a < b' || chr(10) || url end message, case when broken then null else right(trim(html, ' ' || chr(9) || chr(10) || chr(13)), 2000) end traceback from p"""
+
+
+@register("junit_reports", _REPORTS)
 def junit_reports(spark, sf):
-    """Test reports parsed: cases and failures."""
-    case = F.concat(F.lit('<testcase name="t'), F.col("turn").cast("string"), F.lit('">'), F.when(F.col("turn") % 3 == 0, F.lit('<failure message="a &lt; b">tb</failure>')).otherwise(""), F.lit("</testcase>"))
-    xml = table(spark, sf, "conversations").groupBy("conv_id").agg(F.concat(F.lit("<testsuites><testsuite>"), F.array_join(F.collect_list(case), ""), F.lit("</testsuite></testsuites>")).alias("xml"))
-    return xml.select("conv_id", parse_junit(F.col("xml")).alias("r")).select("conv_id", F.col("r.total").cast("bigint").alias("total"), F.col("r.failed").cast("bigint").alias("failed"))
+    """Test reports parsed: pages as tracebacks in CDATA, their addresses in attributes of either quote, nested suites; every seventh report is cut off."""
+    p = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.coalesce("url", F.lit("")).alias("url"))
+    url = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&#60;"))
+    body = F.concat(F.lit("<![CDATA["), F.replace(F.col("html"), F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
+    xml = F.concat(
+        F.lit('<?xml version="1.0" encoding="utf-8"?>\n<!-- a <testcase> in a comment --><testsuites><testsuite name="s"><testcase name=\''), url, F.lit(' > "q"\'><failure message="a &lt; b&#10;'), url, F.lit('">'), body, F.lit("</failure><system-out>out</system-out></testcase>"),
+        F.lit('<testcase name="fine"/><testsuite><testcase><failure/></testcase><testcase name="e"><error message="x"/></testcase></testsuite>'), F.when(F.col("page_id") % 7 == 3, "").otherwise("</testsuite></testsuites>"),
+    )
+    r = p.select("page_id", parse_junit(xml).alias("r"))
+    first = F.get(F.col("r.failures"), F.lit(0))
+    return r.select("page_id", *[F.col(f"r.{c}").cast("bigint").alias(c) for c in ("total", "failed", "errors")], first["test_name"].alias("first_name"), first["message"].alias("message"), first["traceback"].alias("traceback"))
 
 
 @register("format_events", """select event_id, substr(case event_type when 'click' then '[retrieve] mode=m queries=2 docs=' || (event_id % 5) || ' top=0.500' when 'view' then '[generate] attempt=' || user_id || ' code=' || event_id || ' chars tests=0 chars'
@@ -161,8 +173,58 @@ def format_events(spark, sf):
 def stop_reasons(spark, sf):
     """Why a run would end an evaluation: the first decisive error in order."""
     kind = F.when(F.col("event_type") == "error", "daily_quota").when(F.col("event_type") == "purchase", "auth").otherwise("unavailable")
-    runs = _events(spark, sf).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", kind.alias("k")))), lambda x: x["k"]).alias("errors"))
-    return runs.select("user_id", L.stop_reason(F.col("errors")).alias("reason"))
+    return L.stop_reasons(_events(spark, sf).select("user_id", "event_id", kind.alias("error")), "user_id", "event_id", "error")
+
+
+@register("event_sessions", """with e as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end opens from events where ts is not null),
+s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) nth from e)
+select user_id, min(ts) as start, max(ts) + interval 6 hour as "end", count(*) n, round(sum(value::decimal(28,6)), 4)::double total from s group by user_id, nth""")
+def event_sessions(spark, sf):
+    """What a user did without a pause of six hours."""
+    e = _events(spark, sf).withColumns({"ts": F.col("ts").cast("timestamp"), "value": F.col("value").cast("decimal(28,6)")})
+    out = L.sessions(e, "ts", "user_id", "value", "6 hours")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).cast("double").alias("total"))
+
+
+@register("stream_summary", """with c as (select user_id, event_type, count(*) n from events where event_type <> '' group by all), m as (select user_id, string_agg(event_type || '=' || n, ',' order by event_type) nodes from c group by 1)
+select user_id::varchar user_id, count(*) n_events, arg_min(ts, event_id) started_ts, arg_max(ts, event_id) finished_ts, round(sum(value::decimal(28,6)), 1)::double duration_ms_total, bool_or(event_type = 'error') rag, any_value(nodes) nodes from events left join m using (user_id) group by 1""")
+def stream_summary(spark, sf):
+    """The summaries of all runs by a stream with keyed state, read to its end."""
+    import uuid
+
+    from corvane.sources.durable import gone_at_exit, shared_dir
+    from corvane.streaming import summary as Y
+
+    folder = f"{shared_dir(spark)}/corvane-summary-{uuid.uuid4().hex}"
+    gone_at_exit(spark, folder)
+    own = Y.session(spark)
+    stream = S.tail(own, f"{sf}/events.parquet" if _is_folder(spark, f"{sf}/events.parquet") else f"{sf}/events*.parquet", _events(spark, sf).schema)
+    slices = Y.drained(Y.partials(stream, "user_id", "event_id", "event_type", None, F.col("value"), "ts", "error", None), f"{folder}/slices", f"{folder}/checkpoint")
+    nodes = F.array_join(F.transform(F.map_entries("node_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    out = Y.merged(spark.read.schema(slices.schema).parquet(f"{folder}/slices"))
+    return out.select(F.col("run").alias("user_id"), "n_events", F.col("started_ts").cast("timestamp_ntz").alias("started_ts"), F.col("finished_ts").cast("timestamp_ntz").alias("finished_ts"), "duration_ms_total", "rag", nodes.alias("nodes"))
+
+
+_MASK = "regexp_replace(regexp_replace(replace({}, 'pass-word-1', '***'), 'AIza[0-9A-Za-z_-]{{30,}}', '***', 'g'), 'sk-[A-Za-z0-9_-]{{20,}}', '***', 'g')"
+_CUT = f"case when length({_MASK}) > 120 then substr({_MASK}, 1, 120) || '...[truncated]' else {_MASK} end"
+
+
+def _cut(text):
+    return _CUT.format(text, text, text)
+
+
+_WORD_KEY = _cut("'pass-word-1 ' || coalesce(role, '')")
+
+
+@register("redact_nested", f"""select conv_id, turn, {_cut("'turn sk-' || repeat('a', 24)")} label, {_WORD_KEY} as key, {_cut("coalesce(text, '')")} as v0, {_cut("coalesce(text, '') || ' AIza' || repeat('b', 32)")} as v1, 1 entries, 'sk' || '***' as var from conversations""")
+def redact_nested(spark, sf):
+    """Secrets in the fields, keys and elements of struct<label, parts map<string, array<string>>>, and in a variant."""
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    parts = F.map_from_entries(F.array(F.struct(F.concat(F.lit("pass-word-1 "), role).alias("key"), F.array(text, F.lit("old")).alias("value")), F.struct(F.concat(F.lit("sk-" + "c" * 20 + " "), role).alias("key"), F.array(text, F.concat(text, F.lit(" AIza" + "b" * 32))).alias("value"))))
+    e = table(spark, sf, "conversations").select("conv_id", "turn", F.struct(F.lit("turn sk-" + "a" * 24).alias("label"), parts.alias("parts")).alias("body"), F.parse_json(F.concat(F.lit('{"turn":['), F.col("turn").cast("string"), F.lit(',"skpass-word-1"]}'))).alias("v"))
+    clean = e.select("conv_id", "turn", *[X.redact_all(F.col(f.name), f.dataType, ("pass-word-1",), 120).alias(f.name) for f in e.schema if f.name in ("body", "v")])
+    first = F.get(F.map_entries("body.parts"), F.lit(0))
+    return clean.select("conv_id", "turn", F.col("body.label").alias("label"), first["key"].alias("key"), F.get(first["value"], F.lit(0)).alias("v0"), F.get(first["value"], F.lit(1)).alias("v1"), F.size("body.parts").alias("entries"), F.variant_get("v", "$.turn[1]", "string").alias("var"))
 
 
 @register("ledger_counts", "select count(*) filter (event_id % 4 = 0) executed, count(*) filter (event_id % 4 = 1) skipped, count(*) filter (event_id % 4 = 2) pending, count(*) filter (event_id % 4 = 3) error from events")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions.text import strip
 from corvane.operators.evaluation import RECORD, SCHEMA_VERSION
 
 TASK = "id string, title string, libraries array<string>, difficulty int, task string, tests string, reference string"
@@ -53,24 +54,43 @@ def write_records(records: DataFrame, path: str) -> None:
     records.withColumns({"cell_task": F.col("task_id"), "cell_mode": F.col("mode")}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell_task", "cell_mode").json(path)
 
 
+#: Suites within suites that are read.
+SUITE_DEPTH = 6
+#: Fixed patterns: what a report begins and ends with.
+_OPENS, _SHUTS = r"(?s)\A(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<testsuite", r"(?s)(?:</testsuites?\s*>|/>)(?:\s|<!--.*?-->)*\z"
+_CASE = "struct<_name:string,failure:array<struct<_message:string,_VALUE:string>>,error:array<struct<_message:string,_VALUE:string>>>"
+
+
+def _report_schema() -> str:
+    suite = f"struct<testcase:array<{_CASE}>>"
+    for _ in range(SUITE_DEPTH - 1):
+        suite = f"struct<testcase:array<{_CASE}>,testsuite:array<{suite}>>"
+    return f"testcase array<{_CASE}>, testsuite array<{suite}>, _corrupt_record string"
+
+
 def parse_junit(xml: Column) -> Column:
-    """struct<total, failed, errors, failures array<struct<test_name, error_type, message, traceback>>>; zeros for what is no report.
+    """struct<total, failed, errors, failures array<struct<test_name, error_type, message, traceback>>> by Spark's XML parser; zeros for what is no report: no
+    well-formed XML, another root than testsuite or testsuites, or more text behind it.
 
-    Each test case counts once, also in nested suites.
+    Each test case of a suite counts once, also in nested suites, ``SUITE_DEPTH`` deep. Messages and tracebacks are stripped, of tracebacks the last 2000 characters stay.
     """
-    ok = F.coalesce(xml.rlike(r"(?s)<testsuites?[\s>].*(?:</testsuites?>|/>)"), F.lit(False))
-    cases = F.regexp_extract_all(xml, F.lit(r"(?s)(<testcase\b(?:[^>]*/>|.*?</testcase>))"), F.lit(1))
-    failed = F.filter(cases, lambda c: c.rlike(r"<failure\b"))
-    attr = lambda c, tag, name: _plain(F.regexp_extract(c, rf"(?s)<{tag}\b[^>]*?\s{name}=\"([^\"]*)\"", 1))
-    items = F.transform(failed, lambda c: F.struct(attr(c, "testcase", "name").alias("test_name"), F.lit("failure").alias("error_type"), attr(c, "failure", "message").alias("message"), _plain(F.regexp_extract(c, r"(?s)<failure\b[^>]*>(.*?)</failure>", 1)).alias("traceback")))
-    n = lambda a: F.when(ok, F.size(a)).otherwise(0)
-    return F.struct(n(cases).alias("total"), n(failed).alias("failed"), n(F.filter(cases, lambda c: c.rlike(r"<error\b"))).alias("errors"), F.when(ok, items).otherwise(F.slice(items, 1, 0)).alias("failures"))
-
-
-def _plain(c: Column) -> Column:
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(sign))
-    return c
+    r = F.from_xml(F.when(xml.rlike(_OPENS) & xml.rlike(_SHUTS), xml), _report_schema(), {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
+    none = F.array().cast(f"array<{_CASE}>")
+    level, cases = r["testsuite"], F.when(xml.rlike(_OPENS + r"[\s>/]"), F.coalesce(r["testcase"], none)).otherwise(none)
+    for depth in range(SUITE_DEPTH):
+        cases = F.concat(cases, F.coalesce(F.flatten(F.filter(F.transform(level, lambda x: x["testcase"]), lambda x: x.isNotNull())), none))
+        level = F.flatten(F.filter(F.transform(level, lambda x: x["testsuite"]), lambda x: x.isNotNull())) if depth < SUITE_DEPTH - 1 else level
+    cases = F.when(r.isNotNull() & r["_corrupt_record"].isNull(), cases).otherwise(none)
+    failed = lambda cs: F.filter(cs, lambda c: F.size(F.coalesce(c["failure"], F.array().cast("array<struct<_message:string,_VALUE:string>>"))) > 0)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+
+    def item(c: Column) -> Column:
+        first, name = F.get(c["failure"], F.lit(0)), F.coalesce(F.nullif(c["_name"], F.lit("")), F.lit("unknown"))
+        return F.struct(name.alias("test_name"), F.lit("assertion_failure").alias("error_type"), strip(blank(first["_message"])).alias("message"), F.right(strip(blank(first["_VALUE"])), F.lit(2000)).alias("traceback"))
+
+    # The cases are bound once: the report is parsed once a row.
+    whole = lambda cs: F.struct(F.size(cs).alias("total"), F.size(failed(cs)).alias("failed"), F.size(F.filter(cs, lambda c: c["error"].isNotNull())).alias("errors"), F.transform(failed(cs), item).alias("failures"))
+    return F.get(F.transform(F.array(cases), whole), F.lit(0))
 
 
 def latest_state(checkpoints: DataFrame, key: str = "task_id", seq: str = "step") -> DataFrame:
