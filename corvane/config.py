@@ -39,8 +39,13 @@ class Options:
     max_human_rounds: int = 2
     llm_budget: int = 10
     api_key: str | None = None
+    libraries: tuple[str, ...] = ("json", "re", "collections", "datetime", "pathlib")
 
     def __post_init__(self):
+        named = self.libraries.split(",") if isinstance(self.libraries, str) else self.libraries
+        object.__setattr__(self, "libraries", tuple(x for x in (str(n).strip() for n in named) if x))
+        if not self.libraries:
+            raise ValueError("libraries must name at least one library")
         for name, least in (("top_k", 1), ("max_docs", 1), ("rrf_k", 1), ("context_chars", 1), ("chunk_chars", 1), ("chunk_overlap", 0), ("embed_dim", 1), ("max_retries", 0), ("max_human_rounds", 0), ("llm_budget", 1)):
             if getattr(self, name) < least:
                 raise ValueError(f"{name} must be at least {least}")
@@ -51,11 +56,20 @@ class Options:
         env, out = read_env(env_file) | dict(os.environ if environ is None else environ), {}
         for f in fields(Options):
             raw = (env.get(prefix + f.name.upper()) or "").strip()
-            if raw:
+            if raw and f.name == "libraries":
+                out[f.name] = raw
+            elif raw:
                 kind = type(f.default) if f.default is not None else str
                 out[f.name] = raw.lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw)
         return Options(**out | given)
 
+    def require_key(self) -> str:
+        """The model's key; without one an error that says where to set it, and never shows a part of any."""
+        key = (self.api_key or "").strip()
+        if not key:
+            raise ValueError("no api_key: set CORVANE_API_KEY, or name it in the file of options")
+        return key
+
     def shown(self) -> dict:
         """For logs: the key masked."""
         return {f.name: getattr(self, f.name) for f in fields(self)} | {"api_key": "***" if self.api_key else "unset"}

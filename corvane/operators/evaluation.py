@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,13 @@ def pending(tasks: DataFrame, modes: DataFrame, done: DataFrame, limit: int | No
 
 def mode_summary(records: DataFrame, by: str = "mode") -> DataFrame:
     """Runs, passes, rates, means and the median time by mode."""
-    return records.groupBy(by).agg(
+    out = records.groupBy(by).agg(
         F.count("*").alias("runs"), F.count_if(F.col("passed")).alias("n_passed"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("pass_rate"),
         F.count_if(F.col("first_try")).alias("n_first_try"), F.round(F.avg("attempts"), 6).alias("mean_attempts"), F.round(F.avg("llm_calls"), 6).alias("mean_llm_calls"),
-        F.round(F.avg("total_tokens"), 6).alias("mean_tokens"), F.round(F.median("wall_s"), 6).alias("median_wall_s"),
+        F.round(F.avg("total_tokens"), 6).alias("mean_tokens"),
     )
+    middle = medians(records, "wall_s", (by,)).select(F.col(by).alias("_by"), F.round("median", 6).alias("median_wall_s"))
+    return out.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def paired(records: DataFrame, a: str, b: str, key: str = "task_id", values: tuple[str, ...] = ("llm_calls", "attempts")) -> DataFrame:
@@ -74,22 +77,41 @@ def ranking_metrics(ranks: DataFrame, kind: str = "kind", rank: str = "rank", ks
     )
 
 
-def p95(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The value at index min(n - 1, round(0.95 (n - 1))) of the sorted ones, half to even, without interpolation.
+def order_statistics(df: DataFrame, value: str, by: tuple[str, ...], at: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, n, one column for each of at): the values at some indexes of each group's sorted values; at: from the number of values to an index. Null values do not
+    count, null groups are groups.
 
-    Values lie in ranges, a file each: counts by range tell which one holds the index, and only that one is sorted. No group's values
+    Values lie in ranges, a file each: counts by range tell which ones hold the indexes, and only those are sorted. No group's values
     meet in one task.
     """
-    by_value = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    ranged = durable(by_value.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "ranges")
-    w = Window.partitionBy(*by)
-    parts = ranged.groupBy(*by, "_part").agg(F.sum("c").alias("_c"))  # as many rows as ranges and groups
-    parts = parts.withColumn("n", F.sum("_c").over(w)).withColumn("_before", F.sum("_c").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-    at = F.least(F.col("n") - 1, F.bround(F.lit(0.95) * (F.col("n") - 1), 0).cast("bigint"))
-    held = parts.withColumn("_at", at).where("_before <= _at and _at < _before + _c").drop("_c")
-    near = ranged.join(held, [*by, "_part"])
-    run = near.withColumn("_upto", F.col("_before") + F.sum("c").over(Window.partitionBy(*by, "_part").orderBy(value)))
-    return run.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("c") <= F.col("_at"))).select(*by, F.col(value).alias("p95"), "n")
+    keys = [f"_k{i}" for i in range(len(by))]
+    named = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("_v"))
+    by_value = named.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    ranged = durable(by_value.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy(*keys)
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_p"))  # as many rows as ranges and groups
+    parts = parts.withColumn("n", F.sum("_p").over(w)).withColumn("_before", F.sum("_p").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_p"))
+    parts = parts.withColumns({f"_at_{name}": index(F.col("n")).cast("bigint") for name, index in at.items()})
+    within = lambda name, before, upto: (F.col(f"_at_{name}") >= before) & (F.col(f"_at_{name}") < upto)
+    held = parts.where(reduce(lambda a, b: a | b, [within(name, F.col("_before"), F.col("_before") + F.col("_p")) for name in at]))
+    held = held.select(*[F.col(k).alias(f"{k}h") for k in keys], F.col("_part").alias("_ph"), "n", "_before", *[f"_at_{name}" for name in at])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys], F.col("_part") == F.col("_ph"))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    run = ranged.join(held, same).withColumn("_upto", upto)
+    found = run.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(within(name, F.col("_upto") - F.col("_c"), F.col("_upto")), F.col("_v"))).alias(name) for name in at])
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", *at)
+
+
+def p95(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The value at index min(n - 1, round(0.95 (n - 1))) of the sorted ones, half to even, without interpolation."""
+    found = order_statistics(df, value, by, {"p95": lambda n: F.least(n - 1, F.bround(F.lit(0.95) * (n - 1), 0).cast("bigint"))})
+    return found.where("n > 0").select(*by, "p95", "n")
+
+
+def medians(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, median): the middle value, or the mean of the two in the middle."""
+    found = order_statistics(df, value, by, {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.floor(n / 2)})
+    return found.select(*by, "n", ((F.col("_lo").cast("double") + F.col("_hi").cast("double")) / 2).alias("median"))
 
 
 def error_tasks(records: DataFrame) -> DataFrame:

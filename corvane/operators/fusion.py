@@ -13,22 +13,25 @@ from corvane.operators.lexical import LexicalIndex
 from corvane.operators.store import where as equal
 
 
-def merge_max(ranked: DataFrame, k: int, min_score: float) -> DataFrame:
-    """(qset, id, score, rank): rankings of a set's queries merged by their best score, floored, then cut."""
-    best = ranked.groupBy("qset", "id").agg(F.max("score").alias("score")).where(F.col("score") >= min_score)
-    w = Window.partitionBy("qset").orderBy(F.desc(F.round("score", 9)), "id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def merge_max(ranked: DataFrame, k: int, min_score: float, order: str = "qid") -> DataFrame:
+    """(qset, id, score, rank): rankings of a set's queries merged by their best score, floored, then cut; ties go to what came first, by query (order) and rank."""
+    best = ranked.groupBy("qset", "id").agg(F.max("score").alias("score"), F.min(F.struct(order, "rank")).alias("_came")).where(F.col("score") >= min_score)
+    w = Window.partitionBy("qset").orderBy(F.desc(F.round("score", 9)), "_came", "id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_came")
 
 
-def rrf(dense_ranks: DataFrame, lexical_ranks: DataFrame, k: int, rrf_k: int = 60, dense_weight: float = 1.0, bm25_weight: float = 1.0) -> DataFrame:
-    """(qset, id, score, best, rank) by the sum of weight / (rrf_k + rank) over both rankings (qset, id, score, rank)."""
+def rrf(dense_ranks: DataFrame, lexical_ranks: DataFrame, k: int, rrf_k: int = 60, dense_weight: float = 1.0, bm25_weight: float = 1.0, order: str = "qid") -> DataFrame:
+    """(qset, id, score, best, rank) by the sum of weight / (rrf_k + rank) over both rankings (qset, id, score, rank, order).
+
+    Equal sums go by the best cosine, then to what came first: by query (order), its vectors before its words, and rank.
+    """
     at = max(1, int(rrf_k))
-    both = dense_ranks.select("qset", "id", (F.lit(dense_weight) / (at + F.col("rank"))).alias("part"), F.col("score").alias("cos")).unionByName(
-        lexical_ranks.select("qset", "id", (F.lit(bm25_weight) / (at + F.col("rank"))).alias("part"), F.lit(None).cast("double").alias("cos"))
-    )
-    fused = both.groupBy("qset", "id").agg(F.sum("part").alias("score"), F.coalesce(F.max("cos"), F.lit(0.0)).alias("best"))
-    w = Window.partitionBy("qset").orderBy(F.desc(F.round("score", 9)), F.desc(F.round("best", 9)), "id")
-    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    parts = []
+    for df, weight, cosine, route in ((dense_ranks, dense_weight, F.col("score"), 0), (lexical_ranks, bm25_weight, F.lit(None).cast("double"), 1)):
+        parts.append(df.select("qset", "id", (F.lit(weight) / (at + F.col("rank"))).alias("part"), cosine.alias("cos"), F.struct(order, F.lit(route).alias("route"), F.col("rank").cast("bigint").alias("rank")).alias("came")))
+    fused = parts[0].unionByName(parts[1]).groupBy("qset", "id").agg(F.sum("part").alias("score"), F.coalesce(F.max("cos"), F.lit(0.0)).alias("best"), F.min("came").alias("_came"))
+    w = Window.partitionBy("qset").orderBy(F.desc(F.round("score", 9)), F.desc(F.round("best", 9)), "_came", "id")
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_came")
 
 
 def hybrid(vectors: DataFrame | DenseIndex, index: LexicalIndex | None, queries: DataFrame, k: int = 5, min_score: float = 0.2, rrf_k: int = 60, dense_weight: float = 1.0, bm25_weight: float = 1.0, adaptive: bool = True, where: dict | None = None) -> DataFrame:

@@ -23,14 +23,16 @@ def _records(spark, sf):
     )
 
 
-_TWO = """two as (select doc_id task_id, 'quality' as mode, quality = 1 passed, quality attempts, 1 llm_calls, case when doc_id % 11 = 0 then 'error' else 'failed' end status, 1 schema_version from labels
-  union all select doc_id, 'toxic', toxic = 1, toxic, 2, 'approved', case when doc_id % 5 = 0 then 2 else 1 end from labels where doc_id % 3 <> 0)"""
+_TWO = """two as (select doc_id task_id, 'quality' as mode, quality = 1 passed, quality::int attempts, 1 llm_calls, case when doc_id % 11 = 0 then 'error' else 'failed' end status, 1 schema_version from labels
+  union all select doc_id, 'length', coalesce(n_chars > 800, false), case when n_chars > 800 then 1 else 2 end, 2, 'approved', case when doc_id % 5 = 0 then 2 else 1 end from documents)"""
 
 
 def _two(spark, sf):
+    """Records in two modes: one for every label, one for every document."""
     l = table(spark, sf, "labels").withColumnRenamed("doc_id", "task_id")  # noqa: E741
-    a = l.select("task_id", F.lit("quality").alias("mode"), (F.col("quality") == 1).alias("passed"), F.col("quality").alias("attempts"), F.lit(1).alias("llm_calls"), F.when(F.col("task_id") % 11 == 0, "error").otherwise("failed").alias("status"), F.lit(1).alias("schema_version"))
-    b = l.where("task_id % 3 <> 0").select("task_id", F.lit("toxic").alias("mode"), (F.col("toxic") == 1).alias("passed"), F.col("toxic").alias("attempts"), F.lit(2).alias("llm_calls"), F.lit("approved").alias("status"), F.when(F.col("task_id") % 5 == 0, 2).otherwise(1).alias("schema_version"))
+    a = l.select("task_id", F.lit("quality").alias("mode"), (F.col("quality") == 1).alias("passed"), F.col("quality").cast("int").alias("attempts"), F.lit(1).alias("llm_calls"), F.when(F.col("task_id") % 11 == 0, "error").otherwise("failed").alias("status"), F.lit(1).alias("schema_version"))
+    d, long = table(spark, sf, "documents").withColumnRenamed("doc_id", "task_id"), F.coalesce(F.col("n_chars") > 800, F.lit(False))
+    b = d.select("task_id", F.lit("length").alias("mode"), long.alias("passed"), F.when(long, 1).otherwise(2).alias("attempts"), F.lit(2).alias("llm_calls"), F.lit("approved").alias("status"), F.when(F.col("task_id") % 5 == 0, 2).otherwise(1).alias("schema_version"))
     return a.union(b)
 
 
@@ -50,42 +52,42 @@ def complete_records(spark, sf):
     return _records(spark, sf).groupBy("mode").agg(F.count("*").alias("n"), F.count_if(E.is_complete()).alias("complete"))
 
 
-@register("paired_2x2", f"with {_TWO}, p as (select a.passed pa, b.passed pb, a.llm_calls - b.llm_calls dl, a.attempts - b.attempts da from two a join two b using (task_id) where a.mode = 'quality' and b.mode = 'toxic') select count(*) pairs, count_if(pa and pb)::bigint as \"both\", count_if(pa and not pb)::bigint only_a, count_if(not pa and pb)::bigint only_b, count_if(not pa and not pb)::bigint neither, round(avg(dl), 6) diff_llm_calls, round(avg(da), 6) diff_attempts from p")
+@register("paired_2x2", f"with {_TWO}, p as (select a.passed pa, b.passed pb, a.llm_calls - b.llm_calls dl, a.attempts - b.attempts da from two a join two b using (task_id) where a.mode = 'quality' and b.mode = 'length') select count(*) pairs, count_if(pa and pb)::bigint as \"both\", count_if(pa and not pb)::bigint only_a, count_if(not pa and pb)::bigint only_b, count_if(not pa and not pb)::bigint neither, round(avg(dl), 6) diff_llm_calls, round(avg(da), 6) diff_attempts from p")
 def paired_2x2(spark, sf):
     """Both modes of a task against each other."""
-    return E.paired(_two(spark, sf), "quality", "toxic")
+    return E.paired(_two(spark, sf), "quality", "length")
 
 
-@register("pivot_cells", f"with {_TWO}, c as (select task_id, mode, case when status = 'error' then 'error' else (case when passed then 'PASS' else 'FAIL' end) || ' a=' || attempts || ' c=' || llm_calls end cell from two) select d.doc_id task_id, coalesce(max(cell) filter (mode = 'quality'), '-') quality, coalesce(max(cell) filter (mode = 'toxic'), '-') toxic from documents d left join c on c.task_id = d.doc_id group by 1")
+@register("pivot_cells", f"with {_TWO}, c as (select task_id, mode, case when status = 'error' then 'error' else (case when passed then 'PASS' else 'FAIL' end) || ' a=' || attempts || ' c=' || llm_calls end cell from two) select d.doc_id task_id, coalesce(max(cell) filter (mode = 'quality'), '-') quality, coalesce(max(cell) filter (mode = 'length'), '-') as length from documents d left join c on c.task_id = d.doc_id group by 1")
 def pivot_cells(spark, sf):
     """One row a task, one column a mode."""
-    return E.cells(_tasks(spark, sf), _two(spark, sf), ("quality", "toxic"))
+    return E.cells(_tasks(spark, sf), _two(spark, sf), ("quality", "length"))
 
 
 @register("incomplete_pairs", f"with {_TWO}, f as (select task_id from two where status in ('approved', 'failed') and schema_version = 1 group by 1 having count(distinct mode) = 2) select doc_id task_id from documents where doc_id not in (select task_id from f)")
 def incomplete_pairs(spark, sf):
     """Tasks without a full pair."""
-    return E.incomplete_pairs(_tasks(spark, sf), _two(spark, sf), "quality", "toxic")
+    return E.incomplete_pairs(_tasks(spark, sf), _two(spark, sf), "quality", "length")
 
 
-@register("paired_ids", f"with {_TWO} select task_id from two where mode = 'quality' intersect select task_id from two where mode = 'toxic'")
+@register("paired_ids", f"with {_TWO} select task_id from two where mode = 'quality' intersect select task_id from two where mode = 'length'")
 def paired_ids(spark, sf):
     """Tasks that both modes have."""
     two = _two(spark, sf)
-    return two.where("mode = 'quality'").select("task_id").intersect(two.where("mode = 'toxic'").select("task_id"))
+    return two.where("mode = 'quality'").select("task_id").intersect(two.where("mode = 'length'").select("task_id"))
 
 
-@register("unknown_ids", "select doc_id task_id from labels except select doc_id from documents where n_chars % 2 = 0")
+@register("unknown_ids", "select doc_id task_id from documents except select doc_id from labels")
 def unknown_ids(spark, sf):
     """Ids asked for that no task has."""
-    asked = table(spark, sf, "labels").select(F.col("doc_id").alias("task_id"))
-    return asked.exceptAll(table(spark, sf, "documents").where("n_chars % 2 = 0").select(F.col("doc_id").alias("task_id"))).distinct()
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("task_id"))
+    return asked.exceptAll(table(spark, sf, "labels").select(F.col("doc_id").alias("task_id"))).distinct()
 
 
-@register("grid_pending", f"with {_TWO}, g as (select doc_id task_id, mode from documents, (values ('quality'), ('toxic')) m(mode)) select task_id, mode from g anti join (select * from two where status in ('approved', 'failed') and schema_version = 1) d using (task_id, mode)")
+@register("grid_pending", f"with {_TWO}, g as (select doc_id task_id, mode from documents, (values ('quality'), ('length')) m(mode)) select task_id, mode from g anti join (select * from two where status in ('approved', 'failed') and schema_version = 1) d using (task_id, mode)")
 def grid_pending(spark, sf):
     """Cells of the grid still to run."""
-    modes = spark.createDataFrame([("quality", 0), ("toxic", 1)], "mode string, mode_no int")
+    modes = spark.createDataFrame([("quality", 0), ("length", 1)], "mode string, mode_no int")
     return E.pending(_tasks(spark, sf), modes, _two(spark, sf))
 
 

@@ -118,22 +118,46 @@ def classify_runs(spark, sf):
     return _events(spark, sf).select("event_id", A.classify(F.lit(""), out, F.lit(""), F.lit(0), code).alias("category"))
 
 
-_MSG = (
-    "solution.py:5: AttributeError: module 'math' has no attribute 'sqroot'", "ImportError: cannot import name 'f' from 'json'", "ImportError: cannot import name 'f' from 'solution'",
-    "TypeError: g() got an unexpected keyword argument 'b'", "AssertionError: 1 != 2", "ZeroDivisionError: division by zero",
-)
-_WANT = """(values (0, 'api_misuse', 'code', 'math.sqroot', 'math sqroot'), (1, 'api_misuse', 'unknown', 'json.f', 'json f'), (2, 'import_error', 'code', 'solution.f', ''),
-(3, 'api_misuse', 'unknown', 'g;g() kwarg:b', 'g'), (4, 'assertion_failure', 'unknown', '', ''), (5, 'runtime_error', 'unknown', '', '')) v(k, category, fault, suspects, first_query)"""
-
-
-@register("analyze_runs", f"select event_id, category, fault, suspects, first_query, category = 'api_misuse' needs_docs from events join {_WANT} on k = event_id % 6")
+#: Runs by kind: the category they came with, their traceback, and what the analysis says of them. {a} and {b} are words of a turn's text.
+_RUNS = (
+    ("runtime_error", "solution.py:5: AttributeError: module '{a}' has no attribute '{b}'", "api_misuse", "code", "{a}.{b}", " - see {a}.{b}", "{a} {b}"),
+    ("import_error", "ImportError: cannot import name '{b}' from '{a}'", "api_misuse", "unknown", "{a}.{b}", "", "{a} {b}"),
+    ("import_error", "ImportError: cannot import name '{b}' from 'solution'", "import_error", "code", "solution.{b}", "", ""),
+    ("runtime_error", "test_solution.py:9: TypeError: {a}() got an unexpected keyword argument '{b}'", "api_misuse", "unknown", "{a}, {a}() kwarg:{b}", "", "{a};{a} {b}"),
+    ("runtime_error", "TypeError: {a}() missing 1 required positional argument: '{b}'", "api_misuse", "unknown", "{a}, {a}() signature", "", "{a};{a} signature"),
+    ("import_error", "ModuleNotFoundError: No module named '{a}'", "import_error", "code", "{a}", "", ""),
+    ("runtime_error", "AttributeError: '{a}' object has no attribute '{b}'", "runtime_error", "unknown", "{a}.{b}", "", ""),
+    ("assertion_failure", "AssertionError: {a} != {b}", "assertion_failure", "unknown", "", "", ""),
+    ("timeout", "", "timeout", "code", "", "", ""),
+    ("no_tests", "", "no_tests", "tests", "", "", ""),
+    ("runtime_error", "solution.py:2: TypeError: {a}() got multiple values for argument '{b}'", "api_misuse", "code", "kwarg:{b}", "", "{b}"),
+    ("runtime_error", "TypeError: {a}() got an invalid keyword argument '{b}'", "api_misuse", "unknown", "{a}, {a}() kwarg:{b}", "", "{a};{a} {b}"),
+)
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_RUN_VALUES = ", ".join(
+    f"({k}, {_quoted(said.partition('.py:')[2].partition(': ')[2] or said)}, {_quoted(cat)}, {_quoted(fault)}, {_quoted(names)}, {_quoted(see)}, {_quoted(asked)}, {_quoted(A.MEANING.get(cat, ''))}, "
+    f"{_quoted(('tests: ' if fault == 'tests' else 'code: ') + A.TODO[cat].replace('{}', names or 'what failed'))})"
+    for k, (_, said, cat, fault, names, see, asked) in enumerate(_RUNS)
+)
+_WORDS_OF = "'m' || lower(regexp_extract(coalesce(text, ''), '[A-Za-z]{2,}')) a, 'n' || lower(regexp_extract(coalesce(text, ''), '[A-Za-z]{2,}[^A-Za-z]+([A-Za-z]+)', 1)) b"
+
+
+@register("analyze_runs", f"""with t as (select conv_id, turn, {_WORDS_OF}, (conv_id + turn) % {len(_RUNS)} k from conversations), v(k, said, category, fault, names, see, asked, silent, plan) as (values {_RUN_VALUES}),
+f as (select conv_id, turn, category, fault, silent, {", ".join(f"replace(replace({c}, '{{a}}', a), '{{b}}', b) {c}" for c in ("said", "names", "see", "asked", "plan"))} from t join v using (k))
+select conv_id, turn, category, fault, names suspects, case when said = '' then silent else substr(said || see, 1, 200) end root_cause, substr(plan, 1, 240) fix_plan,
+case when category = 'api_misuse' then asked || ';' || substr(regexp_extract(said, ': (.*)', 1), 1, 80) else '' end queries, category = 'api_misuse' needs_docs from f""")
 def analyze_runs(spark, sf):
-    """The analysis of failed runs: category, fault, suspects, what to look up."""
-    message = F.get(F.array(*map(F.lit, _MSG)), (F.col("event_id") % 6).cast("int"))
-    base = F.get(F.array(*map(F.lit, ("runtime_error", "import_error", "import_error", "runtime_error", "assertion_failure", "runtime_error"))), (F.col("event_id") % 6).cast("int"))
-    run = F.struct(F.lit(False).alias("passed"), base.alias("category"), F.array(F.struct(F.lit("").alias("message"), message.alias("traceback"))).alias("failures"), F.lit("").alias("stdout"), F.lit("").alias("stderr"))
-    out = A.analyze(_events(spark, sf).select("event_id", run.alias("run"), F.lit("").alias("provided_tests")))
-    return out.select("event_id", "category", "fault", F.array_join("suspect_symbols", ";").alias("suspects"), F.coalesce(F.get("retrieval_queries", F.lit(0)), F.lit("")).alias("first_query"), "needs_docs")
+    """The analysis of failed runs, every family of messages with words of the texts: category, fault, suspects, cause, plan, what to look up."""
+    text = F.coalesce("text", F.lit(""))
+    a = F.concat(F.lit("m"), F.lower(F.regexp_extract(text, "[A-Za-z]{2,}", 0)))
+    b = F.concat(F.lit("n"), F.lower(F.regexp_extract(text, "[A-Za-z]{2,}[^A-Za-z]+([A-Za-z]+)", 1)))
+    kind = ((F.col("conv_id") + F.col("turn")) % len(_RUNS)).cast("int")
+    of = lambda i: F.get(F.array(*[F.lit(r[i]) for r in _RUNS]), kind)
+    said = F.replace(F.replace(of(1), F.lit("{a}"), a), F.lit("{b}"), b)
+    failures = F.filter(F.array(F.struct(F.lit("").alias("message"), said.alias("traceback"))), lambda f: f["traceback"] != "")
+    run = F.struct(F.lit(False).alias("passed"), of(0).alias("category"), failures.alias("failures"), F.lit("").alias("stdout"), F.lit("").alias("stderr"))
+    out = A.analyze(table(spark, sf, "conversations").select("conv_id", "turn", run.alias("run"), F.lit("").alias("provided_tests")))
+    return out.select("conv_id", "turn", "category", "fault", F.array_join("suspect_symbols", ", ").alias("suspects"), "root_cause", "fix_plan", F.array_join("retrieval_queries", ";").alias("queries"), "needs_docs")
 
 
 _REPORTS = """with p as (select page_id, coalesce(html, '') html, coalesce(url, '') url, page_id % 7 = 3 broken from pages)
@@ -245,6 +269,31 @@ def prompts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", P.generate(F.col("text"), docs, given, 40)["human"].alias("human"))
 
 
+_AGAIN = """with t as (select conv_id, turn, coalesce(text, '') x, coalesce(role, '') r, chr(10) n from conversations),
+f as (select conv_id, turn, x, r, n, 'Category: runtime_error' || n || n || 'Failing tests: t' || turn || ', unknown' || n || n || substr('Exception: KeyError: ' || x, 1, 300)
+  || case when trim(x, ' ' || chr(9) || chr(10) || chr(13)) = '' then '' else n || n || 'Traceback, its end:' || n || case when length(x) > 1500 then right(x, 1500) else x end end || case when r = '' then '' else n || n || 'Output, its end:' || n || r end s from t),
+a as (select *, s || n || n || 'Root cause: KeyError: ' || turn || n || 'Plan: code: look' || n || 'Fault: code' || n || 'Suspects: ' || r || '.x, y' m from f)
+select conv_id, turn, case when length(m) > 1500 then substr(m, 1, 1500) || n || '...[truncated]' else m end analysis,
+'Task:' || n || x || case when r = '' then '' else n || n || 'Code:' || n || r end || n || n || 'What failed:' || n || s || n || n || 'Earlier failures:' || n || 'f2' || n || 'f3' || n || r || case when turn % 2 = 0 then n || n || 'A reviewer says:' || n || 'again' else '' end
+  || n || n || 'Documentation:' || n || '[a] one' || n || n || '[b] two' || n || n || 'Give the whole corrected module and tests.' revision from a"""
+
+
+@register("prompts_again", _AGAIN)
+def prompts_again(spark, sf):
+    """Later messages to the model: a failed run to analyse, and one to revise with what failed before, three failures at most."""
+    from corvane.plans import prompts as P
+
+    x, r = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    failures = F.array(F.struct(F.concat(F.lit("t"), F.col("turn").cast("string")).alias("test_name"), x.alias("traceback")), F.struct(F.lit(None).cast("string").alias("test_name"), F.lit("other").alias("traceback")))
+    run = F.struct(failures.alias("failures"), r.alias("stdout"), F.lit(" ").alias("stderr"))
+    docs = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in (("a", "one"), ("b", "two"), ("c", "x" * 100))])
+    said = (F.lit("runtime_error"), F.lit("KeyError"), x)
+    summary = P.failure(run, *said)
+    first = P.analyze(run, *said, F.concat(F.lit("KeyError: "), F.col("turn").cast("string")), F.lit("code: look"), F.lit("code"), F.array(F.concat(r, F.lit(".x")), F.lit("y")))
+    again = P.revise(x, r, F.lit(""), summary, F.when(F.col("turn") % 2 == 0, "again"), F.array(F.lit("f0"), F.lit("f1"), F.lit("f2"), F.lit("f3"), r), docs, 40)
+    return table(spark, sf, "conversations").select("conv_id", "turn", first["human"].alias("analysis"), again["human"].alias("revision"))
+
+
 @register("add_usage", """with p as (select event_id, 'in' k, case when event_id % 3 = 0 then event_id end v from events union all select event_id, 'out', user_id from events union all select event_id, 'in', case when event_id % 2 = 0 then 5 end from events)
  select event_id, k, sum(v)::bigint n from p group by all having count(v) > 0""")
 def add_usage(spark, sf):

@@ -198,6 +198,25 @@ def pending_reviews(states: DataFrame) -> DataFrame:
     return waiting.select("task_id", "attempt", "human_rounds", "code", "tests", F.col("run.category").alias("category"), "doc_ids")
 
 
+def rag_enabled(nodes: Column | str = "nodes") -> Column:
+    """Whether a run looks documents up: then that is its first node."""
+    return F.coalesce(F.get(F.col(nodes) if isinstance(nodes, str) else nodes, F.lit(0)) == "retrieve", F.lit(False))
+
+
+def responses(states: DataFrame) -> DataFrame:
+    """What a caller is told of each run: (task_id, status, final_code, code, tests, attempts, retries_used, retrieval_queries, retrieved_doc_ids, duration_s, failure_reason).
+
+    A run without an id gets one, one without a status is running; final_code is that of an approved run; times are null while a run goes on.
+    """
+    none = F.array().cast("array<string>")
+    status = F.coalesce("status", F.lit("running"))
+    return states.select(
+        F.coalesce(F.nullif(F.col("task_id"), F.lit("")), F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("task_id"), status.alias("status"), F.when(status == "approved", F.col("code")).alias("final_code"), F.coalesce("code", F.lit("")).alias("code"),
+        F.coalesce("tests", F.lit("")).alias("tests"), F.coalesce("attempt", F.lit(0)).alias("attempts"), F.coalesce("retries_used", F.lit(0)).alias("retries_used"), F.coalesce("retrieval_queries", none).alias("retrieval_queries"),
+        F.transform(F.coalesce("doc_ids", none), lambda x: F.coalesce(x, F.lit(""))).alias("retrieved_doc_ids"), F.round((F.unix_micros("finished_ts") - F.unix_micros("started_ts")) / 1e6, 3).alias("duration_s"), "failure_reason",
+    )
+
+
 def save(states: DataFrame, path: str) -> None:
     """States for another session: what waits for a review outlives this driver (tables in between do not)."""
     states.write.mode("overwrite").parquet(path)

@@ -26,9 +26,14 @@ def _part(title: str, body: Column) -> Column:
 
 def context(docs: Column, max_chars: int = 6000) -> Column:
     """Texts of docs array<struct<id,text>> in order while they fit: each counts with two separators; the first overflow ends it."""
-    sizes = F.transform(docs, lambda d: F.length(d["text"]) + 2)
-    fits = lambda i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x) <= max_chars
-    return F.array_join(F.transform(F.filter(docs, lambda _, i: fits(i)), lambda d: F.concat(F.lit("["), d["id"], F.lit("] "), d["text"])), "\n\n")
+    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
+
+    def add(so_far: Column, d: Column) -> Column:
+        used = F.when(so_far["used"] >= 0, so_far["used"] + F.coalesce(F.length(d["text"]), F.lit(0)) + 2)
+        shown = F.concat(so_far["text"], F.when(so_far["used"] > 0, "\n\n").otherwise(""), F.lit("["), blank_if_null(d["id"]), F.lit("] "), blank_if_null(d["text"]))
+        return F.when(used <= max_chars, F.struct(shown.alias("text"), used.alias("used"))).otherwise(F.struct(so_far["text"].alias("text"), F.lit(-1).alias("used")))
+
+    return F.aggregate(docs, empty, add, lambda x: x["text"])
 
 
 def generate(task: Column, docs: Column, provided_tests: Column, max_chars: int = 6000) -> Column:

@@ -104,7 +104,7 @@ def dense_filtered(spark, sf):
     return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("dense_multi_max", f"with {_DENSE.format(asked='vec_id % 100 = 0')}, b as (select qset, id, max(score) score from dr where rank <= 5 group by all having max(score) >= 0.2), r as (select *, row_number() over (partition by qset order by round(score, 9) desc, id) rank from b) select qset, id, round(score, 6) score, rank from r where rank <= 5")
+@register("dense_multi_max", f"with {_DENSE.format(asked='vec_id % 100 = 0')}, b as (select qset, id, max(score) score, min([qid, rank]) came from dr where rank <= 5 group by all having max(score) >= 0.2), r as (select *, row_number() over (partition by qset order by round(score, 9) desc, came, id) rank from b) select qset, id, round(score, 6) score, rank from r where rank <= 5")
 def dense_multi_max(spark, sf):
     """Queries of one label merged: five of each, the best score per vector, a floor, five in all."""
     asked = _asked(spark, sf)
@@ -151,9 +151,9 @@ _HYBRID = (
     + ", "
     + _DENSE.format(asked="vec_id in (select item_id from benchmark)")
     + """, dk as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) rank from dr where rank <= 10 and score >= 0.2),
-parts as (select qid % 10 qset, id, 1.0::double / (60 + rank) part, score cos from dk union all select qid % 10, id, 1.0::double / (60 + rank), null from bm where rank <= 10),
-fu as (select qset, id, sum(part) score, coalesce(max(cos), 0) best from parts group by all),
-fr as (select *, row_number() over (partition by qset order by round(score, 9) desc, round(best, 9) desc, id) rank from fu)
+parts as (select qid % 10 qset, id, 1.0::double / (60 + rank) part, score cos, [qid, 0, rank] came from dk union all select qid % 10, id, 1.0::double / (60 + rank), null, [qid, 1, rank] from bm where rank <= 10),
+fu as (select qset, id, sum(part) score, coalesce(max(cos), 0) best, min(came) came from parts group by all),
+fr as (select *, row_number() over (partition by qset order by round(score, 9) desc, round(best, 9) desc, came, id) rank from fu)
 select qset, id, round(score, 6) score, round(best, 6) best, rank, 'hybrid' route from fr where rank <= 10"""
 )
 
@@ -174,9 +174,9 @@ _ADAPTIVE = (
     + ", "
     + _DENSE.format(asked="vec_id in (select item_id from benchmark)")
     + """, dk as (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) rank from dr where rank <= 5 and score >= 0.2),
-parts as (select qid qset, id, 1.0::double / (60 + rank) part, score cos from dk union all select qid, id, 1.0::double / (60 + rank), null from bm where rank <= 5),
-fu as (select qset, id, sum(part) score, coalesce(max(cos), 0) best from parts group by all),
-fr as (select *, row_number() over (partition by qset order by round(score, 9) desc, round(best, 9) desc, id) rank from fu)
+parts as (select qid qset, id, 1.0::double / (60 + rank) part, score cos, [0, rank] came from dk union all select qid, id, 1.0::double / (60 + rank), null, [1, rank] from bm where rank <= 5),
+fu as (select qset, id, sum(part) score, coalesce(max(cos), 0) best, min(came) came from parts group by all),
+fr as (select *, row_number() over (partition by qset order by round(score, 9) desc, round(best, 9) desc, came, id) rank from fu)
 select qset, id, round(score, 6) score, round(best, 6) best, rank, case when sym then 'hybrid' else 'dense' end route from fr join gate on qid = qset where rank <= 5"""
 )
 

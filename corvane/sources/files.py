@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.chunking import splitter
@@ -11,11 +11,16 @@ from corvane.functions.text import stable_id
 SUFFIXES = ("md", "rst", "txt")
 
 
+def is_text_file(path: Column | str, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """Whether a path's suffix is one of text files, in either case."""
+    return F.coalesce(F.lower(F.col(path) if isinstance(path, str) else path).rlike(rf"\.({'|'.join(suffixes)})\z"), F.lit(False))
+
+
 def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(path, rel, content) of all files below root with a suffix, in either case; rel is relative to root, with slashes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
-    named = raw.where(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})\z"))
+    named = raw.where(is_text_file("path", suffixes))
     rel = F.regexp_replace(F.col("path"), F.lit(r"\A[a-z0-9+.-]+:/*(?=/)"), F.lit(""))
     start = base.split(":", 1)[1] if ":" in base.split("/", 1)[0] else base
     start = "/" + start.lstrip("/")
