@@ -246,7 +246,7 @@ def _is_ipv6(text: str) -> bool:
 
 
 _MONTH = "|".join(MONTHS)
-_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
 _NAMED = re.compile(rf"(?i)(?<![\w])(?:[0-9]{{1,2}} (?:{_MONTH}) [0-9]{{4}}|(?:{_MONTH}) [0-9]{{1,2}},? [0-9]{{4}})(?!\w)")
@@ -275,9 +275,11 @@ def values(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of what looks like a value, in no order; not yet validated."""
     at = text.find("@")
     while at >= 0:
-        left, right = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if left and right:
-            yield left.start(), right.end(), "email"
+        left, right = at, _DOMAIN.match(text, at + 1)
+        while right and left and text[left - 1] in _LOCAL:  # back to the first sign that is in no local part: stretches between two @ are walked once
+            left -= 1
+        if left < at and right:
+            yield left, right.end(), "email"
         at = text.find("@", at + 1)
     if not re.search("[0-9]", text):
         return

@@ -2,8 +2,8 @@
 
 Terms are the words of a text and the beginnings of its words (stems of compounds), hashed from bytes; a term's value is
 its density in the text, dampened. The machine is trained on the driver from a bounded, stratified sample of labelled rows
-(``POSITIVE`` and ``NEGATIVE`` at most, those with the least hash of their id, and of these so many as have ``ENTRIES`` terms together) with the
-terms that tell the classes apart best, and
+(``POSITIVE`` and ``NEGATIVE`` ids at most, those with the least hash, of their different texts as many again, and of these so many as have ``ENTRIES`` terms together, a text
+with more than half of these alone being left out) with the terms that tell the classes apart best, and
 scores every whole text in one pass without a shuffle. The prior of all labelled rows, not the sample's, sets the intercept.
 
 Defined cases: null and empty texts get the prior's score; labels of ids without a text, or null labels, are not used; of
@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not ids:
         return fit([], prior)
     sample = docs.sparkSession.createDataFrame(ids, f"id {named.schema['id'].dataType.simpleString()}, y int")
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(sample), "id").select("y", F.xxhash64("id").alias("spot"), "text")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(sample), "id").select("y", F.xxhash64("id", "text").alias("spot"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,8 +225,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *lists, pa.array(words.astype(np.int64))], ["y", "spot", "k", "c", "n"])
 
     counted = stash(map_arrow(src, run, "y int, spot bigint, k array<int>, c array<int>, n bigint"), "toxicity-sample")
-    last = within(counted.groupBy("y", "spot").agg(F.sum(F.size("k")).alias("entries")).collect(), "y", ENTRIES // 2)
-    chosen = counted.where(" or ".join(f"(y = {y} and spot <= {spot})" for y, spot in last.items()) or "false")
+    # Rows alike have one spot and are taken once; of each class so many rows at most reach the driver, and so many entries. A row with more than these alone is left out.
+    room = ENTRIES // 2
+    fits = counted.where(F.size("k") <= room)
+    spots = [r for y, most in ((1, positive), (0, negative)) for r in fits.where(F.col("y") == y).groupBy("y", "spot").agg(F.max(F.size("k")).alias("entries")).orderBy("spot").limit(most).collect()]
+    last = within(spots, "y", room)
+    chosen = fits.where(" or ".join(f"(y = {y} and spot <= {spot})" for y, spot in last.items()) or "false").dropDuplicates(["y", "spot"])
     cols = [chunked(c) for c in chosen.select("y", "k", "c", "n").toArrow().columns]
     off = np.asarray(cols[1].offsets)
     k, c = cols[1].values.to_numpy().view(np.uint32), cols[2].values.to_numpy()
