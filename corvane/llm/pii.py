@@ -135,9 +135,11 @@ class Pseudonyms:
         return x
 
     def _chars(self, kind: str, text: str) -> str:
-        core = re.sub("[^A-Za-z0-9]", "", text)
-        x, n = _number(core)
-        return _poured(_spell(self.f.permute(kind, n, x, self.undo), core), text)
+        core, out = re.sub("[^A-Za-z0-9]", "", text), []
+        for a in range(0, len(core), 64):  # longer ones in stretches, each with a permutation of its own: time grows with the length
+            x, n = _number(core[a : a + 64])
+            out.append(_spell(self.f.permute(f"{kind}:{a}" if a else kind, n, x, self.undo), core[a : a + 64]))
+        return _poured("".join(out), text)
 
     def email(self, text: str) -> str | None:
         local, _, domain = text.rpartition("@")

@@ -10,14 +10,17 @@ from corvane.llm import pii, toxicity
 
 def test_long_local_parts_are_replaced_whole():
     key = b"k"
-    for n in (1, 63, 64, 65, 70, 500, 100_000):
-        local = "".join(random.Random(n).choice("abcdefgh0123._%+-") for _ in range(n - 1)) + "z"
+    began = time.perf_counter()
+    for n in (1, 63, 64, 65, 70, 500, 1_000_000):
+        rng = random.Random(n)
+        local = "".join(rng.choice("abcdefgh0123._%+-") for _ in range(n - 1)) + "z"
         text = f"to <{local}@example.org>, x"
         new = pii.replaced(text, pii.Pseudonyms(key))[0]
         assert new.startswith("to <") and new.endswith("@example.org>, x") and len(new) == len(text) and new != text
         assert pii.replaced(new, pii.Pseudonyms(key, undo=True))[0] == text
         if n > 100:
             assert new[4 : 4 + n - 64] != local[: n - 64]  # what lies before the last 64 characters too
+    assert time.perf_counter() - began < 30
     assert [v for v in pii.values("@a.bc é@x.de a@b")] == []
 
 
