@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +13,7 @@ from corvane.catalog import register, table
 from corvane.functions import text as X
 from corvane.functions.arrays import histogram, unrolled
 from corvane.functions.vectors import embed_dense, hash_embed
+from corvane.operators import evaluation as E
 from corvane.operators import fusion, store
 from corvane.operators.dense import DenseIndex
 from corvane.operators.lexical import LexicalIndex
@@ -42,11 +45,11 @@ def _docs(spark, sf):
 _INDEXES: dict[tuple, object] = {}
 
 
-def _kept(spark, sf, name, build):
+def _kept(spark, sf, name, build, kind=""):
     """What is built once for a session's queries on the same files, told by their names, sizes and times."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
-    key = (spark.sparkContext.applicationId, name, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, name, kind, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
     if key not in _INDEXES:
         _INDEXES[key] = build()
     return _INDEXES[key]
@@ -145,6 +148,42 @@ def store_searches(spark, sf):
     return both.select("route", "qid", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
+_QUALITY = (
+    "with "
+    + _BM25.format(where="")
+    + """, texts as (select 'd' src, doc_id id, text from documents union all select 'q', item_id, text from benchmark),
+tk as (select src, id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_.]+')) t from texts), ce as (select src, id, (('0x' || substr(sha256(t), 1, 16))::ubigint % 64)::int cell, count(*) n from tk group by all),
+un as (select src, id, cell, n / sqrt(sum(n * n) over (partition by src, id)) w from ce),
+dv as (select q.id qid, d.id, sum(q.w * d.w) score from un q join un d on q.src = 'q' and d.src = 'd' and q.cell = d.cell group by all),
+dn as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) rank from dv qualify rank <= 20),
+parts as (select qid, id, 1.0::double / (60 + rank) part, score cos, [0, rank] came from dn union all select qid, id, 1.0::double / (60 + rank), null, [1, rank] from bm where rank <= 20),
+fu as (select qid, id, sum(part) score, coalesce(max(cos), 0) best, min(came) came from parts group by all),
+fr as (select *, row_number() over (partition by qid order by round(score, 9) desc, round(best, 9) desc, came, id) rank from fu),
+r as (select 'words' route, qid, id, rank from bm union all select 'vectors', qid, id, rank from dn union all select 'hybrid', qid, id, rank from fr),
+hits as (select route, qid, min(rank) as rank from r join documents d on d.doc_id = r.id join benchmark b on b.item_id = r.qid where rank <= 20 and contains(lower(d.text), lower(b.text)) group by all),
+ev as (select m.route kind, item_id, f.rank from benchmark cross join (values ('words'), ('vectors'), ('hybrid')) m(route) left join hits f on f.qid = item_id and f.route = m.route)
+select kind, count(*) queries, round(avg((coalesce(rank, 99) <= 1)::int), 6) hit_1, round(avg((coalesce(rank, 99) <= 5)::int), 6) hit_5, round(avg((coalesce(rank, 99) <= 10)::int), 6) hit_10, round(avg(coalesce(1.0::double / rank, 0)), 6) mrr, round(avg(rank), 6) mean_rank from ev group by grouping sets ((), (kind))"""
+)
+
+
+def _text_cells(spark, sf):
+    return _kept(spark, sf, "documents", lambda: DenseIndex.build(embed_dense(_docs(spark, sf), "doc_id", "text")), "vectors")
+
+
+@register("search_quality", _QUALITY)
+def search_quality(spark, sf):
+    """How soon a document comes that holds the item's whole text, by words, by hashed vectors and by both: hit rates, reciprocal and mean ranks. Only what was found is looked into."""
+    items, k = _items(spark, sf), 20
+    asked = items.join(embed_dense(items, "qid", "text").withColumnRenamed("id", "qid"), "qid").withColumn("qset", F.col("qid"))
+    found = {"words": _index(spark, sf).search(items, k), "vectors": _text_cells(spark, sf).search(asked, k)}
+    found["hybrid"] = fusion.hybrid(_text_cells(spark, sf), _index(spark, sf), asked, k, min_score=0.0, adaptive=False).withColumnRenamed("qset", "qid")
+    ranks = reduce(DataFrame.unionByName, [df.select(F.lit(route).alias("kind"), "qid", "id", F.col("rank").cast("bigint").alias("rank")) for route, df in found.items()])
+    held = ranks.join(_docs(spark, sf).select(F.col("doc_id").alias("id"), F.lower("text").alias("held")), "id").join(items.select("qid", F.lower("text").alias("asked")), "qid")
+    first = held.where(F.contains("held", "asked")).groupBy("kind", "qid").agg(F.min("rank").alias("rank"))
+    every = items.select("qid", F.explode(F.array(*map(F.lit, found))).alias("kind"))
+    return E.ranking_metrics(every.join(first, ["kind", "qid"], "left"))
+
+
 _HYBRID = (
     "with "
     + _BM25.format(where="")
