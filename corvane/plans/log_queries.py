@@ -53,11 +53,19 @@ def props_json(spark, sf):
     return parsed.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
-@register("valid_lines", "select count(*) n, count_if(event_id % 10 <> 0)::bigint valid from events")
+@register("valid_lines", "select event_type node, count(*) n, round(sum(value::decimal(28,6)), 4)::double total from events where event_id % 10 <> 0 group by 1")
 def valid_lines(spark, sf):
-    """Log lines that parse, among some that are cut off."""
-    line = F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 3)).otherwise(F.col("props"))
-    return _events(spark, sf).select(F.try_parse_json(line).alias("v")).agg(F.count("*").alias("n"), F.count("v").alias("valid"))
+    """A log of all events, every tenth line of which is cut off and every hundredth followed by a blank one, written and read back: what of it is valid."""
+    import uuid
+
+    from corvane.sources.durable import gone_at_exit, shared_dir
+
+    whole = F.to_json(F.struct(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("node"), F.col("value").alias("duration_ms"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts")))
+    line = F.concat(F.when(F.col("event_id") % 10 == 0, F.substring(whole, 1, 20)).otherwise(whole), F.when(F.col("event_id") % 100 == 1, "\n  ").otherwise(""))
+    folder = f"{shared_dir(spark)}/corvane-log-{uuid.uuid4().hex}"
+    gone_at_exit(spark, folder)
+    _events(spark, sf).select(line.alias("value")).write.text(folder)
+    return L.read_log(spark, folder).groupBy("node").agg(F.count("*").alias("n"), F.round(F.sum(F.col("duration_ms").cast("decimal(28,6)")), 4).cast("double").alias("total"))
 
 
 @register("event_windows", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, round(sum(value::decimal(28,6)), 4)::double total from events group by all")
@@ -311,15 +319,23 @@ def call_gaps(spark, sf):
     return L.running(e, "user_id", "event_id", "t").select("event_id", F.round("delta_t", 3).alias("gap_s"))
 
 
-@register("deepest_files", "select event_id, case event_id % 3 when 0 then 'solution.py' when 1 then 'test_solution.py' end file from events")
+@register("deepest_files", "select conv_id, turn, case (conv_id + turn) % 3 when 0 then 'solution.py' when 1 then 'test_solution.py' end file from conversations")
 def deepest_files(spark, sf):
-    """The file of a trace's last place."""
-    trace = F.when(F.col("event_id") % 3 == 0, "test_solution.py:3: in t\nsolution.py:9: KeyError").when(F.col("event_id") % 3 == 1, "solution.py:9: in f\ntest_solution.py:3: AssertionError").otherwise("no place")
-    return _events(spark, sf).select("event_id", A.deepest_file(trace).alias("file"))
+    """The file of a trace's last place, with the turns' texts as what was printed between."""
+    kind, text = (F.col("conv_id") + F.col("turn")) % 3, F.coalesce("text", F.lit(""))
+    first, last = F.when(kind == 0, "test_solution.py:3: in t\n").when(kind == 1, "solution.py:9: in f\n"), F.when(kind == 0, "\nsolution.py:9: KeyError").when(kind == 1, "\ntest_solution.py:3: AssertionError")
+    return table(spark, sf, "conversations").select("conv_id", "turn", A.deepest_file(F.concat(F.coalesce(first, F.lit("")), text, F.coalesce(last, F.lit("")))).alias("file"))
 
 
-@register("exceptions", "select event_id, case event_id % 3 when 0 then 'KeyError' when 1 then 'ValueError' else 'Exception' end as type, case event_id % 3 when 0 then 'key a' when 1 then 'bad: ' || event_id else 'odd end' end message from events")
+@register("exceptions", """with t as (select conv_id, turn, (conv_id + turn) % 5 k, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g')) x from conversations)
+select conv_id, turn, case k when 0 then 'KeyError' when 1 then 'ValueError' when 2 then 'Exception' when 3 then 'ZeroDivisionError' else 'json.JSONDecodeError' end as type,
+case k when 1 then rtrim('bad: ' || x) when 2 then case when x = '' then 'so' else substr(x, 1, 120) end else x end message from t""")
 def exceptions(spark, sf):
-    """The last exception and its message."""
-    text = F.when(F.col("event_id") % 3 == 0, "Traceback\nsolution.py:9: KeyError: key a").when(F.col("event_id") % 3 == 1, F.concat(F.lit("KeyError: x\nValueError: bad: "), F.col("event_id").cast("string"), F.lit("\n"))).otherwise("so\nodd end")
-    return _events(spark, sf).select("event_id", A.exception_of(text).alias("x")).select("event_id", "x.type", "x.message")
+    """The last exception and its message: in a file, the last of several lines, none, marked, and behind other text; messages are the turns' texts."""
+    kind, x = (F.col("conv_id") + F.col("turn")) % 5, F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = (
+        F.when(kind == 0, said("Traceback\nsolution.py:9: KeyError: ", x)).when(kind == 1, said("KeyError: x\nValueError: bad: ", x, "\n")).when(kind == 2, said("so\n", x))
+        .when(kind == 3, said("E   ZeroDivisionError: ", x)).otherwise(said(x, "\njson.JSONDecodeError: ", x))
+    )
+    return table(spark, sf, "conversations").select("conv_id", "turn", A.exception_of(text).alias("x")).select("conv_id", "turn", "x.type", "x.message")

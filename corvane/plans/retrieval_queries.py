@@ -325,12 +325,12 @@ def cosine_neighbours(spark, sf):
     return v.join(after, "id").select(F.col("id").alias("vec_id"), F.round(cosine(F.col("vec"), F.col("other")), 6).alias("score"))
 
 
-@register("normalized", "select vec_id, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) x0 from embeddings")
+@register("normalized", "with n as (select vec_id, embedding e, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) l from embeddings) select vec_id, i - 1 as i, round(case when l = 0 then e[i] else e[i]::double / l end, 6) x from n, unnest(range(1, len(e) + 1)) u(i)")
 def normalized(spark, sf):
-    """First components of vectors of unit length."""
+    """All components of vectors of unit length."""
     from corvane.functions.vectors import l2_normalize
 
-    return _vectors(spark, sf).select(F.col("id").alias("vec_id"), F.round(l2_normalize(F.col("vec"))[0], 6).alias("x0"))
+    return _vectors(spark, sf).select(F.col("id").alias("vec_id"), F.posexplode(l2_normalize(F.col("vec"))).alias("i", "x")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
 @register("corpus_union", "select kind, count(*) n, sum(length(coalesce(text, '')))::bigint chars from (select 'text' kind, text from documents union all select 'page', html from pages) group by 1")

@@ -14,15 +14,18 @@ def parse_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.parse_tagged("html", "title").alias("title"))
 
 
-@register("reply_bundles", "select conv_id, turn, case when turn % 4 = 3 then '' else 'because' end explanation, case when turn % 4 = 2 then '' else 'x = ' || turn end code, case when turn % 4 = 1 then 'assert x' when turn % 4 = 3 then 'assert ' || turn else '' end tests, case when turn % 4 = 0 then 2 else 0 end n_docs, case when turn % 4 = 2 then 'no code found' end error from conversations")
+@register("reply_bundles", """with t as (select conv_id, turn, turn % 4 k, rtrim('because ' || x) why, rtrim('x = ' || turn || ' # ' || x) code, rtrim('assert ' || turn || ' # ' || x) test
+  from (select *, trim(regexp_replace(coalesce(text, ''), '[`<>]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) x from conversations))
+select conv_id, turn, case when k = 3 then '' else why end explanation, case when k = 2 then '' else code end code, case when k in (1, 3) then test else '' end tests, case when k = 0 then 2 else 0 end n_docs, case when k = 2 then 'no code found' end error from t""")
 def reply_bundles(spark, sf):
-    """Model replies of four forms, parsed into their parts."""
-    t = F.col("turn").cast("string")
+    """Model replies of four forms around the turns' texts, parsed into their parts."""
+    t, x = F.col("turn").cast("string"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[`<>]", ""), F.lit(" \t\n\r"))
+    why, code, test = F.concat(F.lit("because "), x), F.concat(F.lit("x = "), t, F.lit(" # "), x), F.concat(F.lit("assert "), t, F.lit(" # "), x)
     reply = (
-        F.when(F.col("turn") % 4 == 0, F.concat(F.lit("<think>hm</think><explanation>because</explanation><code>\n```python\nx = "), t, F.lit("\n```\n</code><docs_used>a, b</docs_used>")))
-        .when(F.col("turn") % 4 == 1, F.concat(F.lit("<explanation> because <code>x = "), t, F.lit("</code><TESTS>assert x</TESTS>")))
-        .when(F.col("turn") % 4 == 2, F.lit("<explanation>because</explanation> no more"))
-        .otherwise(F.concat(F.lit("so</think>\n```py\nx = "), t, F.lit("\n```\nand\n```\nassert "), t, F.lit("\n```")))
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit("<think>hm</think><explanation>"), why, F.lit("</explanation><code>\n```python\n"), code, F.lit("\n```\n</code><docs_used>a, b</docs_used>")))
+        .when(F.col("turn") % 4 == 1, F.concat(F.lit("<explanation> "), why, F.lit(" <code>"), code, F.lit("</code><TESTS>"), test, F.lit("</TESTS>")))
+        .when(F.col("turn") % 4 == 2, F.concat(F.lit("<explanation>"), why, F.lit("</explanation> no more")))
+        .otherwise(F.concat(F.lit("so</think>\n```py\n"), code, F.lit("\n```\nand\n```\n"), test, F.lit("\n```")))
     )
     out = table(spark, sf, "conversations").select("conv_id", "turn", X.parse_bundle(reply).alias("b"))
     return out.select("conv_id", "turn", "b.explanation", "b.code", "b.tests", F.size("b.docs_used").alias("n_docs"), "b.error")
