@@ -1,29 +1,24 @@
 """The run summary as a stream: keyed state that takes lines late and more than once.
 
-State is kept by run and slice (a hash of a line's block of sequence numbers), so that a run which writes most of the log is shared between tasks; ``merged`` adds the slices up.
-A line counts once, whenever it comes and however often: which numbers have come is kept as a bitmap of ``BLOCK`` numbers. The first and last times are those of the
-least and greatest number, so order of arrival does not matter. State lives in RocksDB and goes on after a restart from its checkpoint.
+A line counts once, whenever it comes and however often: its run and number are kept, so that state is dealt out by lines and no run, large or small, is a unit of work.
+What is new is then added up by run, slice (a hash of a line's block of sequence numbers), node and outcome, of each partition first; ``merged`` adds these up. The first and
+last times are those of the least and greatest number, so order of arrival does not matter. State lives in RocksDB, is read and written by built-ins only, and goes on after a restart
+from its checkpoint. The lines of a batch cost the same however few of them a run has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-BLOCK, SLICES = 512, 16
+BLOCK, SLICES = 512, 4
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: What is known of a slice of a run. Sums of durations and waits are in millionths, so that they are exact.
+#: What is known of the lines of a run's slice with one node and outcome. Sums of durations and waits are in millionths, so that they are exact.
 PARTIAL = (
-    "run string, slice int, n_events bigint, first_seq bigint, started_ts timestamp, last_seq bigint, finished_ts timestamp, duration_e6 bigint, rag boolean, "
-    "node_counts map<string,bigint>, outcomes map<string,bigint>, calls bigint, api_retries bigint, wait_e6 bigint"
+    "run string, slice int, node string, outcome string, n_events bigint, first_seq bigint, started_ts timestamp, last_seq bigint, finished_ts timestamp, duration_e6 bigint, rag boolean, "
+    "calls bigint, api_retries bigint, wait_e6 bigint"
 )
-_TOTALS = "n bigint, first_seq bigint, started bigint, last_seq bigint, finished bigint, duration_e6 bigint, rag boolean, calls bigint, api_retries bigint, wait_e6 bigint"
+_KEY = ("run", "slice", "node", "outcome")
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -35,85 +30,31 @@ def session(spark: SparkSession) -> SparkSession:
     return s
 
 
-class _Summary(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", _TOTALS)
-        self.seen = handle.getMapState("seen", "block bigint", "bits binary")
-        self.counted = handle.getMapState("counted", "kind string, name string", "n bigint")
-
-    def _new(self, seq: np.ndarray) -> np.ndarray:
-        """Places of the numbers that come for the first time; they are known from now on."""
-        _, first = np.unique(seq, return_index=True)
-        out = []
-        for block in np.unique(seq[first] // BLOCK).tolist():
-            mine = first[seq[first] // BLOCK == block]
-            at = (seq[mine] % BLOCK).astype(np.int64)
-            bits = np.unpackbits(np.frombuffer(self.seen.getValue((block,))[0], np.uint8)) if self.seen.containsKey((block,)) else np.zeros(BLOCK, np.uint8)
-            fresh = mine[bits[at] == 0]
-            if len(fresh):
-                bits[at] = 1
-                self.seen.updateValue((block,), (np.packbits(bits).tobytes(),))
-                out.append(fresh)
-        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changed = False
-        for df in rows:
-            fresh = df.iloc[self._new(df["seq"].to_numpy(np.int64))]
-            if not len(fresh):
-                continue
-            changed = True
-            n, first_seq, started, last_seq, finished, duration, rag, calls, retries, wait = self.totals.get() if self.totals.exists() else (0, None, None, None, None, 0, False, 0, 0, 0)
-            seq, at = fresh["seq"].to_numpy(np.int64), fresh["at"].to_numpy()
-            lo, hi = int(seq.argmin()), int(seq.argmax())
-            when = lambda i: None if pd.isna(at[i]) else int(at[i])
-            if first_seq is None or seq[lo] < first_seq:
-                first_seq, started = int(seq[lo]), when(lo)
-            if last_seq is None or seq[hi] > last_seq:
-                last_seq, finished = int(seq[hi]), when(hi)
-            total = lambda c: int(fresh[c].fillna(0).astype(np.int64).sum())
-            self.totals.update((n + len(fresh), first_seq, started, last_seq, finished, duration + total("duration_e6"), bool(rag or fresh["rag"].any()), calls + total("calls"), retries + total("api_retries"), wait + total("wait_e6")))
-            for kind in ("node", "outcome"):
-                for name, more in fresh[kind][fresh[kind].notna() & (fresh[kind] != "")].value_counts().items():
-                    old = self.counted.getValue((kind, name))[0] if self.counted.containsKey((kind, name)) else 0
-                    self.counted.updateValue((kind, name), (int(old) + int(more),))
-        if changed:
-            n, first_seq, started, last_seq, finished, duration, rag, calls, retries, wait = self.totals.get()
-            counts = {"node": {}, "outcome": {}}
-            for (kind, name), (value,) in self.counted.iterator():
-                counts[kind][name] = int(value)
-            time = lambda us: None if us is None else pd.Timestamp(us, unit="us")
-            yield pd.DataFrame([{
-                "run": key[0], "slice": key[1], "n_events": n, "first_seq": first_seq, "started_ts": time(started), "last_seq": last_seq, "finished_ts": time(finished), "duration_e6": duration, "rag": rag,
-                "node_counts": counts["node"], "outcomes": counts["outcome"], "calls": calls, "api_retries": retries, "wait_e6": wait,
-            }])
-
-    def close(self) -> None:
-        pass
-
-
 def partials(events: DataFrame, key: str = "run_id", seq: str = "seq", node: str = "node", outcome: Column | str | None = "outcome", duration: Column | str = "duration_ms", ts: str = "ts", rag_node: str = "retrieve", client: str | None = "llm_client") -> DataFrame:
     """A stream's (or a batch's) lines as slices of summaries (``PARTIAL``), each sent again when it changes: for update mode, in a session of ``session``."""
     col = lambda c: F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c
     e6 = lambda c: F.round(F.coalesce(c, F.lit(0)).cast("decimal(28,6)") * 1_000_000).cast("bigint")
     part = lambda name: F.col(f"{client}.{name}") if client else F.lit(0)
     lines = events.where(F.col(seq).isNotNull()).select(
-        F.col(key).cast("string").alias("run"), F.pmod(F.xxhash64(F.floor(F.col(seq) / BLOCK)), F.lit(SLICES)).cast("int").alias("slice"), F.col(seq).cast("bigint").alias("seq"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
-        e6(col(duration)).alias("duration_e6"), F.coalesce(F.col(node) == rag_node, F.lit(False)).alias("rag"), F.col(node).cast("string").alias("node"), col(outcome).cast("string").alias("outcome"),
+        F.col(key).cast("string").alias("run"), F.pmod(F.xxhash64(F.floor(F.col(seq) / BLOCK)), F.lit(SLICES)).cast("int").alias("slice"), F.col(node).cast("string").alias("node"), col(outcome).cast("string").alias("outcome"),
+        F.col(seq).cast("bigint").alias("seq"), F.col(ts).cast("timestamp").alias("at"), e6(col(duration)).alias("duration_e6"), F.coalesce(F.col(node) == rag_node, F.lit(False)).alias("rag"),
         F.coalesce(part("calls").cast("bigint"), F.lit(0)).alias("calls"), F.coalesce(part("api_retries").cast("bigint"), F.lit(0)).alias("api_retries"), e6(part("wait_s")).alias("wait_e6"),
     )
-    return lines.groupBy("run", "slice").transformWithStateInPandas(_Summary(), PARTIAL, "Update", "None")
+    return lines.dropDuplicates(["run", "seq"]).groupBy(*_KEY).agg(
+        F.count("*").alias("n_events"), F.min("seq").alias("first_seq"), F.min_by("at", "seq").alias("started_ts"), F.max("seq").alias("last_seq"), F.max_by("at", "seq").alias("finished_ts"),
+        F.sum("duration_e6").alias("duration_e6"), F.max("rag").alias("rag"), F.sum("calls").alias("calls"), F.sum("api_retries").alias("api_retries"), F.sum("wait_e6").alias("wait_e6"),
+    )
 
 
 def merged(slices: DataFrame) -> DataFrame:
     """One row per run from its slices, the last word of each (which has the most events): what ``summarize`` gives for the whole log."""
-    last = slices.groupBy("run", "slice").agg(F.max_by(F.struct(*[c for c in slices.columns if c not in ("run", "slice")]), "n_events").alias("s")).select("run", "s.*")
+    last = slices.groupBy(*_KEY).agg(F.max_by(F.struct(*[c for c in slices.columns if c not in _KEY]), "n_events").alias("s")).select("run", "node", "outcome", "s.*")
     total = last.groupBy("run").agg(
         F.sum("n_events").alias("n_events"), F.min_by("started_ts", "first_seq").alias("started_ts"), F.max_by("finished_ts", "last_seq").alias("finished_ts"), F.round(F.sum("duration_e6") / 1e6, 1).alias("duration_ms_total"), F.max("rag").alias("rag"),
         F.struct(F.sum("calls").alias("calls"), F.sum("api_retries").alias("api_retries"), F.round(F.sum("wait_e6") / 1e6, 3).alias("wait_s")).alias("llm_client_totals"),
     )
-    for name in ("node_counts", "outcomes"):
-        each = last.select("run", F.explode(name).alias("what", "n")).groupBy("run", "what").agg(F.sum("n").alias("n"))
+    for what, name in (("node", "node_counts"), ("outcome", "outcomes")):
+        each = last.where(F.col(what) != "").groupBy("run", F.col(what).alias("what")).agg(F.sum("n_events").alias("n"))
         total = total.join(each.groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("what", "n")))).alias(name)), "run", "left")
     return total
 

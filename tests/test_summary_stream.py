@@ -56,3 +56,17 @@ def test_sessions_in_a_stream(spark, tmp_path):
     assert got[:3] == [(1, at(0), 2, 3), (1, at(2, 50), 2, 12), (2, at(0), 1, 5)], name
     batch = sorted((r["user"], r["start"], r["n"], r["total"]) for r in L.sessions(spark.read.schema(row).parquet(str(tmp_path / "in")), "ts", "user", "value", "30 minutes").collect())
     assert batch[:2] == [(1, at(0), 3, 103), (1, at(2, 50), 2, 12)]  # a batch has no late rows
+
+
+def test_many_small_runs_take_no_python(spark, tmp_path):
+    start = datetime(2024, 5, 1)
+    rows = [(f"r{i % 3000}", i * 600, ("retrieve", "generate", "")[i % 3], None, 1.0, start + timedelta(seconds=i), None) for i in range(12_000)]  # each number in a block of its own
+    spark.createDataFrame(rows + rows[:50], LINE).repartition(3).write.parquet(str(tmp_path / "in"))
+    own = Y.session(spark)
+    plan = Y.partials(own.read.schema(LINE).parquet(str(tmp_path / "in")))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan  # a run's lines went to a worker of its own, with several calls a block
+    slices = Y.drained(Y.partials(S.tail(own, str(tmp_path / "in"), LINE)), str(tmp_path / "out"), str(tmp_path / "check"))
+    columns = ["n_events", "started_ts", "finished_ts", "duration_ms_total", "rag", "node_counts"]
+    got = {r["run"]: r for r in Y.merged(slices).select("run", *columns).collect()}
+    want = L.summarize(spark.createDataFrame(rows, LINE), "run_id", "seq").collect()
+    assert len(got) == len(want) == 3000 and all(got[w["run_id"]][c] == w[c] for w in want for c in columns)
