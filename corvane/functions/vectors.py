@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.arrays import histogram, unrolled
+from corvane.functions.bags import bags, lots
 from corvane.functions.text import HASH_TOKEN, blank_if_null
 from corvane.sources.durable import spread
 
@@ -49,10 +51,22 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> Data
 
 
 def embed_dense(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """(id, vec array<double>): hashed bags as vectors; a text without tokens is a zero vector."""
-    cells = hash_embed(df, id_col, text_col, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "weight"))).alias("m"))
-    full = df.select(F.col(id_col).alias("id")).join(cells, "id", "left")
-    return full.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+    """(id, vec array<double>): the vectors of ``hash_embed``, a row each, in one pass without a shuffle; a text without tokens is a zero vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, n in lots(whole.column(1)):
+                b = whole.slice(at, n)
+                words, code, place, many = bags(b.column(1), dotted=False)
+                cell = np.fromiter((int.from_bytes(sha256(w.encode()).digest()[:8], "big") % dim for w in words.to_pylist()), np.int64, len(words))
+                m = np.bincount(place * dim + cell[code], many, minlength=n * dim).reshape(n, dim)
+                size = np.sqrt((m**2).sum(axis=1, keepdims=True))
+                m = m / np.where(size > 0, size, 1)
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(m.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), vec], ["id", "vec"])
+
+    asked = spread(df.select(F.col(id_col).alias("id"), F.lower(blank_if_null(text_col)).alias("text")))
+    return asked.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, vec array<double>")
 
 
 #: Models that this worker has built, by the embedder they belong to.
