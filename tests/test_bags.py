@@ -13,6 +13,7 @@ from corvane.functions import bags as B
 from corvane.functions import text as X
 from corvane.functions.vectors import embed_dense, hash_embed
 from corvane.operators.lexical import LexicalIndex
+from corvane.operators.store import ChunkStore
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,15 @@ def test_neither_index_nor_vectors_sort_words_in_rows_or_shuffle_texts(spark, te
     assert plan.count("Exchange") == 1 and "sort_array" not in plan and "regexp_extract_all" not in plan
     monkeypatch.setattr(X.F, "regexp_extract_all", lambda *_: pytest.fail("a pattern a row"))
     LexicalIndex.build(df)
+
+
+def test_replaced_rows_are_counted_off_without_a_pattern_a_row(spark, tmp_path, monkeypatch):
+    s = ChunkStore(spark, "bury", root=str(tmp_path), embed=lambda rows: embed_dense(rows, "n", "text"), words=F.col("text"))
+    row = "id string, text string, library string, seq long"
+    s.upsert(spark.createDataFrame([(f"i{i}", f"a.b w{i} w{i}", "l", i) for i in range(40)], row), "seq")
+    with monkeypatch.context() as m:
+        m.setattr(X.F, "regexp_extract_all", lambda *_: pytest.fail("a pattern a row"))
+        s.upsert(spark.createDataFrame([(f"i{i}", "new", "l", i) for i in range(5)], row), "seq")
+    dead = {tuple(sorted(r["toks"])): (r["dl"], r["w"], r["seg"] == r["piece"]["seg"]) for r in s._dead().collect()}
+    assert dead == {("a", "a.b", "b", f"w{i}"): (5, 0, True) for i in range(5)}
+    assert {r["tok"]: r["df"] for r in s.lexical().terms.where("tok in ('a.b', 'new', 'w3', 'w9')").collect()} == {"a.b": 35, "new": 5, "w9": 1}
